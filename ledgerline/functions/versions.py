@@ -55,9 +55,8 @@ def base_name(path: Column | str) -> Column:
 
 
 def is_script_name(filename: Column | str) -> Column:
-    """Numbered ``.sql``, ``.py`` or ``.json`` file; ``init.sql`` is not one."""
-    filename = _col(filename)
-    return filename.rlike(SCRIPT_PATTERN) & (filename != INIT_FILE)
+    """Numbered ``.sql``, ``.py`` or ``.json`` file, which ``init.sql`` is not."""
+    return _col(filename).rlike(SCRIPT_PATTERN)
 
 
 def is_strict_script_name(filename: Column | str) -> Column:
@@ -71,8 +70,7 @@ def has_script_extension(filename: Column | str) -> Column:
 
 def script_number(path: Column | str) -> Column:
     """Leading number of a script file given by name or path; NULL without one."""
-    digits = F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1)
-    return F.when(digits != "", digits.try_cast("int"))
+    return F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1).try_cast("int")
 
 
 def file_extension(path: Column | str) -> Column:

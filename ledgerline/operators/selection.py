@@ -59,22 +59,18 @@ def version_index(scripts: DataFrame) -> DataFrame:
 
 def max_version(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Highest version per key; equal versions written differently give the greater text."""
-    return versions.groupBy(*keys).agg(
-        F.max_by("version", F.struct("vkey", "version")).alias("max_version")
-    )
+    return versions.groupBy(*keys).agg(F.max(F.struct("vkey", "version"))["version"].alias("max_version"))
 
 
 def min_version(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return versions.groupBy(*keys).agg(
-        F.min_by("version", F.struct("vkey", "version")).alias("min_version")
-    )
+    return versions.groupBy(*keys).agg(F.min(F.struct("vkey", "version"))["version"].alias("min_version"))
 
 
 def version_extremes(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     order = F.struct("vkey", "version")
     return versions.groupBy(*keys).agg(
-        F.min_by("version", order).alias("min_version"),
-        F.max_by("version", order).alias("max_version"),
+        F.min(order)["version"].alias("min_version"),
+        F.max(order)["version"].alias("max_version"),
         F.count(F.lit(1)).alias("n_versions"),
     )
 

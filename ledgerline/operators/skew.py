@@ -23,6 +23,10 @@ def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> Data
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def has_big_keys(per_key: DataFrame, count: str, rows_per_task: int = ROWS_PER_TASK) -> bool:
+    return (per_key.agg(F.max(count)).first()[0] or 0) > rows_per_task
+
+
 def _splits(n: Column, rows_per_task: int) -> Column:
     return F.greatest(F.ceil(n / F.lit(rows_per_task)), F.lit(1)).cast("int")
 
@@ -35,6 +39,7 @@ def lookup(
     how: str = "inner",
     count: str = "n_rows",
     rows_per_task: int = ROWS_PER_TASK,
+    stored: bool = False,
 ) -> DataFrame:
     """``big`` joined to ``per_key``, which has one row per key.
 
@@ -44,9 +49,13 @@ def lookup(
     gives each row the same one.
 
     Only keys above ``rows_per_task`` rows are broadcast: at most
-    ``rows(big) / rows_per_task`` of them, each a key and a number.
+    ``rows(big) / rows_per_task`` of them, each a key and a number. When
+    ``per_key`` is a stored table, its greatest count is read first, and a
+    plain join is made if no key is that big.
     """
     keys = list(keys)
+    if stored and not has_big_keys(per_key, count, rows_per_task):
+        return big.join(per_key.drop(count), keys, how)
     hot = (
         per_key.filter(F.col(count) > rows_per_task)
         .select(*keys, _splits(F.col(count), rows_per_task).alias(SPLITS))

@@ -14,6 +14,7 @@ from ledgerline.functions.versions import (
 )
 from ledgerline.operators.selection import DEFAULT_DIALECT, upgrade_scripts, version_index
 from ledgerline.operators.skew import ROWS_PER_TASK, lookup
+from ledgerline.session import store
 
 INSTALL, UPGRADE = "install", "upgrade"
 
@@ -61,15 +62,25 @@ def service_state(
             anchor_version("anchor").alias("anchor_version"),
             anchor_number("anchor").alias("anchor_seq"),
             F.col("top.version").alias("target_version"),
+            F.col("top.vkey").alias("target_vkey"),
             (F.col("top.has_init") == 1).alias("can_install"),
         )
     )
 
 
+def planning_tables(
+    scripts: DataFrame, task: DataFrame, services: DataFrame, wanted: str, default: str = DEFAULT_DIALECT
+) -> tuple[DataFrame, DataFrame]:
+    """Version index and service state as stored tables, for the steps that share them."""
+    versions = store(version_index(scripts), "versions")
+    return versions, store(service_state(versions, task, services, wanted, default), "service-state")
+
+
 def live_anchors(versions: DataFrame, state: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Services whose anchor lies in their first pending version: service, version, anchor_seq.
+    """Services whose anchor lies in their first pending version: service, live_version, live_seq.
 
     Only services stopped inside a version take part, so this stays small.
+    ``versions`` and ``state`` are stored tables.
     """
     stopped = state.filter(
         (F.col("route") == UPGRADE)
@@ -84,10 +95,11 @@ def live_anchors(versions: DataFrame, state: DataFrame, rows_per_task: int = ROW
         ["service", "db_type"],
         ["version"],
         rows_per_task=rows_per_task,
+        stored=True,
     ).filter(F.col("vkey") > F.col("installed_vkey"))
     return (
         pending.groupBy("service", "anchor_version", "anchor_seq")
-        .agg(F.min_by("version", F.struct("vkey", "version")).alias("first_version"))
+        .agg(F.min(F.struct("vkey", "version"))["version"].alias("first_version"))
         .filter(F.col("first_version") == F.col("anchor_version"))
         .select("service", F.col("anchor_version").alias("live_version"), F.col("anchor_seq").alias("live_seq"))
     )
@@ -98,10 +110,12 @@ def pending_scripts(
 ) -> DataFrame:
     """Scripts above the installed version, without those done before an interruption.
 
-    The list of scripts is shuffled once, on service and source.
+    ``versions`` and ``state`` are stored tables. The list of scripts is read
+    once; it is shuffled once, on service and source, unless the state is
+    small enough for Spark to broadcast.
     """
     upgrading = (
-        state.filter(F.col("route") == UPGRADE)
+        state.filter((F.col("route") == UPGRADE) & (F.col("target_vkey") > F.col("installed_vkey")))
         .join(live_anchors(versions, state, rows_per_task), "service", "left")
         .select(
             "service",
@@ -122,6 +136,7 @@ def pending_scripts(
             ["service", "db_type"],
             ["version", "filename"],
             rows_per_task=rows_per_task,
+            stored=True,
         )
         .filter(F.col("vkey") > F.col("installed_vkey"))
         .filter(
@@ -141,10 +156,11 @@ def migration_plan(
 ) -> DataFrame:
     """Every script that has to run: the install script of new services, pending ones of others.
 
-    Execution order is (ordinal, vkey, version, seq, filename).
+    Execution order is (ordinal, vkey, version, seq, filename); an install
+    script has number -1. The list of scripts is read twice: once to count
+    what each version holds, once to pick the pending ones.
     """
-    versions = version_index(scripts)
-    state = service_state(versions, task, services, wanted, default)
+    versions, state = planning_tables(scripts, task, services, wanted, default)
     columns = [
         "ordinal", "service", "db_type", "route", "version", "vkey", "seq", "filename", "relative_name",
         "installed_version", "target_version",
@@ -156,7 +172,7 @@ def migration_plan(
         "route",
         F.col("target_version").alias("version"),
         version_key("target_version").alias("vkey"),
-        F.lit(None).cast("int").alias("seq"),
+        F.lit(-1).alias("seq"),
         F.lit(INIT_FILE).alias("filename"),
         relative_name("target_version", F.lit(INIT_FILE)).alias("relative_name"),
         "installed_version",

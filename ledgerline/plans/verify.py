@@ -15,7 +15,6 @@ from ledgerline.operators.ledger import verdict
 from ledgerline.operators.rules import ERROR, violation
 from ledgerline.operators.selection import DEFAULT_DIALECT
 from ledgerline.operators.skew import ROWS_PER_TASK
-from ledgerline.session import checkpoint
 
 SCOPE = ["service", "dialect"]
 
@@ -84,10 +83,9 @@ def verify_report(
 ) -> DataFrame:
     """Violations of all services and dialects; ``file_id`` is ``service/dialect``.
 
-    The facts after the upgrades are used by both comparisons, so they are
-    stored once.
+    The replay stores the facts after the upgrades, which both comparisons use.
     """
-    upgraded = checkpoint(replay_facts(base_facts, changes, steps, SCOPE))
+    upgraded = replay_facts(base_facts, changes, steps, SCOPE)
     return upgrade_install_differences(upgraded, installed_facts).unionByName(
         dialect_differences(upgraded, dialects, base, rows_per_task)
     )

@@ -51,7 +51,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """``df`` written as a table to the shared folder, and read back.
+
+    For results that several parts of a job use: they are computed once, a lost
+    executor loses none of them, and their size on storage is known to Spark
+    when it plans the joins that follow.
+    """
+    folder = run_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -90,7 +90,7 @@ ROLES: dict[str, str] = {
         FROM state st JOIN scripts s ON s.service = st.service AND s.db_type = st.db_type
         WHERE st.route = 'upgrade' AND s.depth = 4 AND {IS_SCRIPT} AND {_vk('s.version')} > st.installed_vk""",
     "plan": """
-        SELECT ordinal, service, db_type, 'install' AS route, target_version AS version, CAST(NULL AS INTEGER) AS seq,
+        SELECT ordinal, service, db_type, 'install' AS route, target_version AS version, -1 AS seq,
             'init.sql' AS filename, target_version || '/init.sql' AS relative_name, installed_version, target_version
         FROM state WHERE route = 'install' AND can_install
         UNION ALL
@@ -513,6 +513,8 @@ _VERDICT = """SELECT {key} AS {name}, sum(CASE WHEN severity = 'error' THEN 1 EL
 
 SELECTS: dict[str, str] = {
     "migration_plan": "SELECT * FROM plan",
+    "execution_order": f"""SELECT service, db_type, version, filename, {SEQ} AS seq FROM scripts
+        WHERE {IS_VERSION} AND depth = 4 AND {IS_SCRIPT}""",
     "pending_scripts": "SELECT service, db_type, version, filename, seq, ordinal, installed_version, target_version FROM pending",
     "resume_skip": "SELECT * FROM live",
     "service_state": "SELECT * EXCLUDE (installed_vk) FROM state",
@@ -523,7 +525,7 @@ SELECTS: dict[str, str] = {
     "version_extremes": """SELECT service, arg_min(version, (vk, version)) AS min_version,
         arg_max(version, (vk, version)) AS max_version, count(*) AS n_versions FROM distinct_versions GROUP BY service""",
     "version_compare": f"""SELECT o_orderkey, l_linenumber, version, previous_version,
-        CASE WHEN a < b THEN -1 WHEN a > b THEN 1 WHEN a = b THEN 0 END AS comparison
+        CASE WHEN a < b THEN '-1' WHEN a > b THEN '1' WHEN a = b THEN '0' END AS comparison
         FROM (SELECT *, {_vk('version')} AS a, {_vk('previous_version')} AS b FROM (
             SELECT o_orderkey, l_linenumber, version,
                 year(l_shipdate) || '.' || month(l_shipdate) || '.0' AS previous_version
@@ -536,7 +538,7 @@ SELECTS: dict[str, str] = {
     "checked_versions": """SELECT service, db_type, version FROM (SELECT *,
         row_number() OVER (PARTITION BY service, db_type ORDER BY vk DESC, version DESC) AS place
         FROM versions WHERE vk >= [1998, 6]::BIGINT[]) WHERE place = 1""",
-    "script_names": f"""SELECT service, version || '/' || filename AS relative_name, {SEQ} AS seq,
+    "script_names": f"""SELECT service, version || '/' || filename AS relative_name, coalesce({SEQ}, -1) AS seq,
         regexp_extract(filename, '(\\.[^.]*)$', 1) AS extension, {IS_SCRIPT} AS is_script,
         regexp_matches(filename, '^[0-9]{{2}}-.*\\.(sql|py|json)$') AS is_strict FROM scripts""",
     "service_filter": "SELECT * FROM services WHERE service IN ('svc-1', 'svc-2', 'svc-30', 'svc-absent')",
@@ -633,11 +635,11 @@ SELECTS: dict[str, str] = {
         source="""cleaned_names WHERE CASE WHEN dialect = 'dm8' THEN regexp_matches(name, '[.`'']')
         ELSE regexp_matches(name, '[."'']') END""",
     ),
-    "evolve_orders": """SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(18, 2) AS o_totalprice, o_orderdate,
+    "evolve_orders": """SELECT o_orderkey, o_custkey, trunc(o_totalprice)::BIGINT AS o_totalprice, o_orderdate,
         o_orderpriority AS o_priority, 'web' AS o_channel FROM orders""",
     "lossy_casts": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
         WHERE l_extendedprice IS NOT NULL AND NOT (trunc(l_extendedprice) BETWEEN -32768 AND 32767)""",
-    "modify_column": """SELECT l_orderkey, CASE WHEN l_partkey BETWEEN -128 AND 127 THEN l_partkey END::TINYINT AS l_partkey,
+    "modify_column": """SELECT l_orderkey, CASE WHEN l_partkey BETWEEN -128 AND 127 THEN l_partkey END::VARCHAR AS l_partkey,
         l_linenumber::BIGINT AS l_linenumber, l_suppkey FROM lineitem""",
     "apply_update": """SELECT o_orderkey, o_custkey, o_orderstatus,
         CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
@@ -659,7 +661,7 @@ SELECTS: dict[str, str] = {
             SELECT db_name, table_name, column_name, data_type FROM column_facts WHERE dialect <> 'kdb9')
         SELECT * FROM kept WHERE db_name <> 'db_f' UNION ALL
         SELECT * FROM created c ANTI JOIN kept k USING (db_name, table_name) WHERE db_name <> 'db_f'""",
-    "upgrade_equals_install": """SELECT o_orderkey, o_custkey, o_totalprice::DECIMAL(18, 2) AS o_totalprice, o_orderdate,
+    "upgrade_equals_install": """SELECT o_orderkey, o_custkey, trunc(o_totalprice)::BIGINT AS o_totalprice, o_orderdate,
         o_orderpriority AS o_priority, 'web' AS o_channel, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM orders WHERE false""",
     "row_difference": """SELECT l_suppkey, l_quantity, greatest(n, 0)::BIGINT AS n_missing, greatest(-n, 0)::BIGINT AS n_extra
         FROM (SELECT l_suppkey, l_quantity, sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE -1 END) AS n
@@ -670,7 +672,7 @@ SELECTS: dict[str, str] = {
         FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
     "null_key_violations": """SELECT owner, placed, count(*) AS n_rows,
         CASE WHEN owner IS NULL OR placed IS NULL THEN 'null' ELSE 'duplicate' END AS reason
-        FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS owner, year(o_orderdate)::INTEGER AS placed FROM orders)
+        FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey::VARCHAR END AS owner, year(o_orderdate)::INTEGER AS placed FROM orders)
         GROUP BY owner, placed HAVING count(*) > 1 OR owner IS NULL OR placed IS NULL""",
     "orphans": """SELECT l_partkey, count(*) AS n_rows FROM lineitem
         WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY l_partkey""",

@@ -12,7 +12,7 @@ from ledgerline.functions import versions as V
 from ledgerline.functions.types import type_category
 from ledgerline.operators import diff, evolve, facts, ledger, quality, rules, selection
 from ledgerline.plans import lint, migration, verify
-from ledgerline.session import run_folder
+from ledgerline.session import run_folder, store
 from ledgerline.sources import scripts as script_source
 from ledgerline.sources.tables import history_rows
 from ledgerline.streaming import ledger as ledger_stream_jobs
@@ -71,7 +71,8 @@ def version_compare(spark, sf_dir):
         F.concat_ws(".", F.year("l_shipdate"), F.month("l_shipdate"), F.lit("0")).alias("previous_version"),
     )
     versions = roles.order_versions(spark, sf_dir).select("o_orderkey", "version").join(lines, "o_orderkey")
-    return selection.version_steps(versions, ["o_orderkey", "l_linenumber"])
+    steps = selection.version_steps(versions, ["o_orderkey", "l_linenumber"])
+    return steps.withColumn("comparison", F.col("comparison").cast("string"))
 
 
 def version_order(spark, sf_dir):
@@ -102,7 +103,7 @@ def script_names(spark, sf_dir):
     return roles.scripts(spark, sf_dir).select(
         "service",
         V.relative_name("version", name).alias("relative_name"),
-        V.script_number(name).alias("seq"),
+        F.coalesce(V.script_number(name), F.lit(-1)).alias("seq"),
         V.file_extension(name).alias("extension"),
         V.is_script_name(name).alias("is_script"),
         V.is_strict_script_name(name).alias("is_strict"),
@@ -158,30 +159,32 @@ def _plan_inputs(spark, sf_dir):
 def service_state(spark, sf_dir):
     scripts, task, services = _plan_inputs(spark, sf_dir)
     return migration.service_state(selection.version_index(scripts), task, services, WANTED, DEFAULT).drop(
-        "installed_vkey"
+        "installed_vkey", "target_vkey"
     )
 
 
 def migration_plan(spark, sf_dir):
     scripts, task, services = _plan_inputs(spark, sf_dir)
-    plan = migration.migration_plan(scripts, task, services, WANTED, DEFAULT)
-    return selection.execution_order(plan, "ordinal").drop("vkey")
+    return migration.migration_plan(scripts, task, services, WANTED, DEFAULT).drop("vkey")
+
+
+def execution_order(spark, sf_dir):
+    """Scripts of all versions in the order they would run."""
+    scripts = selection.upgrade_scripts(roles.scripts(spark, sf_dir))
+    return selection.execution_order(scripts, *SOURCE).drop("vkey", "depth")
 
 
 def pending_scripts(spark, sf_dir):
     """Pending scripts of services that were not interrupted."""
     scripts, task, services = _plan_inputs(spark, sf_dir)
     task = task.withColumn("f_script_file_name", F.lit(""))
-    versions = selection.version_index(scripts)
-    state = migration.service_state(versions, task, services, WANTED, DEFAULT)
+    versions, state = migration.planning_tables(scripts, task, services, WANTED, DEFAULT)
     return migration.pending_scripts(scripts, versions, state).drop("vkey")
 
 
 def resume_skip(spark, sf_dir):
     """Anchors that lie in the first pending version, where scripts are skipped."""
-    scripts, task, services = _plan_inputs(spark, sf_dir)
-    versions = selection.version_index(scripts)
-    return migration.live_anchors(versions, migration.service_state(versions, task, services, WANTED, DEFAULT))
+    return migration.live_anchors(*migration.planning_tables(*_plan_inputs(spark, sf_dir), WANTED, DEFAULT))
 
 
 def has_work(spark, sf_dir):
@@ -429,9 +432,13 @@ def naming_rules(spark, sf_dir):
 
 
 def lint_report(spark, sf_dir):
-    """All rules on all script trees, statements, change files and definitions."""
+    """All rules on all script trees, statements, change files and definitions.
+
+    A dozen rules read the definitions, so those are derived once and stored.
+    """
+    tables, columns, indexes = (store(df, "definitions") for df in _definitions(spark, sf_dir))
     definitions = lint.definition_report(
-        *_definitions(spark, sf_dir), roles.comment_facts(spark, sf_dir), allow_foreign_key=True
+        tables, columns, indexes, roles.comment_facts(spark, sf_dir), allow_foreign_key=True
     )
     return lint.lint_report(
         layout_report(spark, sf_dir), statement_report(spark, sf_dir), change_report(spark, sf_dir), definitions
@@ -447,7 +454,7 @@ def lint_verdict(spark, sf_dir):
 ORDER_CHANGES = [
     {"object_type": "COLUMN", "operation_type": "ADD", "object_name": "o_channel", "object_property": "VARCHAR(16) DEFAULT 'web'"},
     {"object_type": "COLUMN", "operation_type": "ADD", "object_name": "O_CustKey", "object_property": "INT"},
-    {"object_type": "COLUMN", "operation_type": "MODIFY", "object_name": "o_totalprice", "object_property": "DECIMAL(18,2)"},
+    {"object_type": "COLUMN", "operation_type": "MODIFY", "object_name": "o_totalprice", "object_property": "BIGINT"},
     {"object_type": "COLUMN", "operation_type": "RENAME", "object_name": "o_orderpriority", "object_property": "VARCHAR(16)",
      "new_name": "o_priority"},
     {"object_type": "COLUMN", "operation_type": "DROP", "object_name": "o_orderstatus", "object_property": ""},
@@ -479,7 +486,8 @@ def lossy_casts(spark, sf_dir):
 
 def modify_column(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
-    return evolve.modify_column(evolve.modify_column(lines, "L_PARTKEY", "tinyint"), "l_linenumber", "bigint")
+    narrowed = evolve.modify_column(evolve.modify_column(lines, "L_PARTKEY", "tinyint"), "l_linenumber", "bigint")
+    return evolve.modify_column(narrowed, "l_partkey", "string")
 
 
 def apply_update(spark, sf_dir):
@@ -551,7 +559,7 @@ def upgrade_equals_install(spark, sf_dir):
     installed = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         "o_custkey",
-        F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+        F.col("o_totalprice").cast("bigint").alias("o_totalprice"),
         "o_orderdate",
         F.col("o_orderpriority").alias("o_priority"),
         F.lit("web").alias("o_channel"),
@@ -587,7 +595,7 @@ def key_violations(spark, sf_dir):
 def null_key_violations(spark, sf_dir):
     """Customers as parts of a key that is NULL for some orders."""
     orders = table(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("owner"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string")).alias("owner"),
         F.year("o_orderdate").alias("placed"),
     )
     return quality.key_violations(orders, ["owner", "placed"])
@@ -663,7 +671,7 @@ def verify_verdict(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        migration_plan, pending_scripts, resume_skip, service_state, has_work, version_index, version_names,
+        migration_plan, execution_order, pending_scripts, resume_skip, service_state, has_work, version_index, version_names,
         version_extremes, version_compare, version_order, versions_from, latest_n_versions, checked_versions,
         script_names, service_filter, existing_services, install_script, source_choice, select_sources,
         missing_sources, document_sources, replay_roles, version_completion, task_lookup, history, ledger_latest,

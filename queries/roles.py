@@ -95,14 +95,16 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Installed is the highest finished version; the anchor lies in the lowest open one."""
-    versions = order_versions(spark, sf_dir).filter(is_version("version"))
-    order = F.struct(version_key("version"), F.col("version"))
+    versions = (
+        order_versions(spark, sf_dir).filter(is_version("version")).withColumn("vkey", version_key("version"))
+    )
+    order = F.struct("vkey", "version")
     finished, open_ = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P"
     return (
         versions.groupBy(F.col("service").alias("f_service_name"))
         .agg(
-            F.max_by("version", F.when(finished, order)).alias("f_installed_version"),
-            F.min_by("version", F.when(open_, order)).alias("anchor"),
+            F.max(F.when(finished, order))["version"].alias("f_installed_version"),
+            F.min(F.when(open_, order))["version"].alias("anchor"),
         )
         .filter(F.col("f_installed_version").isNotNull())
         .select(
