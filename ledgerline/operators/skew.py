@@ -2,17 +2,21 @@
 
 An equi join puts all rows of a key into one task. Adaptive execution splits
 such a task only when both sides come straight from a shuffle, which is not so
-when the small side is an aggregate. Here the rows of a big key are spread over
-as many tasks as its row count asks for, and its one row is repeated for each.
+when the small side is an aggregate. Here the small side is stored first. Spark
+then knows its size and broadcasts it if that is small. If it is not and a key
+is big, the rows of that key are spread over as many tasks as their number asks
+for, and the key's one row is repeated for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerline.session import store
+
 ROWS_PER_TASK = 4_000_000
 
 SALT = "_salt"
@@ -23,10 +27,6 @@ def key_counts(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> Data
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def has_big_keys(per_key: DataFrame, count: str, rows_per_task: int = ROWS_PER_TASK) -> bool:
-    return (per_key.agg(F.max(count)).first()[0] or 0) > rows_per_task
-
-
 def _splits(n: Column, rows_per_task: int) -> Column:
     return F.greatest(F.ceil(n / F.lit(rows_per_task)), F.lit(1)).cast("int")
 
@@ -39,23 +39,38 @@ def lookup(
     how: str = "inner",
     count: str = "n_rows",
     rows_per_task: int = ROWS_PER_TASK,
-    stored: bool = False,
 ) -> DataFrame:
-    """``big`` joined to ``per_key``, which has one row per key.
+    """``big`` joined to ``per_key``, which has one row per key and is stored here.
 
     ``per_key[count]`` is the number of rows of the key in ``big``, or more;
-    the column is used up. ``spread_on`` names columns of ``big`` that tell the
-    rows of one key apart. They decide the salt, so a task that runs again
-    gives each row the same one.
+    the column is used up. The greatest one is seen while the table is stored,
+    and without a key above ``rows_per_task`` rows the join is a plain one.
+    ``spread_on`` names columns of ``big`` that tell the rows of one key apart.
+    They decide the salt, so a task that runs again gives each row the same one.
+    """
+    keys = list(keys)
+    seen = Observation()
+    per_key = store(per_key.observe(seen, F.max(count).alias("most")), "per-key")
+    if (seen.get["most"] or 0) <= rows_per_task:
+        return big.join(per_key.drop(count), keys, how)
+    return salted_join(big, per_key, keys, spread_on, how, count, rows_per_task)
+
+
+def salted_join(
+    big: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    spread_on: Sequence[str],
+    how: str,
+    count: str,
+    rows_per_task: int,
+) -> DataFrame:
+    """The join of :func:`lookup` with the rows of big keys spread.
 
     Only keys above ``rows_per_task`` rows are broadcast: at most
-    ``rows(big) / rows_per_task`` of them, each a key and a number. When
-    ``per_key`` is a stored table, its greatest count is read first, and a
-    plain join is made if no key is that big.
+    ``rows(big) / rows_per_task`` of them, each a key and a number.
     """
     keys = list(keys)
-    if stored and not has_big_keys(per_key, count, rows_per_task):
-        return big.join(per_key.drop(count), keys, how)
     hot = (
         per_key.filter(F.col(count) > rows_per_task)
         .select(*keys, _splits(F.col(count), rows_per_task).alias(SPLITS))

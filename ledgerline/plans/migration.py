@@ -95,7 +95,6 @@ def live_anchors(versions: DataFrame, state: DataFrame, rows_per_task: int = ROW
         ["service", "db_type"],
         ["version"],
         rows_per_task=rows_per_task,
-        stored=True,
     ).filter(F.col("vkey") > F.col("installed_vkey"))
     return (
         pending.groupBy("service", "anchor_version", "anchor_seq")
@@ -136,7 +135,6 @@ def pending_scripts(
             ["service", "db_type"],
             ["version", "filename"],
             rows_per_task=rows_per_task,
-            stored=True,
         )
         .filter(F.col("vkey") > F.col("installed_vkey"))
         .filter(
