@@ -47,10 +47,8 @@ def scan_scripts(spark: SparkSession, root: str) -> DataFrame:
 def scan_script_text(spark: SparkSession, root: str, suffix: str = ".sql") -> DataFrame:
     """Scripts with their whole text in ``text``."""
     files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{suffix}")
-        .text(root)
+        spark.read.option("pathGlobFilter", f"*{suffix}")
+        .text(root, wholetext=True, recursiveFileLookup=True)
         .select(F.col("value").alias("text"), F.url_decode("_metadata.file_path").alias("path"))
     )
     return _with_parts(files, root).select("service", "db_type", "version", "filename", "depth", "text")
