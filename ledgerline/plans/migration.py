@@ -9,10 +9,12 @@ from ledgerline.functions.versions import (
     INIT_FILE,
     anchor_number,
     anchor_version,
+    is_script_name,
     relative_name,
+    script_number,
     version_key,
 )
-from ledgerline.operators.selection import DEFAULT_DIALECT, upgrade_scripts, version_index
+from ledgerline.operators.selection import DEFAULT_DIALECT, version_index
 from ledgerline.operators.skew import ROWS_PER_TASK, lookup
 from ledgerline.session import store
 
@@ -76,31 +78,36 @@ def planning_tables(
     return versions, store(service_state(versions, task, services, wanted, default), "service-state")
 
 
-def live_anchors(versions: DataFrame, state: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Services whose anchor lies in their first pending version: service, live_version, live_seq.
-
-    Only services stopped inside a version take part, so this stays small.
-    ``versions`` and ``state`` are stored tables.
-    """
-    stopped = state.filter(
-        (F.col("route") == UPGRADE)
-        & (F.col("anchor_seq") >= 0)
-        & (version_key("anchor_version") > F.col("installed_vkey"))
-    ).select(
-        "service", "db_type", "installed_vkey", "anchor_version", "anchor_seq", F.col("n_versions").alias("n_rows")
+def pending_versions(versions: DataFrame, state: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Versions with scripts above the installed one, each with the state of its service."""
+    upgrading = state.filter((F.col("route") == UPGRADE) & (F.col("target_vkey") > F.col("installed_vkey"))).select(
+        "service",
+        "ordinal",
+        "db_type",
+        "installed_vkey",
+        "installed_version",
+        "target_version",
+        "anchor_version",
+        "anchor_seq",
+        F.col("n_versions").alias("n_rows"),
     )
-    pending = lookup(
-        versions.filter(F.col("n_scripts") > 0).select("service", "db_type", "version", "vkey"),
-        stopped,
+    return lookup(
+        versions.filter(F.col("n_scripts") > 0).select("service", "db_type", "version", "vkey", "n_files"),
+        upgrading,
         ["service", "db_type"],
         ["version"],
         rows_per_task=rows_per_task,
     ).filter(F.col("vkey") > F.col("installed_vkey"))
+
+
+def live_anchors(pending: DataFrame) -> DataFrame:
+    """Services whose anchor lies in their first pending version: service, version, live_seq."""
     return (
-        pending.groupBy("service", "anchor_version", "anchor_seq")
-        .agg(F.min(F.struct("vkey", "version"))["version"].alias("first_version"))
-        .filter(F.col("first_version") == F.col("anchor_version"))
-        .select("service", F.col("anchor_version").alias("live_version"), F.col("anchor_seq").alias("live_seq"))
+        pending.filter(F.col("anchor_seq") >= 0)
+        .groupBy("service", "anchor_version", "anchor_seq")
+        .agg(F.min(F.struct("vkey", "version"))["version"].alias("version"))
+        .filter(F.col("version") == F.col("anchor_version"))
+        .select("service", "version", F.col("anchor_seq").alias("live_seq"))
     )
 
 
@@ -109,38 +116,33 @@ def pending_scripts(
 ) -> DataFrame:
     """Scripts above the installed version, without those done before an interruption.
 
-    ``versions`` and ``state`` are stored tables. The list of scripts is read
-    once; it is shuffled once, on service and source, unless the state is
-    small enough for Spark to broadcast.
+    ``versions`` and ``state`` are stored tables. Which versions are pending is
+    worked out on them alone; the list of scripts then meets just those, so
+    version numbers are never parsed per script.
     """
-    upgrading = (
-        state.filter((F.col("route") == UPGRADE) & (F.col("target_vkey") > F.col("installed_vkey")))
-        .join(live_anchors(versions, state, rows_per_task), "service", "left")
-        .select(
-            "service",
-            "ordinal",
-            "db_type",
-            "installed_vkey",
-            "installed_version",
-            "target_version",
-            "live_version",
-            "live_seq",
-            F.col("n_files").alias("n_rows"),
-        )
+    pending = pending_versions(versions, state, rows_per_task)
+    wanted = pending.join(live_anchors(pending), ["service", "version"], "left").select(
+        "service",
+        "db_type",
+        "version",
+        "vkey",
+        "ordinal",
+        "installed_version",
+        "target_version",
+        "live_seq",
+        F.col("n_files").alias("n_rows"),
     )
     return (
         lookup(
-            upgrade_scripts(scripts),
-            upgrading,
-            ["service", "db_type"],
-            ["version", "filename"],
+            scripts.filter((F.col("depth") == 4) & is_script_name("filename")).drop("depth"),
+            wanted,
+            ["service", "db_type", "version"],
+            ["filename"],
             rows_per_task=rows_per_task,
         )
-        .filter(F.col("vkey") > F.col("installed_vkey"))
-        .filter(
-            ~F.coalesce((F.col("version") == F.col("live_version")) & (F.col("seq") <= F.col("live_seq")), F.lit(False))
-        )
-        .drop("installed_vkey", "live_version", "live_seq", "depth")
+        .withColumn("seq", script_number("filename"))
+        .filter(F.col("live_seq").isNull() | (F.col("seq") > F.col("live_seq")))
+        .drop("live_seq")
     )
 
 

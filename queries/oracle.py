@@ -516,7 +516,7 @@ SELECTS: dict[str, str] = {
     "execution_order": f"""SELECT service, db_type, version, filename, {SEQ} AS seq FROM scripts
         WHERE {IS_VERSION} AND depth = 4 AND {IS_SCRIPT}""",
     "pending_scripts": "SELECT service, db_type, version, filename, seq, ordinal, installed_version, target_version FROM pending",
-    "resume_skip": "SELECT * FROM live",
+    "resume_skip": "SELECT service, live_version AS version, live_seq FROM live",
     "service_state": "SELECT * EXCLUDE (installed_vk) FROM state",
     "has_work": "SELECT service, count(*) AS n_scripts FROM plan GROUP BY service",
     "version_index": "SELECT * EXCLUDE (vk) FROM versions",

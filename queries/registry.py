@@ -184,7 +184,8 @@ def pending_scripts(spark, sf_dir):
 
 def resume_skip(spark, sf_dir):
     """Anchors that lie in the first pending version, where scripts are skipped."""
-    return migration.live_anchors(*migration.planning_tables(*_plan_inputs(spark, sf_dir), WANTED, DEFAULT))
+    tables = migration.planning_tables(*_plan_inputs(spark, sf_dir), WANTED, DEFAULT)
+    return migration.live_anchors(migration.pending_versions(*tables))
 
 
 def has_work(spark, sf_dir):

@@ -319,22 +319,34 @@ def comment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- facts of services over versions, for verification ---------------------
 
 
+# Type words by code; codes sort as the words do.
+_TYPE_WORDS = ["BIGINT", "BOOLEAN", "DATETIME", "INT", "TEXT", "VARCHAR"]
+_TYPE_OF_FLAGS = {"AF": "BIGINT", "AO": "VARCHAR", "NF": "TEXT", "NO": "DATETIME", "RF": "INT"}
+
+
 def _service_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct columns of a supplier's tables, with least and greatest type word and size."""
+    """Distinct columns of a supplier's tables, with least and greatest type word and size.
+
+    Numbers are grouped and text is made of the groups.
+    """
     flags = F.concat("l_returnflag", "l_linestatus")
-    word = (
-        F.when(flags == "AF", "BIGINT").when(flags == "AO", "VARCHAR").when(flags == "NF", "TEXT")
-        .when(flags == "NO", "DATETIME").when(flags == "RF", "INT").otherwise("BOOLEAN")
-    )
+    code = F.lit(_TYPE_WORDS.index("BOOLEAN"))
+    for pair, word in _TYPE_OF_FLAGS.items():
+        code = F.when(flags == pair, _TYPE_WORDS.index(word)).otherwise(code)
+    words = F.array(*[F.lit(word) for word in _TYPE_WORDS])
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
+        .groupBy("l_suppkey", "l_partkey", F.col("l_linenumber").alias("number"))
+        .agg(F.min(code).alias("least"), F.max(code).alias("greatest"), F.max("l_quantity").alias("size"))
+        .select(
             _service("l_suppkey").alias("service"),
             F.concat(F.lit("t_"), _text("l_partkey")).alias("table_name"),
-            F.concat(F.lit("f_"), _text("l_linenumber")).alias("column_name"),
-            F.col("l_linenumber").alias("number"),
+            F.concat(F.lit("f_"), _text("number")).alias("column_name"),
+            "number",
+            words[F.col("least")].alias("old_type"),
+            words[F.col("greatest")].alias("new_type"),
+            "size",
         )
-        .agg(F.min(word).alias("old_type"), F.max(word).alias("new_type"), F.max("l_quantity").alias("size"))
     )
 
 
