@@ -33,17 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own, as
-    tests do; it is then set for the rest of the session.
+    tests do; it is then kept for the rest of the session.
     """
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get(CHECKPOINT_SETTING)
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerline-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
