@@ -69,6 +69,24 @@ def type_length(type_text: Column | str) -> Column:
     )
 
 
+def type_name(column_property: Column | str) -> Column:
+    """Type word at the head of a column property."""
+    return F.regexp_extract(_col(column_property), r"^\s*(\w+)", 1)
+
+
+def leading_type_length(column_property: Column | str) -> Column:
+    """Length right after the type of a column property; NULL without one."""
+    column_property = _col(column_property)
+    return F.when(column_property.rlike(r"^\s*\w+\s*\("), type_length(column_property))
+
+
+def default_value(column_property: Column | str) -> Column:
+    """Value after DEFAULT in a column property without its quotes; NULL when there is no DEFAULT."""
+    column_property = _col(column_property)
+    value = F.regexp_extract(column_property, r"(?i)\bDEFAULT\s+('[^']*'|\"[^\"]*\"|[^\s,]+)", 1)
+    return F.when(value != "", F.btrim(value, F.lit("'\"")))
+
+
 def is_unsigned(type_rest: Column | str) -> Column:
     """Whether the text after type and length starts with UNSIGNED."""
     return _col(type_rest).rlike(r"(?i)^\s*UNSIGNED")
@@ -89,11 +107,14 @@ def statement_verb(sql: Column | str) -> Column:
 
 
 def statement_object(sql: Column | str) -> Column:
-    """The keyword after the verb; the three words of OR REPLACE VIEW count as one."""
-    sql = _col(sql)
-    replaced = F.upper(F.regexp_extract(sql, r"^\s*\w+\s+(\w+\s+\w+\s+\w+)", 1))
-    word = F.upper(F.regexp_extract(sql, r"^\s*\w+\s+(\w+)", 1))
-    return F.when(word == "OR", F.regexp_replace(replaced, r"\s+", " ")).otherwise(word)
+    """The keyword after the verb, with the words that belong to OR, ON and UNIQUE."""
+    words = F.regexp_extract(_col(sql), r"(?i)^\s*\w+\s+(OR\s+\w+\s+\w+|ON\s+\w+|UNIQUE\s+\w+|\w+)", 1)
+    return F.upper(F.regexp_replace(words, r"\s+", " "))
+
+
+def switches_database(sql: Column | str, dialect: Column | str) -> Column:
+    """Whether a statement is the dialect's way to switch the database."""
+    return per_dialect(dialect, lambda d: _col(sql).rlike(SWITCH_PATTERN[d]))
 
 
 def database_of_switch(sql: Column | str, dialect: Column | str) -> Column:

@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import (
-    SWITCH_PATTERN,
+    database_of_switch,
+    default_value,
     has_illegal_characters,
     is_blank_statement,
+    leading_type_length,
     per_dialect,
     statement_object,
     statement_verb,
-    database_of_switch,
+    switches_database,
+    type_name,
 )
 from ledgerline.functions.versions import (
     INIT_FILE,
@@ -54,23 +57,20 @@ TABLE_OPTIONS = {
     "kdb9": [],
 }
 
-# Statements allowed, as (verb, object or None for any object).
+# Statements allowed besides the one that switches the database,
+# as verb and object, or the verb alone where any object will do.
 _IN_BOTH_KINDS = [
-    ("CREATE", "TABLE"), ("CREATE", "UNIQUE"), ("CREATE", "INDEX"), ("CREATE", "VIEW"),
-    ("CREATE", "OR REPLACE VIEW"), ("INSERT", None),
-]
-_IN_UPDATES = [
-    ("UPDATE", None), ("DELETE", None), ("DROP", "INDEX"), ("DROP", "TABLE"), ("DROP", "VIEW"), ("ALTER", "TABLE"),
+    "CREATE TABLE", "CREATE UNIQUE INDEX", "CREATE INDEX", "CREATE VIEW", "CREATE OR REPLACE VIEW", "INSERT",
 ]
+_IN_UPDATES = ["UPDATE", "DELETE", "DROP INDEX", "DROP TABLE", "DROP VIEW", "ALTER TABLE"]
+_DM8_ONLY = ["SET IDENTITY_INSERT", "COMMENT ON TABLE", "COMMENT ON COLUMN"]
 ALLOWED_STATEMENTS = {
-    ("mariadb", "init"): [("USE", None), *_IN_BOTH_KINDS],
-    ("mariadb", "update"): [("USE", None), *_IN_BOTH_KINDS, *_IN_UPDATES, ("RENAME", None)],
-    ("dm8", "init"): [("SET", "SCHEMA"), ("SET", "IDENTITY_INSERT"), *_IN_BOTH_KINDS, ("COMMENT", None)],
-    ("dm8", "update"): [
-        ("SET", "SCHEMA"), ("SET", "IDENTITY_INSERT"), *_IN_BOTH_KINDS, *_IN_UPDATES, ("COMMENT", None),
-    ],
-    ("kdb9", "init"): [("SET", "SEARCH_PATH"), *_IN_BOTH_KINDS],
-    ("kdb9", "update"): [("SET", "SEARCH_PATH"), *_IN_BOTH_KINDS, *_IN_UPDATES],
+    ("mariadb", "init"): _IN_BOTH_KINDS,
+    ("mariadb", "update"): [*_IN_BOTH_KINDS, *_IN_UPDATES, "RENAME"],
+    ("dm8", "init"): [*_IN_BOTH_KINDS, *_DM8_ONLY],
+    ("dm8", "update"): [*_IN_BOTH_KINDS, *_IN_UPDATES, *_DM8_ONLY],
+    ("kdb9", "init"): _IN_BOTH_KINDS,
+    ("kdb9", "update"): [*_IN_BOTH_KINDS, *_IN_UPDATES],
 }
 
 # What a change item must hold.
@@ -216,41 +216,26 @@ def first_statement_rule(statements: DataFrame) -> DataFrame:
         .groupBy("dialect", "file_id")
         .agg(F.min_by("sql", "ord").alias("sql"))
     )
-    switches = per_dialect("dialect", lambda d: F.col("sql").rlike(SWITCH_PATTERN[d]))
     return violation(
-        first.filter(~switches), "first_statement_must_switch", file_id="file_id", detail="sql"
+        first.filter(~switches_database("sql", "dialect")), "first_statement_must_switch", file_id="file_id", detail="sql"
     )
 
 
-def _is_allowed(verb: Column, target: Column, allowed: Sequence[tuple[str, str | None]]) -> Column:
-    free = sorted(v for v, o in allowed if o is None)
-    bound: dict[str, list[str]] = {}
-    for v, o in allowed:
-        if o is not None:
-            bound.setdefault(v, []).append(o)
-    result = verb.isin(free)
-    for v, objects in bound.items():
-        result = result | ((verb == v) & target.isin(objects))
-    return result
-
-
 def statement_allow_list(statements: DataFrame) -> DataFrame:
     """Statements that their dialect and kind of file do not allow.
 
     The list is a few dozen fixed entries, so it is part of the filter and
-    needs neither a join nor a shuffle.
+    needs neither a join nor a shuffle. A statement is looked up by its words
+    once with its object and once without.
     """
-    read = statements_to_check(statements).withColumns(
-        {"verb": statement_verb("sql"), "target": statement_object("sql")}
-    )
-    allowed = F.lit(False)
-    for (dialect, kind), entries in ALLOWED_STATEMENTS.items():
-        applies = (F.col("dialect") == dialect) & (F.col("file_kind") == kind)
-        allowed = allowed | (applies & _is_allowed(F.col("verb"), F.col("target"), entries))
+    entries = [f"{d} {kind} {words}" for (d, kind), allowed in ALLOWED_STATEMENTS.items() for words in allowed]
+    with_object = F.concat_ws(" ", "dialect", "file_kind", statement_verb("sql"), statement_object("sql"))
+    without_object = F.concat_ws(" ", "dialect", "file_kind", statement_verb("sql"))
+    allowed = with_object.isin(entries) | without_object.isin(entries) | switches_database("sql", "dialect")
     return violation(
-        read.filter(~allowed),
+        statements_to_check(statements).filter(~allowed),
         "statement_not_allowed",
-        object_name=F.concat_ws(" ", "verb", "target"),
+        object_name=F.concat_ws(" ", statement_verb("sql"), statement_object("sql")),
         file_id="file_id",
         detail="sql",
     )
@@ -339,6 +324,20 @@ def change_file_rules(files: DataFrame) -> DataFrame:
     )
 
 
+def added_columns(items: DataFrame) -> DataFrame:
+    """Columns that change items (with ``dialect``) add, in the form the column rules take."""
+    adds = items.filter((F.col("object_type") == "COLUMN") & (F.col("operation_type") == "ADD"))
+    return adds.select(
+        "dialect",
+        "db_name",
+        "table_name",
+        F.col("object_name").alias("column_name"),
+        type_name("object_property").alias("data_type"),
+        leading_type_length("object_property").alias("type_length"),
+        default_value("object_property").alias("column_default"),
+    )
+
+
 # --- names ----------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators import rules
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.selection import CHECK_ALL, checked_versions, version_index
+from ledgerline.sources.scripts import item_fields
 
 
 def layout_report(scripts: DataFrame, listed_versions: DataFrame | None = None) -> DataFrame:
@@ -61,13 +62,16 @@ def definition_report(
     return rules.union_all(reports)
 
 
-def change_report(files: DataFrame, added_columns: DataFrame | None = None) -> DataFrame:
-    """Change files: ``file_id`` and ``items`` (array of maps from field to JSON value)."""
-    items = files.select("file_id", F.posexplode("items").alias("ord", "item"))
-    reports = [rules.change_file_rules(files), rules.change_item_rules(items)]
-    if added_columns is not None:
-        reports.append(rules.column_rules(added_columns))
-    return rules.union_all(reports)
+def change_report(files: DataFrame) -> DataFrame:
+    """Change files: file_id, dialect and ``items`` (array of maps from field to JSON value)."""
+    items = files.select("file_id", "dialect", F.posexplode("items").alias("ord", "item"))
+    return rules.union_all(
+        [
+            rules.change_file_rules(files),
+            rules.change_item_rules(items),
+            rules.column_rules(rules.added_columns(item_fields(items))),
+        ]
+    )
 
 
 def lint_report(*reports: DataFrame) -> DataFrame:

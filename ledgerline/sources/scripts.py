@@ -63,17 +63,19 @@ def parse_change_lists(files: DataFrame, text: str = "text") -> DataFrame:
     return files.withColumn("items", F.try_variant_get(F.try_parse_json(text), "$", "array<map<string,variant>>"))
 
 
-def change_items(files: DataFrame, text: str = "text") -> DataFrame:
-    """One row per change item with its fields as text, ``file_id`` and ``ord``."""
+def item_fields(items: DataFrame) -> DataFrame:
+    """``item`` maps spread into text columns, beside the other columns."""
     fields = [
         "db_name", "table_name", "object_type", "operation_type", "object_name", "object_property",
         "object_comment", "new_name",
     ]
-    return (
-        parse_change_lists(files, text)
-        .select("file_id", F.posexplode("items").alias("ord", "item"))
-        .select("file_id", "ord", *[F.col("item").getItem(f).cast("string").alias(f) for f in fields])
-    )
+    return items.withColumns({f: F.col("item").getItem(f).cast("string") for f in fields}).drop("item")
+
+
+def change_items(files: DataFrame, text: str = "text") -> DataFrame:
+    """One row per change item with its fields as text, ``file_id`` and ``ord``."""
+    parsed = parse_change_lists(files, text)
+    return item_fields(parsed.select("file_id", F.posexplode("items").alias("ord", "item")))
 
 
 def scan_change_lists(spark: SparkSession, root: str) -> DataFrame:

@@ -145,13 +145,14 @@ ROLES: dict[str, str] = {
     "words": """
         SELECT *, trim(sql) IN ('', ';') AS is_blank,
             upper(regexp_extract(sql, '^\\s*(\\w+)', 1)) AS verb,
-            CASE WHEN upper(regexp_extract(sql, '^\\s*\\w+\\s+(\\w+)', 1)) = 'OR'
-                 THEN upper(regexp_replace(regexp_extract(sql, '^\\s*\\w+\\s+(\\w+\\s+\\w+\\s+\\w+)', 1), '\\s+', ' ', 'g'))
-                 ELSE upper(regexp_extract(sql, '^\\s*\\w+\\s+(\\w+)', 1)) END AS object
+            upper(regexp_replace(regexp_extract(
+                sql, '^\\s*\\w+\\s+(OR\\s+\\w+\\s+\\w+|ON\\s+\\w+|UNIQUE\\s+\\w+|\\w+)', 1, 'i'), '\\s+', ' ', 'g')) AS object
         FROM statements""",
     "change_texts": f"""
         SELECT event_id::VARCHAR AS file_id, k, user_id, event_type,
-            CASE WHEN event_type = 'signup' THEN '"VARCHAR(64) DEFAULT ''''"' WHEN event_type = 'view' THEN '""'
+            CASE user_id % 3 WHEN 0 THEN 'mariadb' WHEN 1 THEN 'dm8' ELSE 'kdb9' END AS dialect,
+            CASE WHEN event_type = 'signup' AND k < 50 THEN '"VARCHAR(64) DEFAULT ''''"'
+                 WHEN event_type = 'signup' THEN '"TEXT NOT NULL default ''x''"' WHEN event_type = 'view' THEN '""'
                  WHEN event_type = 'click' THEN '"f_1"' WHEN event_type = 'purchase' THEN '5' END AS property
         FROM (SELECT *, {K} AS k FROM events)""",
     "definitions": """
@@ -342,9 +343,9 @@ VIOLATIONS: dict[str, list[str]] = {
             "'statement_not_allowed'", obj="verb || ' ' || object", file="file_id", detail="sql",
             source="""words WHERE NOT is_blank AND NOT CASE
                 WHEN switch_db IS NOT NULL THEN true
-                WHEN verb = 'CREATE' THEN object IN ('TABLE', 'UNIQUE', 'INDEX', 'VIEW', 'OR REPLACE VIEW')
+                WHEN verb = 'CREATE' THEN object IN ('TABLE', 'UNIQUE INDEX', 'INDEX', 'VIEW', 'OR REPLACE VIEW')
                 WHEN verb = 'INSERT' THEN true
-                WHEN verb = 'COMMENT' THEN dialect = 'dm8'
+                WHEN verb = 'COMMENT' THEN dialect = 'dm8' AND object IN ('ON TABLE', 'ON COLUMN')
                 WHEN file_kind = 'init' THEN false
                 WHEN verb IN ('UPDATE', 'DELETE') THEN true
                 WHEN verb = 'DROP' THEN object IN ('INDEX', 'TABLE', 'VIEW')
@@ -364,6 +365,12 @@ VIOLATIONS: dict[str, list[str]] = {
             db="'db_' || k", table="'t_' || user_id", obj="'f_' || k", file="file_id", detail="'0'",
             source="change_texts WHERE event_type IN ('view', 'click', 'purchase')",
         ),
+        _violation(
+            "CASE WHEN k < 50 THEN 'varchar_length' ELSE 'default_on_text' END",
+            db="'db_' || k", table="'t_' || user_id", obj="'f_' || k",
+            detail="CASE WHEN k < 50 THEN 'VARCHAR 64' ELSE 'TEXT' END",
+            source="change_texts WHERE event_type = 'signup' AND (k >= 50 OR dialect = 'dm8')",
+        ),
     ],
     "duplicate_definitions": [
         _violation(

@@ -148,10 +148,14 @@ def event_outcomes(events: DataFrame) -> DataFrame:
 
 
 
+def _dialect_of_user() -> Column:
+    dialects = F.array(*[F.lit(d) for d in ("mariadb", "dm8", "kdb9")])
+    return F.element_at(dialects, (F.col("user_id") % 3 + 1).cast("int"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = event_number().cast("string")
     number = event_number()
-    dialect = F.element_at(F.array(*[F.lit(d) for d in ("mariadb", "dm8", "kdb9")]), (F.col("user_id") % 3 + 1).cast("int"))
     kind, event = F.col("dialect"), F.col("event_type")
     sql = (
         F.when((event == "signup") & (kind == "mariadb"), F.concat(F.lit("USE `db_"), k, F.lit("`;")))
@@ -169,7 +173,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "events")
-        .withColumn("dialect", dialect)
+        .withColumn("dialect", _dialect_of_user())
         .select(
             "dialect",
             F.when(F.col("user_id") % 2 == 0, "init").otherwise("update").alias("file_kind"),
@@ -194,14 +198,19 @@ def change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     comment = ', "object_comment": ""'
     text = (
-        F.when(event == "signup", item("COLUMN", '"VARCHAR(64) DEFAULT \'\'"', comment))
+        F.when(
+            (event == "signup") & (event_number() < 50), item("COLUMN", '"VARCHAR(64) DEFAULT \'\'"', comment)
+        )
+        .when(event == "signup", item("COLUMN", '"TEXT NOT NULL default \'x\'"', comment))
         .when(event == "view", item("VIEW", '""', comment))
         .when(event == "click", item("INDEX", '"f_1"', ""))
         .when(event == "purchase", item("COLUMN", "5", comment))
         .when(event_number() < 50, F.lit("[]"))
         .otherwise(F.lit('{"db_name": "x"}'))
     )
-    return table(spark, sf_dir, "events").select(_text("event_id").alias("file_id"), text.alias("text"))
+    return table(spark, sf_dir, "events").select(
+        _text("event_id").alias("file_id"), _dialect_of_user().alias("dialect"), text.alias("text")
+    )
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:

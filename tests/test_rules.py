@@ -133,7 +133,7 @@ SWITCH = {"mariadb": "USE app", "dm8": "SET SCHEMA app", "kdb9": "SET SEARCH_PAT
 def test_statements(spark, dialect):
     shared = ["CREATE TABLE t (f INT)", "create unique index uk_a on t (f)", "CREATE INDEX i ON t (f)", "CREATE VIEW v AS SELECT 1", "CREATE OR REPLACE VIEW v AS SELECT 1", "INSERT INTO t VALUES (1)"]
     updates = ["ALTER TABLE t ADD f INT", "DROP INDEX i", "DROP TABLE t", "DROP VIEW v", "UPDATE t SET f = 1", "DELETE FROM t"]
-    never = ["CREATE DATABASE d", "CREATE OR DROP VIEW v", "DROP DATABASE d", "ALTER VIEW v", "SELECT 1"]
+    never = ["CREATE DATABASE d", "CREATE UNIQUE TABLE t", "COMMENT ON VIEW v IS 'x'", "USE", "SET x TO y", "CREATE OR DROP VIEW v", "DROP DATABASE d", "ALTER VIEW v", "SELECT 1"]
     rename, comment, identity = "RENAME TABLE a TO b", "COMMENT ON TABLE t IS 'x'", "SET IDENTITY_INSERT t ON"
     rejected = {
         "init": [*updates, *never, rename, *([] if dialect == "dm8" else [comment, identity])],
@@ -173,6 +173,7 @@ def test_change_files(spark, rows):
         "kinds": f'[{good.replace("COLUMN", "VIEW").replace("ADD", "add")}]',
     }
     files = parse_change_lists(spark.createDataFrame(list(texts.items()), "file_id string, text string"))
+    files = files.withColumn("dialect", F.lit("dm8"))
     report = {}
     for r in lint.change_report(files).collect():
         report.setdefault(r.file_id, []).append(r.rule)
@@ -212,3 +213,13 @@ def test_versions_that_cannot_be_compared(spark):
 def test_identifiers(spark):
     df = spark.createDataFrame([("mariadb", "schema.t"), ("mariadb", "`t`"), ("dm8", "`t`")], "dialect string, name string")
     assert sorted(r.object_name for r in rules.identifier_rule(df, "name").collect()) == ["`t`", "schema.t"]
+
+
+def test_added_columns_are_checked(spark):
+    item = '{"db_name":"d","table_name":"t","object_type":"COLUMN","operation_type":"ADD","object_name":"%s","object_property":"%s","object_comment":""}'
+    wanted = [("a", "VARCHAR(64)"), ("b", "VARCHAR(64 CHAR) DEFAULT ''"), ("c", "TEXT DEFAULT ''"), ("d", "TEXT DEFAULT NULL"), ("e", "INT COMMENT '(1)'"), ("f", "BIGINT(20) NOT NULL")]
+    text = "[" + ",".join(item % pair for pair in wanted) + "]"
+    files = parse_change_lists(spark.createDataFrame([("x", text)], "file_id string, text string")).withColumn("dialect", F.lit("dm8"))
+    assert sorted((r.rule, r.object_name) for r in lint.change_report(files).collect()) == [
+        ("default_on_text", "c"), ("integer_length", "f"), ("varchar_length", "a"),
+    ]

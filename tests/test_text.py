@@ -69,7 +69,7 @@ def test_statements(spark):
     assert target("create table t(x int)") == "TABLE"
     assert target("CREATE or  replace view v AS SELECT 1") == "OR REPLACE VIEW"
     assert target("CREATE OR DROP VIEW v") == "OR DROP VIEW"
-    assert target("CREATE UNIQUE INDEX i ON t (a)") == "UNIQUE"
+    assert target("CREATE UNIQUE INDEX i ON t (a)") == "UNIQUE INDEX"
     switched = lambda sql, d: value(spark, TX.database_of_switch(F.lit(sql), d))
     assert switched("USE `app`;", "mariadb") == "app"
     assert switched('SET SCHEMA "app";', "dm8") == "app"
