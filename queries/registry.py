@@ -362,7 +362,8 @@ def current_database(spark, sf_dir):
 
 
 def statement_report(spark, sf_dir):
-    return lint.statement_report(roles.statements(spark, sf_dir))
+    """Both rules on statements, which are derived once and stored."""
+    return lint.statement_report(store(roles.statements(spark, sf_dir), "statements"))
 
 
 def change_items(spark, sf_dir):
@@ -378,8 +379,9 @@ def duplicate_numbers(spark, sf_dir):
 
 
 def layout_report(spark, sf_dir):
+    """All rules on script trees, which are derived once and stored."""
     listed = roles.order_versions(spark, sf_dir).select("service", "db_type", "version").distinct()
-    return lint.layout_report(roles.scripts(spark, sf_dir), listed)
+    return lint.layout_report(store(roles.scripts(spark, sf_dir), "scripts"), listed)
 
 
 def identifier_rule(spark, sf_dir):

@@ -154,8 +154,8 @@ def _dialect_of_user() -> Column:
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = event_number().cast("string")
-    number = event_number()
+    number = F.col("number")
+    k = number.cast("string")
     kind, event = F.col("dialect"), F.col("event_type")
     sql = (
         F.when((event == "signup") & (kind == "mariadb"), F.concat(F.lit("USE `db_"), k, F.lit("`;")))
@@ -173,7 +173,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "events")
-        .withColumn("dialect", _dialect_of_user())
+        .withColumns({"dialect": _dialect_of_user(), "number": event_number()})
         .select(
             "dialect",
             F.when(F.col("user_id") % 2 == 0, "init").otherwise("update").alias("file_kind"),
@@ -186,7 +186,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as change files, most with something wrong in them."""
-    k = event_number().cast("string")
+    number = F.col("number")
+    k = number.cast("string")
     event = F.col("event_type")
 
     def item(object_type: str, object_property: str, tail: str) -> Column:
@@ -199,16 +200,16 @@ def change_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     comment = ', "object_comment": ""'
     text = (
         F.when(
-            (event == "signup") & (event_number() < 50), item("COLUMN", '"VARCHAR(64) DEFAULT \'\'"', comment)
+            (event == "signup") & (number < 50), item("COLUMN", '"VARCHAR(64) DEFAULT \'\'"', comment)
         )
         .when(event == "signup", item("COLUMN", '"TEXT NOT NULL default \'x\'"', comment))
         .when(event == "view", item("VIEW", '""', comment))
         .when(event == "click", item("INDEX", '"f_1"', ""))
         .when(event == "purchase", item("COLUMN", "5", comment))
-        .when(event_number() < 50, F.lit("[]"))
+        .when(number < 50, F.lit("[]"))
         .otherwise(F.lit('{"db_name": "x"}'))
     )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").withColumn("number", event_number()).select(
         _text("event_id").alias("file_id"), _dialect_of_user().alias("dialect"), text.alias("text")
     )
 
