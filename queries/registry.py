@@ -482,7 +482,7 @@ def evolve_orders(spark, sf_dir):
 
 
 def lossy_casts(spark, sf_dir):
-    """Order priorities and quantities that a change to a narrow integer would lose."""
+    """Prices that a change to a small integer type would lose."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return evolve.lossy_casts(lines, "l_extendedprice", "smallint")
 
@@ -580,7 +580,7 @@ def row_difference(spark, sf_dir):
 
 
 def name_difference(spark, sf_dir):
-    """Names of finished tables that no open table has, by customer."""
+    """Customers with a finished order and no open one."""
     orders = table(spark, sf_dir, "orders")
     return diff.name_difference(
         orders.filter(F.col("o_orderstatus") == "F").select("o_custkey"),
@@ -630,7 +630,7 @@ def check_violations(spark, sf_dir):
 
 
 def schema_diff(spark, sf_dir):
-    """Order lines of two years as the columns of two databases."""
+    """Base facts of one dialect against freshly installed facts of another."""
     base = roles.base_service_facts(spark, sf_dir).filter(F.col("dialect") == "mariadb")
     check = roles.installed_service_facts(spark, sf_dir).filter(F.col("dialect") == "kdb9")
     return diff.schema_diff(base, check, ["service"], "mariadb", "kdb9")
@@ -651,10 +651,10 @@ def existing_columns(spark, sf_dir):
 
 
 def existing_databases(spark, sf_dir):
-    """Whether the database of each order is among those of definitions with a dear table."""
+    """How many defined tables lie in a database that the other facts hold."""
     names = roles.table_facts(spark, sf_dir).select(F.upper("db_name").alias("db_name"))
-    dear = roles.column_facts(spark, sf_dir).filter(F.col("db_name") != "db_p")
-    return facts.existing_databases(names, dear).groupBy("db_name", "is_present").agg(F.count(F.lit(1)).alias("n_tables"))
+    known = roles.column_facts(spark, sf_dir).filter(F.col("db_name") != "db_p")
+    return facts.existing_databases(names, known).groupBy("db_name", "is_present").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
 def verify_report(spark, sf_dir):
