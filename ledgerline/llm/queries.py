@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from ledgerline.llm.token_records import op10_token_records
 
-QUERIES = {query.__name__: query for query in (op10_token_records,)}
+QUERIES = {query.__name__: query for query in (op8_decontaminate, op10_token_records)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_decontaminate": OP8_SQL}
