@@ -2,10 +2,10 @@
 
 A file is a sequence of frames, one per document, in ascending ``doc_id`` order
 over all files: byte length of the ids (8 bytes), masked checksum of that length
-(4), the ids as little-endian unsigned 32-bit integers, masked checksum of the
-ids (4). The checksum is CRC-32, rotated and shifted by a constant so that a
-checksum of data which holds checksums stays useful. The index has a row per
-document (file, byte offset, length, number of tokens), so that a training job
+(4), the ids as little-endian unsigned integers of two bytes (four if the vocabulary
+has 65,536 ids or more; lengths in the index tell which), masked checksum of the
+ids (4). The checksum is CRC-32, rotated and shifted by a constant so that a checksum
+of data which holds checksums stays useful. The index has a row per document (file, byte offset, length, number of tokens), so that a training job
 can read records in any order; its order in a file needs no scan.
 
 One range exchange orders the documents; each task then encodes its share and
@@ -28,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,7 +80,6 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
     files, root = open_folder(f"{folder}/data")
     files.create_dir(root, recursive=True)
     shared = spark.sparkContext.broadcast(vocabulary)
-    end = struct.pack("<I", end_id) if end_id is not None else b""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,6 +90,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
         # Another attempt of this task may be writing too.
         attempt = f"{root}/_{name}-{context.taskAttemptId()}"
         encoder, out, offset, start = WordEncoder.of(shared.value), None, 0, 0
+        width = encoder.dtype.itemsize
+        end = end_id.to_bytes(width, "little") if end_id is not None else b""
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -100,8 +102,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
                 payload = ids + end
                 data = frame(payload)
                 out.write(data)
-                rows.append((name, doc_id, offset, len(data), len(payload) // 4, start))
-                offset, start = offset + len(data), start + len(payload) // 4
+                rows.append((name, doc_id, offset, len(data), len(payload) // width, start))
+                offset, start = offset + len(data), start + len(payload) // width
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(zip(*rows), [pa.string()] + [pa.int64()] * 5)],
                 names=["file", "doc_id", "offset", "n_bytes", "n_tokens", "start_in_file"],
@@ -124,7 +126,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary) of every record, read from the files by their index.
+    """doc_id, start, n_tokens and ids (four bytes each) of every record, read from the files by their index.
 
     ``start`` counts the ids of all records before. Both checksums are tested.
     """
@@ -143,7 +145,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         source.close()
                     name, source = row["file"], files.open_input_file(f"{root}/{row['file']}")
                 source.seek(row["offset"])
-                ids.append(unframe(source.read(row["n_bytes"])))
+                payload = unframe(source.read(row["n_bytes"]))
+                if len(payload) == 2 * row["n_tokens"]:
+                    payload = np.frombuffer(payload, "<u2").astype("<u4").tobytes()
+                ids.append(payload)
                 size += len(ids[-1])
                 if size > 4 << 20 or k == len(rows) - 1:
                     part = batch.slice(done, len(ids))

@@ -28,7 +28,7 @@ _LOADED: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned ids of two bytes, or four if the vocabulary needs them (``dtype``)."""
 
     def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,7 +37,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         parts = json.loads(vocabulary)
         suffix = parts["model"].get("end_of_word_suffix") or ""
-        self.is_last = np.zeros(max(parts["model"]["vocab"].values()) + 1, dtype=bool)
+        greatest = max([*parts["model"]["vocab"].values(), *(token["id"] for token in parts.get("added_tokens") or [])])
+        self.dtype = np.dtype("<u2" if greatest < 1 << 16 else "<u4")
+        self.is_last = np.zeros(greatest + 1, dtype=bool)
         for token, number in parts["model"]["vocab"].items():
             self.is_last[number] = bool(suffix) and token.endswith(suffix)
         # The merging alone, for lowered words that are separated by a space.
@@ -58,17 +60,17 @@ class WordEncoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, dtype="<u4").tobytes() for one in encoded]
+        return [np.array(one.ids, dtype=self.dtype).tobytes() for one in encoded]
 
     def _merged(self, words: list[str]) -> dict[str, bytes]:
         if not words:
             return {}
-        ids = np.array(self.merger.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.merger.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
         ends = np.flatnonzero(self.is_last[ids]) + 1
         if len(ends) != len(words):  # a word's sign for its end is also in its text
             return dict(zip(words, self._whole(words)))
-        raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1]))
-        return {word: raw[start:end] for word, start, end in zip(words, (starts * 4).tolist(), (ends * 4).tolist())}
+        raw, ends = ids.tobytes(), ends * self.dtype.itemsize
+        return {word: raw[start:end] for word, start, end in zip(words, [0, *ends[:-1].tolist()], ends.tolist())}
 
     def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         plain = [piece for piece in pieces if "<|" not in piece and _SAFE.fullmatch(piece)]
@@ -88,7 +90,7 @@ class WordEncoder:
         return found | dict(zip(rest, self._whole(rest)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text; a null text is an empty one."""
+        """Ids of each text as bytes; a null text is an empty one."""
         split = []
         for text in texts:
             text = text or ""
