@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ledgerline.llm.decontaminate import OP8_SQL, op8_decontaminate
+from ledgerline.llm.ngram_join import op6_ngram_join
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.token_records import op10_token_records
 
-QUERIES = {query.__name__: query for query in (op7_quality, op8_decontaminate, op10_token_records)}
+QUERIES = {query.__name__: query for query in (op6_ngram_join, op7_quality, op8_decontaminate, op10_token_records)}
 
 ORACLE_SQL = {"op8_decontaminate": OP8_SQL}
