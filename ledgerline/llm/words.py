@@ -18,7 +18,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MAX_CACHED = 500_000  # entries of each of the two caches of a Python worker, some 80 MB each
+MAX_CACHED = 400_000  # entries of each of the two caches of a Python worker, some 60 MB each
+SHARE = 500_000  # characters that are split at once
 
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _SAFE_TEXT = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -91,22 +92,32 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is an empty one."""
-        split = []
+        out: list[bytes] = []
+        share: list[str] = []
+        size = 0
         for text in texts:
-            text = text or ""
-            # str.split() also cuts at signs that are no white space to the tokenizer
-            split.append(text.split() if _SAFE_TEXT.fullmatch(text) else [x for x in _WHITE.split(text) if x])
-        unseen: set[str] = set()
-        for pieces in split:
-            unseen.update(pieces)
-        unseen.difference_update(self.pieces)
-        fresh = self._new_pieces(list(unseen))
+            share.append(text or "")
+            size += len(share[-1])
+            if size > SHARE:
+                out += self._encode(share)
+                share, size = [], 0
+        return out + self._encode(share)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        # str.split() also cuts at signs that are no white space to the tokenizer
+        split = [text.split() if _SAFE_TEXT.fullmatch(text) else [x for x in _WHITE.split(text) if x] for text in texts]
+        found = [list(map(self.pieces.get, pieces)) for pieces in split]
+        missing: set[str] = set()
+        for pieces, ids in zip(split, found):
+            if None in ids:
+                missing.update([piece for piece, known in zip(pieces, ids) if known is None])
+        fresh = self._new_pieces(list(missing))
         if len(self.pieces) + len(fresh) <= MAX_CACHED:
             self.pieces |= fresh
-            known = self.pieces
-        else:
-            known = _Both(fresh, self.pieces)
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        return [
+            b"".join([fresh[piece] if known is None else known for piece, known in zip(pieces, ids)] if None in ids else ids)
+            for pieces, ids in zip(split, found)
+        ]
 
 
 class _Both(dict):
