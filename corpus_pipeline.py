@@ -1,4 +1,10 @@
-"""A pipeline from raw documents to token records, made of the operators of ``ledgerline.llm``."""
+"""A pipeline from raw documents to token records, made of the operators of ``ledgerline.llm``.
+
+Each stage takes all its predecessor kept, as a table reread from the shared
+folder, so a lost executor costs at most the tasks of one stage. Documents that the
+quality classifier rejects go; of each group of near copies one stays; contaminated
+documents go; the mixture is sampled to tempered shares; the rest becomes token records.
+"""
 
 from __future__ import annotations
 
@@ -9,24 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from ledgerline.llm.common import table  # noqa: E402
+from ledgerline.llm.decontaminate import decontaminate  # noqa: E402
+from ledgerline.llm.mixing import mix  # noqa: E402
+from ledgerline.llm.ngram_join import keep_one_per_group  # noqa: E402
+from ledgerline.llm.quality import keep_quality  # noqa: E402
 from ledgerline.llm.token_records import digest, token_records, vocabulary_file  # noqa: E402
 from ledgerline.session import store  # noqa: E402
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of what is left, read back from their files."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_per_group(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     records, _, _ = token_records(docs, vocabulary_file())
     return digest(records)
 
 
-STAGES = [("token_records", write_tokens)]
+STAGES = [("quality", quality), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture), ("tokens", tokens)]
 
 # Training a classifier and merging tokens are beyond SQL; the tests hold run() against plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
