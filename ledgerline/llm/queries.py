@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.blob_secrets import op5_secrets
 from ledgerline.llm.decontaminate import OP8_SQL, op8_decontaminate
 from ledgerline.llm.mixing import OP3_SQL, op3_mixing
 from ledgerline.llm.ngram_join import op6_ngram_join
+from ledgerline.llm.pii import op4_pii
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.token_records import op10_token_records
 
-QUERIES = {query.__name__: query for query in (op3_mixing, op6_ngram_join, op7_quality, op8_decontaminate, op10_token_records)}
+QUERIES = {query.__name__: query for query in (op3_mixing, op4_pii, op5_secrets, op6_ngram_join, op7_quality, op8_decontaminate, op10_token_records)}
 
 ORACLE_SQL = {"op3_mixing": OP3_SQL, "op8_decontaminate": OP8_SQL}
