@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ledgerline.session import store
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on edges (a > b): neighbours are linked to the least one."""
+def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
+    """One star step on edges (a > b): neighbours are linked to the least one.
+
+    The least neighbours are stored before the join: with their size known they are
+    broadcast if small, and else the many links of a hub can be split.
+    """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        least = store(least, f"{name}-least")
         moved = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("least"))
+        least = store(edges.groupBy("a").agg(F.min("b").alias("least")), f"{name}-least")
         moved = edges.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         moved = moved.unionByName(least.select("a", F.col("least").alias("b")))
     # Two-column aggregation: equal edges meet in each task before the shuffle.
@@ -36,7 +41,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if tuple(row) == state:
             break
         state = tuple(row)
-        current = store(_star(_star(current, True), False), name)
+        current = store(_star(store(_star(current, True, name), name), False, name), name)
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -57,7 +57,8 @@ SAMPLED = 1 << 62  # shingles with a hash below, as unsigned: a quarter of all
 BLOCK = 512  # classes in a block, about
 COLUMN_BLOCK = 4096  # shingles multiplied at once
 FILTER_BITS = 1 << 24  # of the set of candidates' ids that every task gets, 2 MB whatever the data
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 300_000
+SLICE = 1000  # documents whose shingles a task holds at once
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value, an odd multiplier
 _WORDS: dict[bytes, int] = {}
@@ -114,9 +115,15 @@ def _set_key(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) if len(shingles) else 0
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _describe(width: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(text.as_py(), width) for text in batch["text"]]
             keys = _signed(np.array([_set_key(x) for x in sets], np.uint64))
             sizes = np.array([len(x) for x in sets], np.int64)
@@ -131,7 +138,7 @@ def _columns(percent: int, width: int):
     """(gram, key, n) of the first shingles, with the copies and common shingles of a batch put together."""
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [x for x in (shingle_set(text.as_py(), width) for text in batch["text"]) if len(x)]
             if not sets:
                 continue
@@ -173,7 +180,7 @@ def _pick(bits: bytes, percent: int, width: int):
 
 def _candidate_grams(percent: int, width: int):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             firsts = [_signed(_first_shingles(shingle_set(text.as_py(), width), percent)) for text in batch["text"]]
             counts = [len(x) for x in firsts]
             yield pa.RecordBatch.from_arrays(
@@ -287,8 +294,8 @@ def candidates(docs: DataFrame, described: DataFrame, percent: int = PERCENT, wi
         docs.select("text").mapInArrow(_columns(percent, width), "gram long, key long, n int")
         .groupBy("gram").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("n").alias("n"))
     )
-    # One job for both: the exchange of the columns is used twice.
-    lonely = columns.filter((F.col("first") == F.col("last")) & F.col("gram").between(0, SAMPLED - 1))
+    # One job for both, with all columns in both (n is never 0), so that their exchange is made once and read twice.
+    lonely = columns.filter((F.col("first") == F.col("last")) & F.col("gram").between(0, SAMPLED - 1) & (F.col("n") > 0))
     lonely = lonely.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("n"))
     shared = columns.filter("first <> last").select(F.col("gram").alias("id"), "n")
     both = store(
