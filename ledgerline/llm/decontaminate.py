@@ -132,7 +132,7 @@ class ItemAutomaton:
                 if state is None:
                     break
             if state is not None:
-                if k - reach > end:
+                if end < 0 or k - reach > end:
                     if end >= 0:
                         yield start, end
                     start = max(0, k - reach)
