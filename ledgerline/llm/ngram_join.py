@@ -57,7 +57,7 @@ SAMPLED = 1 << 62  # shingles with a hash below, as unsigned: a quarter of all
 BLOCK = 512  # classes in a block, about
 COLUMN_BLOCK = 4096  # shingles multiplied at once
 FILTER_BITS = 1 << 24  # of the set of candidates' ids that every task gets, 2 MB whatever the data
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 200_000  # hashes of words a task keeps
 SLICE = 1000  # documents whose shingles a task holds at once
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value, an odd multiplier
@@ -116,9 +116,13 @@ def _set_key(shingles: np.ndarray) -> int:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+    """Batches in small parts; what was kept for a task goes with it."""
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                yield batch.slice(start, SLICE)
+    finally:
+        _WORDS.clear()
 
 
 def _describe(width: int):
@@ -168,7 +172,7 @@ def _pick(bits: bytes, percent: int, width: int):
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             slot = batch["slot"].to_numpy()
             hit = (known[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
@@ -252,7 +256,7 @@ def _multiply(percent: int, width: int):
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, keys, texts = None, [], []
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for group, i, j, key, text in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "key", "text"))):
                 if (group, i, j) != current:

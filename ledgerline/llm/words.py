@@ -18,7 +18,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-MAX_CACHED = 400_000  # entries of each of the two caches of a Python worker, some 60 MB each
+MAX_CACHED = 300_000  # entries of each of the two caches of a Python worker, some 50 MB each
 SHARE = 500_000  # characters that are split at once
 
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]*")

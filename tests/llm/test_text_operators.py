@@ -279,7 +279,7 @@ def vocabulary():
 
 def test_words_are_encoded_as_whole_texts(monkeypatch):
     encoder = WordEncoder(vocabulary())
-    for limit in (400_000, 3):
+    for limit in (300_000, 3):
         monkeypatch.setattr("ledgerline.llm.words.MAX_CACHED", limit)
         got = [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(ODD + ODD)]
         assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD + ODD]
