@@ -27,20 +27,24 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     return moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every id has one neighbour below it at most, and ids with one have none above."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); component is the least id it reaches.
 
-    Alternates large-star and small-star steps until nothing moves; each round is
-    written to the shared folder. Null and self links are ignored.
+    Alternates large-star and small-star steps until each component is a star
+    around its least id; each step is written to the shared folder. Null and self
+    links are ignored.
     """
     current = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = store(current, name)
-    state = None
-    while True:
-        row = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            break
-        state = tuple(row)
+    while not _is_settled(current):
         current = store(_star(store(_star(current, True, name), name), False, name), name)
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

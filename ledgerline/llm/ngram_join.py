@@ -182,10 +182,13 @@ def _pick(bits: bytes, percent: int, width: int):
     return pick
 
 
-def _candidate_grams(percent: int, width: int):
+def _candidate_grams(percent: int, width: int, whole: bool):
+    """(gram, key, spare) of the first shingles of each set, or of all."""
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            firsts = [_signed(_first_shingles(shingle_set(text.as_py(), width), percent)) for text in batch["text"]]
+            sets = [shingle_set(text.as_py(), width) for text in batch["text"]]
+            firsts = [_signed(x if whole else _first_shingles(x, percent)) for x in sets]
             counts = [len(x) for x in firsts]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -199,45 +202,50 @@ def _candidate_grams(percent: int, width: int):
     return grams
 
 
-def links_of_block(sets: list[np.ndarray], percent: int = PERCENT, column_block: int = COLUMN_BLOCK) -> np.ndarray:
-    """Boolean matrix of the links among some sets: the product of their incidence matrix with itself."""
-    n = len(sets)
-    sizes = np.array([len(x) for x in sets], np.int64)
+def links_of_blocks(rows: list[np.ndarray], others: list[np.ndarray], percent: int = PERCENT, column_block: int = COLUMN_BLOCK) -> np.ndarray:
+    """Boolean matrix of the links of some sets with others: the product of their incidence matrices."""
+    n, m = len(rows), len(others)
+    a, b = (np.array([len(x) for x in sets], np.int64) for sets in (rows, others))
     # 100 * o >= p * (a + b - o)
-    needed = -(-percent * (sizes[:, None] + sizes[None, :]) // (100 + percent))
-    possible = (needed <= np.minimum(sizes[:, None], sizes[None, :])) & ~np.eye(n, dtype=bool)
-    rows = np.repeat(np.arange(n), sizes)
-    _, columns, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts[columns] > 1
-    rows, columns = rows[shared], columns[shared]
-    place = np.cumsum(counts > 1) - 1
-    columns = place[columns]
-    width = int((counts > 1).sum())
+    needed = -(-percent * (a[:, None] + b[None, :]) // (100 + percent))
+    possible = needed <= np.minimum(a[:, None], b[None, :])
+    _, columns = np.unique(np.concatenate(rows + others), return_inverse=True)
+    at, split = np.repeat(np.arange(n + m), np.concatenate((a, b))), int(a.sum())
+    # Columns that both sides have, numbered anew.
+    both = np.zeros(columns.max() + 1, bool)
+    both[columns[:split]] = True
+    there = np.zeros_like(both)
+    there[columns[split:]] = True
+    both &= there
+    number = np.cumsum(both) - 1
+    kept = both[columns]
+    at, columns = at[kept], number[columns[kept]]
     order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    left = np.bincount(rows, minlength=n).astype(np.int64)  # shared columns still to come, by row
-    overlap = np.zeros((n, n), np.float32)
+    at, columns, width = at[order], columns[order], int(both.sum())
+    left = np.bincount(at, minlength=n + m).astype(np.int64)  # shared columns still to come
+    overlap = np.zeros((n, m), np.float32)
     for start in range(0, width, column_block):
-        alive = possible.any(axis=1)
-        if not alive.any():
+        alive, met = np.flatnonzero(possible.any(axis=1)), np.flatnonzero(possible.any(axis=0))
+        if not len(alive):
             break
-        a, b = np.searchsorted(columns, [start, start + column_block])
-        part = np.zeros((n, min(column_block, width - start)), np.float32)
-        part[rows[a:b], columns[a:b] - start] = 1
-        at = np.flatnonzero(alive)
-        part = part[at]
-        overlap[np.ix_(at, at)] += part @ part.T
-        left -= np.bincount(rows[a:b], minlength=n)
-        possible &= overlap + np.minimum(left[:, None], left[None, :]) >= needed
+        first, end = np.searchsorted(columns, [start, start + column_block])
+        part = np.zeros((n + m, min(column_block, width - start)), np.float32)
+        part[at[first:end], columns[first:end] - start] = 1
+        overlap[np.ix_(alive, met)] += part[alive] @ part[n + met].T
+        left -= np.bincount(at[first:end], minlength=n + m)
+        possible &= overlap + np.minimum(left[:n, None], left[None, n:]) >= needed
     return possible & (overlap >= needed)
 
 
-def _forest(links: np.ndarray) -> np.ndarray:
-    """For each row the least row it reaches."""
-    root = np.arange(len(links))
+def forest_of(links: np.ndarray) -> np.ndarray:
+    """For each row, then each column, the least of all (rows first) that it reaches."""
+    n, m = links.shape
+    root = np.arange(n + m)
     while True:
-        least = np.where(links, root[None, :], len(links)).min(axis=1, initial=len(links))
-        new = np.minimum(root, least)
+        new = root.copy()
+        if n and m:
+            new[:n] = np.minimum(root[:n], np.where(links, root[None, n:], n + m).min(axis=1))
+            new[n:] = np.minimum(root[n:], np.where(links, root[:n, None], n + m).min(axis=0))
         new = np.minimum(new, new[new])
         if (new == root).all():
             return root
@@ -247,28 +255,32 @@ def _forest(links: np.ndarray) -> np.ndarray:
 def _multiply(percent: int, width: int):
     """Streams groups of rows with one (group, i, j) and yields (a, b) of their spanning forests."""
 
-    def forest(keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        keys, first = np.unique(np.array(keys, np.int64), return_index=True)  # repeated rows
-        links = links_of_block([shingle_set(texts[k], width) for k in first], percent)
-        root = _forest(links)
-        at = np.flatnonzero(root != np.arange(len(root)))
+    def forest(i: int, j: int, members: dict[tuple[int, int], str]) -> tuple[np.ndarray, np.ndarray]:
+        sides: tuple[list, list] = ([], [])
+        for (part, key), text in sorted(members.items()):
+            sides[part == j and i != j].append((key, shingle_set(text, width)))
+        rows, others = sides[0], sides[1] if i != j else sides[0]
+        if not rows or not others:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        root = forest_of(links_of_blocks([x for _, x in rows], [x for _, x in others], percent))
+        keys = np.array([key for key, _ in rows + others], np.int64)
+        at = np.flatnonzero(keys[root] != keys)
         return keys[at], keys[root[at]]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, texts = None, [], []
+        current, members = None, {}
         for batch in _slices(batches):
             found = []
-            for group, i, j, key, text in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "key", "text"))):
+            for group, i, j, part, key, text in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "part", "key", "text"))):
                 if (group, i, j) != current:
-                    if len(keys) > 1:
-                        found.append(forest(keys, texts))
-                    current, keys, texts = (group, i, j), [], []
-                keys.append(key)
-                texts.append(text)
+                    if len(members) > 1:
+                        found.append(forest(*current[1:], members))
+                    current, members = (group, i, j), {}
+                members[part, key] = text
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
-        if len(keys) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(keys, texts)], names=["a", "b"])
+        if len(members) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*current[1:], members)], names=["a", "b"])
 
     return multiply
 
@@ -299,8 +311,10 @@ def candidates(docs: DataFrame, described: DataFrame, percent: int = PERCENT, wi
         .groupBy("gram").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.sum("n").alias("n"))
     )
     # One job for both, with all columns in both (n is never 0), so that their exchange is made once and read twice.
-    lonely = columns.filter((F.col("first") == F.col("last")) & F.col("gram").between(0, SAMPLED - 1) & (F.col("n") > 0))
-    lonely = lonely.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("n"))
+    # A condition on the shingle would be moved below the aggregation and part the two, hence the sum.
+    lonely = columns.filter((F.col("first") == F.col("last")) & (F.col("n") > 0))
+    sampled = F.when(F.col("gram").between(0, SAMPLED - 1), 1).otherwise(0)
+    lonely = lonely.groupBy(F.col("first").alias("id")).agg(F.sum(sampled).alias("n"))
     shared = columns.filter("first <> last").select(F.col("gram").alias("id"), "n")
     both = store(
         lonely.withColumn("kind", F.lit("lonely")).unionByName(shared.withColumn("kind", F.lit("shared"))), "ngram-columns", "kind"
@@ -319,9 +333,14 @@ def candidates(docs: DataFrame, described: DataFrame, percent: int = PERCENT, wi
     return store(picked.join(classes, ["at", "key"]), "ngram-candidates"), shared
 
 
-def candidate_groups(texts: DataFrame, shared: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(id, component): classes that share a column of their prefixes, directly or in a chain."""
-    grams = texts.select("key", "spare", "text").mapInArrow(_candidate_grams(percent, width), "gram long, key long, spare long")
+def candidate_groups(
+    texts: DataFrame, shared: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE, whole: bool = False
+) -> DataFrame:
+    """(id, component): classes that share a column of their prefixes, directly or in a chain.
+
+    ``whole`` takes prefixes of whole sets, else of their first shingles.
+    """
+    grams = texts.select("key", "spare", "text").mapInArrow(_candidate_grams(percent, width, whole), "gram long, key long, spare long")
     met = grams.join(shared, "gram").dropDuplicates(["key", "gram"])
     # A set's shingles at most meet in one window.
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "gram"))
@@ -331,35 +350,80 @@ def candidate_groups(texts: DataFrame, shared: DataFrame, percent: int = PERCENT
     return connected_components(edges, "ngram-groups")
 
 
-def blocks(texts: DataFrame, groups: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """(group, i, j, key, text): the rows of each pair of blocks to multiply."""
-    members = texts.select("key", "n_shingles").distinct().join(groups.select(F.col("id").alias("key"), F.col("component").alias("group")), "key")
-    # Linked sizes differ by a factor of 100 / percent at most, so by one of these steps.
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / percent * 1.0001))).cast("int")
-    members = members.withColumn("step", step)
-    counts = members.groupBy("group", "step").agg(F.count("*").alias("n"))
+def refined(
+    texts: DataFrame, groups: DataFrame, block: int = BLOCK, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE
+) -> DataFrame:
+    """Candidates with their groups; groups of more than a block are looked at again, by all shingles of their sets.
+
+    Partners of a class are in its group, so a shingle that no other class of a
+    large group has is lonely. Counting them all (not the sampled ones alone) drops
+    classes, lowers ``spare``, and parts groups that met in common passages.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > block)
+    placed = store(groups.join(sizes, "component").select(F.col("id").alias("key"), "component", "large"), "ngram-placed")
+    # A class can be there twice, if its row is.
+    known = texts.dropDuplicates(["key"]).join(placed, "key")
+    known = store(known.select("key", "n_shingles", "spare", "text", "component", "large"), "ngram-members")
+    small = known.filter("not large")
+    large = known.filter("large")
+    grams = large.select("key", "spare", "text").mapInArrow(_candidate_grams(percent, width, True), "gram long, key long, spare long")
+    columns = grams.groupBy("gram").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
+    lonely = columns.filter((F.col("first") == F.col("last")) & (F.col("n") > 0)).groupBy(F.col("first").alias("id")).agg(F.count("*").alias("n"))
+    shared = columns.filter("first <> last").select(F.col("gram").alias("id"), "n")
+    both = store(lonely.withColumn("kind", F.lit("lonely")).unionByName(shared.withColumn("kind", F.lit("shared"))), "ngram-inner-columns", "kind")
+    lonely = both.filter("kind = 'lonely'").select(F.col("id").alias("key"), F.col("n").alias("lonely"))
+    shared = both.filter("kind = 'shared'").select(F.col("id").alias("gram"), "n")
+    spare = (F.expr(f"n_shingles - (n_shingles * {percent} + 99) div 100") - F.coalesce("lonely", F.lit(0)) + 1).cast("long")
+    left = large.drop("spare", "component", "large").join(lonely, "key", "left")
+    left = store(left.select("key", "n_shingles", spare.alias("spare"), "text").filter("spare > 0"), "ngram-large")
+    again = candidate_groups(left, shared, percent, width, True).select(F.col("id").alias("key"), "component")
+    columns_ = ["key", "n_shingles", "spare", "text", F.col("component").alias("group")]
+    return small.select(*columns_).unionByName(left.join(again, "key").select(*columns_))
+
+
+def blocks(members: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """(group, i, j, part, key, text): the rows of each pair of blocks to multiply.
+
+    A block holds classes of like size and like greatest size of a partner: of x,
+    overlaps reach ``most`` = size less lonely shingles, hence partners
+    ``most`` * (100 + percent) / percent - size.
+    """
+    most = F.expr(f"(n_shingles * {percent} + 99) div 100 + spare - 1")
+    reach = F.floor(most * (100 + percent) / percent) - F.col("n_shingles")
+
+    def step(size) -> Column:
+        # Linked sizes differ by a factor of 100 / percent at most, so by one of these steps.
+        return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(100 / percent * 1.0001))).cast("int")
+
+    sized = members.select("group", "key", step(F.col("n_shingles")).alias("own"), step(reach).alias("reach"))
+    kind = ["group", "own", "reach"]
+    counts = sized.groupBy(*kind).agg(F.count("*").alias("n"))
     totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
-    plan = counts.join(totals, "group").select(
-        "group", "step", F.when(F.col("total") <= block, 0).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("parts")
-    )
-    placed = members.join(plan, ["group", "step"])
-    part = F.when(F.col("parts") == 0, -1).otherwise(F.col("step") * (1 << 20) + F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int"))
-    placed = store(placed.select("group", "key", part.alias("part")), "ngram-blocks")
-    each = placed.select("group", "part").distinct()
-    other = each.select("group", F.col("part").alias("j"))
-    near = F.abs(F.shiftright("i", 20) - F.shiftright("j", 20)) <= 1
-    pairs = each.withColumnRenamed("part", "i").join(other, "group").filter((F.col("i") <= F.col("j")) & near)
+    parts = F.when(F.col("total") <= block, 0).otherwise(F.ceil(F.col("n") / block)).cast("int")
+    plan = store(counts.join(totals, "group").filter("total > 1").select(*kind, parts.alias("parts")), "ngram-plan")
+    placed = sized.join(plan, kind)
+    whole = F.col("parts") == 0
+    part = F.when(whole, -1).otherwise(F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int"))
+    # own, reach and part in one number.
+    place = F.when(whole, F.lit(-1).cast("long")).otherwise((F.col("own").cast("long") * 4096 + F.col("reach")) * (1 << 32) + part)
+    placed = store(placed.select("group", "key", place.alias("part")), "ngram-blocks")
+    each = store(placed.select("group", "part").distinct(), "ngram-block-names")
+    own, reach_of = (lambda c: F.shiftright(c, 44)), (lambda c: F.shiftright(c, 32).bitwiseAND(4095))
+    meets = (F.abs(own("i") - own("j")) <= 1) & (own("i") <= reach_of("j")) & (own("j") <= reach_of("i")) | (F.col("i") < 0)
+    pairs = each.withColumnRenamed("part", "i").join(each.withColumnRenamed("part", "j"), "group").filter((F.col("i") <= F.col("j")) & meets)
+    pairs = store(pairs, "ngram-block-pairs")
     left = placed.join(pairs.withColumn("part", F.col("i")), ["group", "part"])
     right = placed.join(pairs.filter("i < j").withColumn("part", F.col("j")), ["group", "part"])
-    tasks = left.unionByName(right).select("group", "i", "j", "key")
-    return tasks.join(texts.select("key", "text"), "key").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    tasks = left.unionByName(right).select("group", "i", "j", "part", "key")
+    dealt = tasks.join(members.select("key", "text"), "key").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return dealt.select("group", "i", "j", "part", "key", "text")
 
 
 def class_components(docs: DataFrame, described: DataFrame, percent: int = PERCENT, width: int = WORDS_PER_SHINGLE, block: int = BLOCK) -> DataFrame:
     """(id, component) of the classes that link with another."""
     texts, shared = candidates(docs, described, percent, width)
     groups = candidate_groups(texts, shared, percent, width)
-    dealt = blocks(texts, groups, block, percent).select("group", "i", "j", "key", "text")
+    dealt = blocks(refined(texts, groups, block, percent, width), block, percent)
     return connected_components(dealt.mapInArrow(_multiply(percent, width), "a long, b long"), "ngram-components")
 
 
