@@ -6,11 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The forms of version directories and script files.
-VERSION_PATTERN = r"\A[0-9]{1,18}(\.[0-9]{1,18})*\z"
+VERSION_PATTERN = r"\A[0-9]++(?:\.[0-9]++)*+\z"
 SCRIPT_PATTERN = r"^(\d+)-.*\.(sql|py|json)$"
 STRICT_SCRIPT_PATTERN = r"^\d{2}-.*\.(sql|py|json)$"
 SCRIPT_EXTENSION_PATTERN = r"\.(sql|py|json)$"
 INIT_FILE = "init.sql"
+KEY_WIDTH = 9  # digits that tell the length of a version's part
+NUMBER_TYPE = "decimal(38,0)"
+LONGEST_NUMBER = "9" * 38
 
 
 def _col(column: Column | str) -> Column:
@@ -18,18 +21,35 @@ def _col(column: Column | str) -> Column:
 
 
 def is_version(version: Column | str) -> Column:
-    """True for dotted integers; a part longer than 18 digits is not taken as a version."""
+    """True for dotted integers of any length."""
     return _col(version).rlike(VERSION_PATTERN)
 
 
 def version_key(version: Column | str) -> Column:
-    """``array<bigint>`` that sorts as the version does; NULL for anything else.
+    """``array<string>`` that sorts as the version does; NULL for anything else.
 
-    Trailing zero parts are dropped, so ``1.4`` and ``1.4.0`` get one key.
+    A part is its number of digits, then its digits, without leading zeros: that
+    sorts as the number does, however long it is. Trailing zero parts are
+    dropped, so ``1.4`` and ``1.4.0`` get one key.
     """
     version = _col(version)
-    parts = F.split(F.regexp_replace(version, r"(\.0+)+$", ""), r"\.")
-    return F.when(is_version(version), parts.cast("array<bigint>"))
+    parts = F.split(F.regexp_replace(version, r"(?:\.0++)++$", ""), r"\.")
+    return F.when(is_version(version), F.transform(parts, _number_key))
+
+
+def _number_key(digits: Column) -> Column:
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), KEY_WIDTH, "0"), plain)
+
+
+def version_of_key(key: Column | str) -> Column:
+    """The version that a key stands for, in its shortest form."""
+    return F.array_join(F.transform(_col(key), lambda part: F.substring(part, KEY_WIDTH + 1, 1 << 30)), ".")
+
+
+def below_all_versions() -> Column:
+    """A key less than that of every version."""
+    return F.array().cast("array<string>")
 
 
 def version_literal(version: str) -> Column:
@@ -69,8 +89,12 @@ def has_script_extension(filename: Column | str) -> Column:
 
 
 def script_number(path: Column | str) -> Column:
-    """Leading number of a script file given by name or path; NULL without one."""
-    return F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1).try_cast("int")
+    """Leading number of a script file given by name or path; NULL without one.
+
+    Numbers of more than 38 digits are all the greatest one; names order them.
+    """
+    digits = F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1)
+    return F.when(digits != "", F.coalesce(digits.try_cast(NUMBER_TYPE), F.lit(LONGEST_NUMBER).cast(NUMBER_TYPE)))
 
 
 def file_extension(path: Column | str) -> Column:
@@ -90,4 +114,4 @@ def anchor_version(anchor: Column | str) -> Column:
 
 def anchor_number(anchor: Column | str) -> Column:
     """Script number of the recorded file; -1 for ``init.sql`` or nothing."""
-    return F.coalesce(script_number(anchor), F.lit(-1))
+    return F.coalesce(script_number(anchor), F.lit(-1).cast(NUMBER_TYPE))

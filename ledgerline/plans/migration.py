@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.versions import (
     INIT_FILE,
+    NUMBER_TYPE,
     anchor_number,
     anchor_version,
+    below_all_versions,
     is_script_name,
     relative_name,
     script_number,
@@ -60,7 +62,10 @@ def service_state(
             "n_versions",
             F.when(F.col("installed_version").isNull(), INSTALL).otherwise(UPGRADE).alias("route"),
             "installed_version",
-            version_key("installed_version").alias("installed_vkey"),
+            # Nothing closed so far: below every version.
+            F.when(F.col("installed_version") == "", below_all_versions())
+            .otherwise(version_key("installed_version"))
+            .alias("installed_vkey"),
             anchor_version("anchor").alias("anchor_version"),
             anchor_number("anchor").alias("anchor_seq"),
             F.col("top.version").alias("target_version"),
@@ -146,6 +151,22 @@ def pending_scripts(
     )
 
 
+def plan_problems(state: DataFrame) -> DataFrame:
+    """Services that cannot be planned, one row per reason: what the plan leaves out is here.
+
+    An installed version that is no version cannot be compared; a new service
+    whose top version has no install script cannot be installed.
+    """
+    unreadable = (F.col("route") == UPGRADE) & F.col("installed_vkey").isNull()
+    no_install = (F.col("route") == INSTALL) & ~F.col("can_install")
+    problem = F.when(unreadable, "installed_version_unreadable").when(no_install, "install_script_missing")
+    return (
+        state.withColumn("problem", problem)
+        .filter(F.col("problem").isNotNull())
+        .select("service", "ordinal", "db_type", "problem", "installed_version", "target_version")
+    )
+
+
 def migration_plan(
     scripts: DataFrame,
     task: DataFrame,
@@ -172,7 +193,7 @@ def migration_plan(
         "route",
         F.col("target_version").alias("version"),
         version_key("target_version").alias("vkey"),
-        F.lit(-1).alias("seq"),
+        F.lit(-1).cast(NUMBER_TYPE).alias("seq"),
         F.lit(INIT_FILE).alias("filename"),
         relative_name("target_version", F.lit(INIT_FILE)).alias("relative_name"),
         "installed_version",

@@ -158,7 +158,7 @@ def test_plan_after_everything_ran_is_empty(spark):
     last = selection.version_completion(plan).select("service", "version", "last_script")
     outcomes = plan.join(last, ["service", "version"]).select(
         "service", "version", F.col("relative_name").alias("script_file_name"), F.lit("success").alias("status"),
-        F.timestamp_micros(F.element_at("vkey", -1) * 100 + F.col("seq") + 10).cast("timestamp_ntz").alias("ts"),
+        F.timestamp_micros((F.substring_index("version", ".", -1).cast("long") * 100 + F.col("seq") + 10).cast("long")).cast("timestamp_ntz").alias("ts"),
         F.monotonically_increasing_id().alias("event_id"), "target_version",
         (F.col("filename") == F.col("last_script")).alias("closes_version"),
     )
