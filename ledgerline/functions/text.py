@@ -21,13 +21,24 @@ SWITCH_PATTERN = {
     "kdb9": r"(?is)^\s*SET\s+SEARCH_PATH\s+TO\s+(\S.*)$",
 }
 DIALECTS = ("mariadb", "dm8", "kdb9")
+# Databases that follow the rules of another.
+FAMILY = {"mysql": "mariadb", "tidb": "mariadb", "goldendb": "mariadb"}
+
+
+def family(dialect: Column | str) -> Column:
+    """The dialect whose rules a database follows, whatever the case of its name; NULL for one that is not supported."""
+    name = F.lower(_col(dialect))
+    result = F.when(name.isin(*DIALECTS), name)
+    for other, own in FAMILY.items():
+        result = result.when(name == other, own)
+    return result
 
 
 def per_dialect(dialect: Column | str, expression) -> Column:
     """``expression(name)`` of whichever dialect the row names; NULL for others."""
-    if isinstance(dialect, str) and dialect in DIALECTS:
-        return expression(dialect)
-    dialect = _col(dialect)
+    if isinstance(dialect, str) and (known := FAMILY.get(dialect, dialect)) in DIALECTS:
+        return expression(known)
+    dialect = family(dialect)
     result = F.when(dialect == DIALECTS[0], expression(DIALECTS[0]))
     for name in DIALECTS[1:]:
         result = result.when(dialect == name, expression(name))

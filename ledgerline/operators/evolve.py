@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.types import default_text, spark_type
+from ledgerline.functions.types import default_text, spark_type, text_length
 from ledgerline.operators.quality import constraint_violations
+from ledgerline.session import store
 
 
 def find_column(df: DataFrame, name: str) -> str | None:
@@ -35,12 +36,21 @@ def modify_column(df: DataFrame, name: str, data_type: T.DataType | str) -> Data
     return df.withColumn(found, F.col(found).try_cast(data_type)) if found else df
 
 
-def lossy_casts(df: DataFrame, name: str, data_type: T.DataType | str) -> DataFrame:
-    """Rows whose value a change of type would lose."""
+def lossy_casts(df: DataFrame, name: str, data_type: T.DataType | str, length: int | None = None) -> DataFrame:
+    """Rows whose value a change of type would lose: it does not fit, or comes back as another.
+
+    ``length`` is what a text may have in characters; a longer one is cut by the database.
+    """
     found = find_column(df, name)
     if found is None:
         return df.limit(0)
-    return df.filter(F.col(found).isNotNull() & F.col(found).try_cast(data_type).isNull())
+    value = F.col(found)
+    cast = value.try_cast(data_type)
+    kind = df.schema[found].dataType
+    # A number may be written in another way as text, but has to come back as itself.
+    changed = F.lit(False) if isinstance(kind, T.StringType) else F.coalesce(cast.try_cast(kind) != value, F.lit(True))
+    too_long = F.length(cast.cast("string")) > length if length is not None else F.lit(False)
+    return df.filter(value.isNotNull() & (cast.isNull() | changed | too_long))
 
 
 def rename_column(df: DataFrame, name: str, new_name: str) -> DataFrame:
@@ -85,16 +95,14 @@ def apply_user_step(df: DataFrame, step: Callable[[DataFrame], DataFrame], toler
     """A user's own DataFrame step. Returns the table and the text of a tolerated error.
 
     A lazy step fails only when it runs, so tolerating errors means running it
-    once into a sink that keeps nothing.
+    here; its result is stored, and what follows reads that.
     """
     if not tolerate_errors:
         return step(df), None
     try:
-        result = step(df)
-        result.write.format("noop").mode("overwrite").save()
+        return store(step(df), "user-step"), None
     except Exception as error:  # whatever the user's step raises
         return df, str(error).splitlines()[0] if str(error) else type(error).__name__
-    return result, None
 
 
 @dataclass
@@ -165,7 +173,8 @@ def replay_changes(
             raise ValueError(f"table {db}.{table} does not exist: {dict(change)}")
         if kind == "COLUMN" and here is not None:
             if operation == "MODIFY" and find_column(here, name):
-                result.lossy_casts[db, table, name] = lossy_casts(here, name, spark_type(change["object_property"]))
+                prop = change["object_property"]
+                result.lossy_casts[db, table, name] = lossy_casts(here, name, spark_type(prop), text_length(prop))
             result.tables[db, table] = _change_column(here, operation, change)
         elif kind == "CONSTRAINT" and operation == "ADD":
             siblings = {t: df for (d, t), df in result.tables.items() if d == db}

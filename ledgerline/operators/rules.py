@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.text import (
     database_of_switch,
     default_value,
+    family,
     has_illegal_characters,
     is_blank_statement,
     leading_type_length,
@@ -33,6 +34,7 @@ from ledgerline.functions.versions import (
     script_number,
 )
 from ledgerline.operators.skew import key_counts
+from ledgerline.session import store
 
 ERROR, WARN = "error", "warn"
 
@@ -205,17 +207,26 @@ def statements_to_check(statements: DataFrame) -> DataFrame:
     return statements.filter(~is_blank_statement("sql"))
 
 
+def supported(df: DataFrame) -> DataFrame:
+    return df.filter(family("dialect").isNotNull())
+
+
+def unsupported_dialects(statements: DataFrame) -> DataFrame:
+    """Files of databases that no rule is known for; nothing else is said about them."""
+    files = statements.filter(family("dialect").isNull()).select("dialect", "file_kind", "file_id").distinct()
+    return violation(files, "unsupported_dialect", file_id="file_id", detail="dialect")
+
+
 def first_statement_rule(statements: DataFrame) -> DataFrame:
     """Files whose first statement does not switch the database.
 
-    The first statement is the least position of a file, found by an
-    aggregation; no file is sorted.
+    The first statement is the least position of a file of one kind: a
+    number found by a hash aggregation, then met by the statement itself.
     """
-    first = (
-        statements_to_check(statements)
-        .groupBy("dialect", "file_id")
-        .agg(F.min_by("sql", "ord").alias("sql"))
-    )
+    checked = supported(statements_to_check(statements))
+    file = ["dialect", "file_kind", "file_id"]
+    places = store(checked.groupBy(*file).agg(F.min("ord").alias("ord")), "first-statements")
+    first = checked.join(places, [*file, "ord"]).groupBy(*file).agg(F.min("sql").alias("sql"))
     return violation(
         first.filter(~switches_database("sql", "dialect")), "first_statement_must_switch", file_id="file_id", detail="sql"
     )
@@ -229,11 +240,11 @@ def statement_allow_list(statements: DataFrame) -> DataFrame:
     once with its object and once without.
     """
     entries = [f"{d} {kind} {words}" for (d, kind), allowed in ALLOWED_STATEMENTS.items() for words in allowed]
-    with_object = F.concat_ws(" ", "dialect", "file_kind", statement_verb("sql"), statement_object("sql"))
-    without_object = F.concat_ws(" ", "dialect", "file_kind", statement_verb("sql"))
+    with_object = F.concat_ws(" ", family("dialect"), "file_kind", statement_verb("sql"), statement_object("sql"))
+    without_object = F.concat_ws(" ", family("dialect"), "file_kind", statement_verb("sql"))
     allowed = with_object.isin(entries) | without_object.isin(entries) | switches_database("sql", "dialect")
     return violation(
-        statements_to_check(statements).filter(~allowed),
+        supported(statements_to_check(statements)).filter(~allowed),
         "statement_not_allowed",
         object_name=F.concat_ws(" ", statement_verb("sql"), statement_object("sql")),
         file_id="file_id",
@@ -474,7 +485,8 @@ def index_table_exists(indexes: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def comment_rules(comments: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Empty comments, and comments on tables or columns that do not exist."""
+    """dm8: empty comments, and comments on tables or columns that do not exist. Others keep comments in definitions."""
+    comments = comments.filter(F.col("dialect") == "dm8")
     empty = comments.filter(F.coalesce(F.btrim("comment", F.lit(" '")), F.lit("")) == "")
     on_table = comments.filter(F.col("column_name").isNull())
     on_column = comments.filter(F.col("column_name").isNotNull())
@@ -495,7 +507,7 @@ def comment_rules(comments: DataFrame, tables: DataFrame, columns: DataFrame) ->
 
 def column_rules(columns: DataFrame) -> DataFrame:
     """Rules on one column's type, length and default."""
-    data_type, length = F.col("data_type"), F.col("type_length")
+    data_type, length = F.upper("data_type"), F.col("type_length")
     dm8 = F.col("dialect") == "dm8"
     has_default = F.col("column_default").isNotNull() & (F.upper("column_default") != "NULL")
     return _broken_rules(
@@ -521,7 +533,7 @@ def text_in_index(indexes: DataFrame, columns: DataFrame) -> DataFrame:
     used = indexes.filter((F.col("dialect") == "dm8") & F.col("kind").isin("INDEX", "UNIQUE")).select(
         *TABLE, "index_name", F.explode("columns").alias("column_name")
     )
-    texts = columns.filter((F.col("dialect") == "dm8") & (F.col("data_type") == "TEXT")).select(*TABLE, "column_name")
+    texts = columns.filter((F.col("dialect") == "dm8") & (F.upper("data_type") == "TEXT")).select(*TABLE, "column_name")
     return violation(
         used.join(texts, [*TABLE, "column_name"], "left_semi"),
         "text_in_index", ERROR, "db_name", "table_name", "column_name", None, "index_name",

@@ -67,8 +67,8 @@ def salted_join(
 ) -> DataFrame:
     """The join of :func:`lookup` with the rows of big keys spread.
 
-    Only keys above ``rows_per_task`` rows are broadcast: at most
-    ``rows(big) / rows_per_task`` of them, each a key and a number.
+    The list of keys above ``rows_per_task`` rows, at most
+    ``rows(big) / rows_per_task`` of them, is broadcast if Spark finds it small.
     """
     keys = list(keys)
     hot = (
@@ -76,7 +76,7 @@ def salted_join(
         .select(*keys, _splits(F.col(count), rows_per_task).alias(SPLITS))
     )
     salted = (
-        big.join(F.broadcast(hot), keys, "left")
+        big.join(hot, keys, "left")
         .withColumn(SALT, F.pmod(F.xxhash64(*spread_on), F.coalesce(SPLITS, F.lit(1))).cast("int"))
         .drop(SPLITS)
     )

@@ -34,7 +34,9 @@ def scripts_to_check(scripts: DataFrame, check_type: int = CHECK_ALL, floor: str
 
 
 def statement_report(statements: DataFrame) -> DataFrame:
-    return rules.first_statement_rule(statements).unionByName(rules.statement_allow_list(statements))
+    return rules.union_all(
+        [rules.unsupported_dialects(statements), rules.first_statement_rule(statements), rules.statement_allow_list(statements)]
+    )
 
 
 def definition_report(
