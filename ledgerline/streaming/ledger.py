@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.ledger import latest, ledger_latest
 
+STATE_SCHEMA = "f_service_name string, f_version string, f_script_file_name string, f_create_time timestamp_ntz, f_id long"
 STATE_COLUMNS = ["f_version", "f_script_file_name", "f_create_time", "f_id"]
 
 
@@ -18,25 +19,39 @@ def latest_stream(history: DataFrame) -> DataFrame:
     return ledger_latest(history)
 
 
-def _state_before(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(f"{state_path}/batch={batch_id - 1}") if batch_id > 0 else None
+def _batches(spark: SparkSession, state_path: str) -> list[int]:
+    """Numbers of the batches that are written to the end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/batch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(status.getPath().getParent().getName().removeprefix("batch=")) for status in found)
+
+
+def _remove_batches(spark: SparkSession, state_path: str, up_to: int) -> None:
+    for batch in _batches(spark, state_path):
+        if batch <= up_to:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/batch={batch}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def merge_into_state(state_path: str):
     """Batch function that merges a micro-batch into the state written by the one before.
 
     Each batch writes its own folder, so a batch that runs again after a loss
-    replaces its result with the same rows.
+    replaces its result with the same rows. Its predecessor stays for that
+    case; older ones are removed.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        state = ledger_latest(batch)
-        before = _state_before(batch.sparkSession, state_path, batch_id)
-        if before is not None:
+        spark, state = batch.sparkSession, ledger_latest(batch)
+        earlier = [b for b in _batches(spark, state_path) if b < batch_id]
+        if earlier:
+            before = spark.read.parquet(f"{state_path}/batch={earlier[-1]}")
             state = latest(
                 state.unionByName(before), ["f_service_name"], ["f_create_time", "f_id"], STATE_COLUMNS
             )
         state.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        if earlier:
+            _remove_batches(spark, state_path, earlier[-1] - 1)
 
     return merge
 
@@ -51,7 +66,11 @@ def run_to_state(history: DataFrame, state_path: str, checkpoint_path: str) -> S
     )
 
 
-def read_state(spark: SparkSession, state_path: str, query: StreamingQuery) -> DataFrame:
-    """State after the last batch of a finished query."""
-    progress = query.lastProgress
-    return spark.read.parquet(f"{state_path}/batch={progress['batchId']}")
+def read_state(spark: SparkSession, state_path: str, query: StreamingQuery | None = None) -> DataFrame:
+    """State after the last batch, of whichever run it was; ``query`` is waited for."""
+    if query is not None:
+        query.awaitTermination()
+    written = _batches(spark, state_path)
+    if not written:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.parquet(f"{state_path}/batch={written[-1]}")
