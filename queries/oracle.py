@@ -9,13 +9,13 @@ def _vk(version: str) -> str:
     """Sort key of a version; NULL for anything else."""
     return (
         f"CASE WHEN regexp_full_match({version}, '[0-9]+(\\.[0-9]+)*') THEN "
-        f"string_split(regexp_replace({version}, '(\\.0+)+$', ''), '.')::BIGINT[] END"
+        f"string_split(regexp_replace({version}, '(\\.0+)+$', ''), '.')::HUGEINT[] END"
     )
 
 
 IS_VERSION = "regexp_full_match(version, '[0-9]+(\\.[0-9]+)*')"
 IS_SCRIPT = "(regexp_matches(filename, '^[0-9]+-.*\\.(sql|py|json)$') AND filename <> 'init.sql')"
-SEQ = "TRY_CAST(regexp_extract(filename, '^([0-9]+)-.*\\.(sql|py|json)$', 1) AS INTEGER)"
+SEQ = "TRY_CAST(regexp_extract(filename, '^([0-9]+)-.*\\.(sql|py|json)$', 1) AS DECIMAL(38,0))"
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 VOID = "CAST(NULL AS VARCHAR)"
 
@@ -25,12 +25,14 @@ ROLES: dict[str, str] = {
             CASE left(o_orderpriority, 1) WHEN '1' THEN 'dm8' WHEN '2' THEN 'kdb9' ELSE 'mariadb' END AS db_type,
             CASE WHEN o_orderpriority = '5-LOW' AND o_totalprice > 400000 THEN 'v' || ymd
                  WHEN o_orderstatus = 'O' AND o_orderpriority = '4-NOT SPECIFIED' THEN ymd || '.0'
+                 WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 300000 THEN ymd || '.12345678901234567890'
                  ELSE ymd END AS version
         FROM (SELECT *, year(o_orderdate) || '.' || month(o_orderdate) || '.' || day(o_orderdate) AS ymd FROM orders)""",
     "scripts": """
         SELECT service, db_type, version,
             CASE WHEN l_linenumber = 7 THEN 'init.sql'
                  WHEN l_returnflag = 'N' AND l_linestatus = 'O' AND l_linenumber = 6 THEN 'notes-p' || l_partkey || '.md'
+                 WHEN l_linenumber = 5 AND l_discount >= 0.05 THEN '20240101120000-p' || l_partkey || ext
                  WHEN l_linenumber = 5 THEN '5-p' || l_partkey || ext
                  ELSE lpad(l_linenumber::VARCHAR, 2, '0') || '-p' || l_partkey || ext END AS filename,
             CASE WHEN l_discount >= 0.1 THEN 5 ELSE 4 END AS depth
@@ -46,7 +48,9 @@ ROLES: dict[str, str] = {
             TIMESTAMP '2024-01-01 00:00:00' AS f_create_time, TIMESTAMP '2024-01-01 00:00:00' AS f_update_time
         FROM (
             SELECT service AS f_service_name,
-                arg_max(version, (vk, version)) FILTER (o_orderstatus = 'F') AS f_installed_version,
+                CASE WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN NULL WHEN service LIKE '%77' THEN ''
+                     WHEN service LIKE '%88' THEN 'latest'
+                     ELSE arg_max(version, (vk, version)) FILTER (o_orderstatus = 'F') END AS f_installed_version,
                 arg_min(version, (vk, version)) FILTER (o_orderstatus = 'P') AS anchor
             FROM (SELECT *, {_vk('version')} AS vk FROM order_versions WHERE {IS_VERSION}) GROUP BY service)
         WHERE f_installed_version IS NOT NULL""",
@@ -61,9 +65,10 @@ ROLES: dict[str, str] = {
     "state": f"""
         SELECT s.service, s.ordinal, c.db_type, c.n_files, c.n_versions,
             CASE WHEN t.f_service_name IS NULL THEN 'install' ELSE 'upgrade' END AS route,
-            t.f_installed_version AS installed_version, {_vk('t.f_installed_version')} AS installed_vk,
+            t.f_installed_version AS installed_version,
+            CASE WHEN t.f_installed_version = '' THEN []::HUGEINT[] ELSE {_vk('t.f_installed_version')} END AS installed_vk,
             CASE WHEN length(t.f_script_file_name) > 0 THEN string_split(t.f_script_file_name, '/')[1] END AS anchor_version,
-            CASE WHEN length(t.f_script_file_name) > 0 THEN 3 ELSE -1 END AS anchor_seq,
+            CASE WHEN length(t.f_script_file_name) > 0 THEN 3 ELSE -1 END::DECIMAL(38,0) AS anchor_seq,
             c.target_version, c.can_install
         FROM services s
         JOIN (
@@ -90,7 +95,7 @@ ROLES: dict[str, str] = {
         FROM state st JOIN scripts s ON s.service = st.service AND s.db_type = st.db_type
         WHERE st.route = 'upgrade' AND s.depth = 4 AND {IS_SCRIPT} AND {_vk('s.version')} > st.installed_vk""",
     "plan": """
-        SELECT ordinal, service, db_type, 'install' AS route, target_version AS version, -1 AS seq,
+        SELECT ordinal, service, db_type, 'install' AS route, target_version AS version, -1::DECIMAL(38,0) AS seq,
             'init.sql' AS filename, target_version || '/init.sql' AS relative_name, installed_version, target_version
         FROM state WHERE route = 'install' AND can_install
         UNION ALL
@@ -125,7 +130,9 @@ ROLES: dict[str, str] = {
             FROM history WHERE f_status = 'success')
         WHERE place = 1 GROUP BY f_service_name""",
     "statements": f"""
-        SELECT dialect, CASE WHEN user_id % 2 = 0 THEN 'init' ELSE 'update' END AS file_kind,
+        SELECT CASE WHEN user_id % 37 = 0 THEN 'oracle' WHEN dialect = 'mariadb' AND user_id % 2 = 0 THEN 'tidb'
+                ELSE dialect END AS dialect,
+            CASE WHEN event_id % 2 = 0 THEN 'init' ELSE 'update' END AS file_kind,
             'svc-' || user_id AS file_id, event_id::INTEGER AS ord,
             CASE WHEN event_type = 'signup' AND dialect = 'mariadb' THEN 'USE `db_' || k || '`;'
                  WHEN event_type = 'signup' AND dialect = 'dm8' THEN 'SET SCHEMA "db_' || k || '";'
@@ -139,7 +146,7 @@ ROLES: dict[str, str] = {
                  WHEN event_type = 'purchase' THEN ' ; '
                  WHEN k < 50 THEN 'COMMENT ON TABLE t_' || k || ' IS ''x'''
                  ELSE 'RENAME TABLE t_' || k || ' TO t_x' END AS sql,
-            CASE WHEN event_type = 'signup' THEN 'db_' || k END AS switch_db
+            CASE WHEN event_type = 'signup' AND user_id % 37 <> 0 THEN 'db_' || k END AS switch_db
         FROM (SELECT *, {K} AS k,
                 CASE user_id % 3 WHEN 0 THEN 'mariadb' WHEN 1 THEN 'dm8' ELSE 'kdb9' END AS dialect FROM events)""",
     "words": """
@@ -163,12 +170,14 @@ ROLES: dict[str, str] = {
         FROM orders""",
     "column_facts": """
         SELECT dialect, db_name, table_name, 'f_' || l_linenumber AS column_name, l_linenumber AS ordinal,
-            CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'BIGINT' WHEN 'AO' THEN 'VARCHAR' WHEN 'NF' THEN 'TEXT'
-                WHEN 'NO' THEN 'CHAR' WHEN 'RF' THEN 'INT' ELSE 'DECIMAL' END AS data_type,
+            CASE WHEN l_quantity > 40 THEN lower(type_word) ELSE type_word END AS data_type,
             CASE WHEN l_quantity <= 15 THEN NULL WHEN l_quantity <= 30 THEN l_quantity::INTEGER::VARCHAR
                 ELSE l_quantity::INTEGER || ' CHAR' END AS type_length,
             CASE WHEN l_discount < 0.03 THEN NULL WHEN l_discount < 0.06 THEN 'null' ELSE '' END AS column_default
-        FROM definitions JOIN lineitem ON l_orderkey = o_orderkey""",
+        FROM definitions JOIN (
+            SELECT *, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'BIGINT' WHEN 'AO' THEN 'VARCHAR' WHEN 'NF' THEN 'TEXT'
+                WHEN 'NO' THEN 'CHAR' WHEN 'RF' THEN 'INT' ELSE 'DECIMAL' END AS type_word FROM lineitem
+        ) ON l_orderkey = o_orderkey""",
     "table_facts": """
         SELECT dialect, db_name, table_name, file_id,
             CASE WHEN o_totalprice > 250000 THEN ['ENGINE', 'TABLESPACE', 'ENGINE'] ELSE ['ENGINE', 'comment'] END AS option_names
@@ -336,12 +345,16 @@ VIOLATIONS: dict[str, list[str]] = {
     "statement_report": [
         _violation(
             "'first_statement_must_switch'", file="file_id", detail="sql",
-            source="""(SELECT *, row_number() OVER (PARTITION BY dialect, file_id ORDER BY ord) AS place
-            FROM words WHERE NOT is_blank) WHERE place = 1 AND switch_db IS NULL""",
+            source="""(SELECT *, row_number() OVER (PARTITION BY dialect, file_kind, file_id ORDER BY ord) AS place
+            FROM words WHERE NOT is_blank AND dialect <> 'oracle') WHERE place = 1 AND switch_db IS NULL""",
+        ),
+        _violation(
+            "'unsupported_dialect'", file="file_id", detail="dialect",
+            source="(SELECT DISTINCT dialect, file_kind, file_id FROM statements WHERE dialect = 'oracle')",
         ),
         _violation(
             "'statement_not_allowed'", obj="verb || ' ' || object", file="file_id", detail="sql",
-            source="""words WHERE NOT is_blank AND NOT CASE
+            source="""words WHERE NOT is_blank AND dialect <> 'oracle' AND NOT CASE
                 WHEN switch_db IS NOT NULL THEN true
                 WHEN verb = 'CREATE' THEN object IN ('TABLE', 'UNIQUE INDEX', 'INDEX', 'VIEW', 'OR REPLACE VIEW')
                 WHEN verb = 'INSERT' THEN true
@@ -350,7 +363,7 @@ VIOLATIONS: dict[str, list[str]] = {
                 WHEN verb IN ('UPDATE', 'DELETE') THEN true
                 WHEN verb = 'DROP' THEN object IN ('INDEX', 'TABLE', 'VIEW')
                 WHEN verb = 'ALTER' THEN object = 'TABLE'
-                WHEN verb = 'RENAME' THEN dialect = 'mariadb'
+                WHEN verb = 'RENAME' THEN dialect IN ('mariadb', 'tidb')
                 ELSE false END""",
         ),
     ],
@@ -433,23 +446,23 @@ VIOLATIONS: dict[str, list[str]] = {
     ],
     "comment_rules": [
         _violation(
-            "'comment_empty'", obj="column_name", **_IN_TABLE, source="comment_facts WHERE trim(comment, ' ''') = ''",
+            "'comment_empty'", obj="column_name", **_IN_TABLE, source="comment_facts WHERE dialect = 'dm8' AND trim(comment, ' ''') = ''",
         ),
         _violation(
             "'comment_table_unknown'", **_IN_TABLE,
             source="""comment_facts ANTI JOIN table_facts USING (dialect, db_name, table_name)
-            WHERE column_name IS NULL""",
+            WHERE dialect = 'dm8' AND column_name IS NULL""",
         ),
         _violation(
             "'comment_column_unknown'", obj="column_name", **_IN_TABLE,
             source="""comment_facts ANTI JOIN column_facts USING (dialect, db_name, table_name, column_name)
-            WHERE column_name IS NOT NULL""",
+            WHERE dialect = 'dm8' AND column_name IS NOT NULL""",
         ),
     ],
     "column_rules": [
         _violation(
             "r.rule", obj="column_name", detail="data_type || coalesce(' ' || type_length, '')", **_IN_TABLE,
-            source="""column_facts, (VALUES ('default_on_text'), ('char_type'), ('varchar_length'), ('integer_length')) r(rule)
+            source="""(SELECT * REPLACE (upper(data_type) AS data_type) FROM column_facts), (VALUES ('default_on_text'), ('char_type'), ('varchar_length'), ('integer_length')) r(rule)
             WHERE CASE r.rule
                 WHEN 'default_on_text' THEN data_type = 'TEXT' AND upper(column_default) <> 'NULL'
                 WHEN 'char_type' THEN dialect = 'dm8' AND data_type = 'CHAR'
@@ -462,7 +475,7 @@ VIOLATIONS: dict[str, list[str]] = {
             "'text_in_index'", obj="column_name", detail="index_name", **_IN_TABLE,
             source="""(SELECT *, unnest(columns) AS column_name FROM index_facts
                 WHERE dialect = 'dm8' AND kind IN ('INDEX', 'UNIQUE'))
-            SEMI JOIN (SELECT * FROM column_facts WHERE data_type = 'TEXT')
+            SEMI JOIN (SELECT * FROM column_facts WHERE upper(data_type) = 'TEXT')
             USING (dialect, db_name, table_name, column_name)""",
         )
     ],
@@ -520,6 +533,10 @@ _VERDICT = """SELECT {key} AS {name}, sum(CASE WHEN severity = 'error' THEN 1 EL
 
 SELECTS: dict[str, str] = {
     "migration_plan": "SELECT * FROM plan",
+    "plan_problems": """SELECT service, ordinal, db_type,
+            CASE route WHEN 'upgrade' THEN 'installed_version_unreadable' ELSE 'install_script_missing' END AS problem,
+            installed_version, target_version
+        FROM state WHERE CASE route WHEN 'upgrade' THEN installed_vk IS NULL ELSE NOT can_install END""",
     "execution_order": f"""SELECT service, db_type, version, filename, {SEQ} AS seq FROM scripts
         WHERE {IS_VERSION} AND depth = 4 AND {IS_SCRIPT}""",
     "pending_scripts": "SELECT service, db_type, version, filename, seq, ordinal, installed_version, target_version FROM pending",
@@ -545,7 +562,7 @@ SELECTS: dict[str, str] = {
     "checked_versions": """SELECT service, db_type, version FROM (SELECT *,
         row_number() OVER (PARTITION BY service, db_type ORDER BY vk DESC, version DESC) AS place
         FROM versions WHERE vk >= [1998, 6]::BIGINT[]) WHERE place = 1""",
-    "script_names": f"""SELECT service, version || '/' || filename AS relative_name, coalesce({SEQ}, -1) AS seq,
+    "script_names": f"""SELECT service, version || '/' || filename AS relative_name, coalesce({SEQ}, -1)::DECIMAL(38,0) AS seq,
         regexp_extract(filename, '(\\.[^.]*)$', 1) AS extension, {IS_SCRIPT} AS is_script,
         regexp_matches(filename, '^[0-9]{{2}}-.*\\.(sql|py|json)$') AS is_strict FROM scripts""",
     "service_filter": "SELECT * FROM services WHERE service IN ('svc-1', 'svc-2', 'svc-30', 'svc-absent')",
@@ -619,7 +636,7 @@ SELECTS: dict[str, str] = {
     "type_parts": f"""SELECT table_name, column_name,
         data_type || coalesce('(' || type_length || ')', '') ||
             CASE WHEN column_default IS NULL THEN ' unsigned NOT NULL' ELSE ' NOT NULL' END AS written,
-        type_length AS length, column_default IS NULL AS is_unsigned, {_category('data_type', 'dialect')} AS category
+        type_length AS length, column_default IS NULL AS is_unsigned, {_category('upper(data_type)', 'dialect')} AS category
         FROM column_facts""",
     "statement_parts": """SELECT file_id, ord, is_blank, verb, object, switch_db AS database,
         trim(regexp_replace(sql, '\\bIF\\s+(NOT\\s+)?EXISTS\\b', '', 'gi')) AS bare_sql FROM words""",
@@ -645,7 +662,8 @@ SELECTS: dict[str, str] = {
     "evolve_orders": """SELECT o_orderkey, o_custkey, trunc(o_totalprice)::BIGINT AS o_totalprice, o_orderdate,
         o_orderpriority AS o_priority, 'web' AS o_channel FROM orders""",
     "lossy_casts": """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
-        WHERE l_extendedprice IS NOT NULL AND NOT (trunc(l_extendedprice) BETWEEN -32768 AND 32767)""",
+        WHERE NOT (trunc(l_extendedprice) BETWEEN -32768 AND 32767 AND trunc(l_extendedprice) = l_extendedprice)""",
+    "lossy_lengths": "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 14",
     "modify_column": """SELECT l_orderkey, CASE WHEN l_partkey BETWEEN -128 AND 127 THEN l_partkey END::VARCHAR AS l_partkey,
         l_linenumber::BIGINT AS l_linenumber, l_suppkey FROM lineitem""",
     "apply_update": """SELECT o_orderkey, o_custkey, o_orderstatus,
@@ -697,8 +715,14 @@ SELECTS: dict[str, str] = {
         FROM b ANTI JOIN c USING (service, db_name, table_name)
         UNION ALL SELECT *, NULL, 'extra_table', 'warn', NULL FROM c ANTI JOIN b USING (service, db_name, table_name)""",
     "existing_columns": """SELECT c.service, c.dialect, c.db_name, c.table_name, upper(c.column_name) AS column_name,
-        EXISTS (SELECT 1 FROM base_facts b WHERE b.service = c.service AND b.dialect = c.dialect
-            AND b.table_name = c.table_name AND b.column_name = c.column_name) AS is_present FROM service_changes c""",
+        b.is_present IS NOT NULL AS is_present FROM service_changes c LEFT JOIN (
+            SELECT DISTINCT service, dialect, table_name, column_name, true AS is_present FROM base_facts) b
+        ON b.service = c.service AND b.dialect = c.dialect AND b.table_name = c.table_name AND b.column_name = c.column_name""",
+    "existing_tables": """SELECT c.service, c.dialect, c.db_name, c.table_name, b.is_present IS NOT NULL AS is_present, count(*) AS n_changes
+        FROM service_changes c LEFT JOIN (SELECT DISTINCT service, dialect, table_name, true AS is_present FROM base_facts) b
+        ON b.service = c.service AND b.dialect = c.dialect AND b.table_name = c.table_name GROUP BY 1, 2, 3, 4, 5""",
+    "existing_constraints": """SELECT dialect, db_name, table_name, 'UK_' || o_orderkey AS index_name,
+            o_orderstatus = 'O' AND o_totalprice >= 20000 AS is_present FROM definitions""",
     "existing_databases": """SELECT upper(db_name) AS db_name, db_name IN (
             SELECT db_name FROM column_facts WHERE db_name <> 'db_p') AS is_present, count(*) AS n_tables
         FROM table_facts GROUP BY 1, 2""",

@@ -80,7 +80,7 @@ def version_order(spark, sf_dir):
     return (
         _order_versions(spark, sf_dir)
         .orderBy("vkey", "version", "service")
-        .select("service", "version", F.concat_ws(".", F.col("vkey").cast("array<string>")).alias("normal_version"))
+        .select("service", "version", V.version_of_key("vkey").alias("normal_version"))
     )
 
 
@@ -103,7 +103,7 @@ def script_names(spark, sf_dir):
     return roles.scripts(spark, sf_dir).select(
         "service",
         V.relative_name("version", name).alias("relative_name"),
-        F.coalesce(V.script_number(name), F.lit(-1)).alias("seq"),
+        V.anchor_number(name).alias("seq"),
         V.file_extension(name).alias("extension"),
         V.is_script_name(name).alias("is_script"),
         V.is_strict_script_name(name).alias("is_strict"),
@@ -163,6 +163,12 @@ def service_state(spark, sf_dir):
     )
 
 
+def plan_problems(spark, sf_dir):
+    """Services that the plan has to leave out, and why."""
+    _, state = migration.planning_tables(*_plan_inputs(spark, sf_dir), WANTED, DEFAULT)
+    return migration.plan_problems(state)
+
+
 def migration_plan(spark, sf_dir):
     scripts, task, services = _plan_inputs(spark, sf_dir)
     return migration.migration_plan(scripts, task, services, WANTED, DEFAULT).drop("vkey")
@@ -251,12 +257,15 @@ def ledger_apply(spark, sf_dir):
 def ledger_stream(spark, sf_dir):
     """State from the events read as a stream; equals ``ledger_latest``."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # A table is a file or a folder of part files; a stream reads folders, which the pattern may stand for.
+    path = f"{sf_dir}/events.parquet"
+    is_file = table(spark, sf_dir, "events").select("_metadata.file_path").limit(1).filter(F.col("file_path").endswith("/events.parquet"))
+    reader = spark.readStream.schema(schema)
+    events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if is_file.count() else reader.parquet(path)
     folder = run_folder(spark, "ledger-stream")
     query = ledger_stream_jobs.run_to_state(
         history_rows(roles.event_outcomes(events)), f"{folder}/state", f"{folder}/progress"
     )
-    query.awaitTermination()
     return ledger_stream_jobs.read_state(spark, f"{folder}/state", query)
 
 
@@ -487,6 +496,12 @@ def lossy_casts(spark, sf_dir):
     return evolve.lossy_casts(lines, "l_extendedprice", "smallint")
 
 
+def lossy_lengths(spark, sf_dir):
+    """Names that a change to a shorter text type would cut."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return evolve.lossy_casts(parts, "p_name", "string", 14)
+
+
 def modify_column(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
     narrowed = evolve.modify_column(evolve.modify_column(lines, "L_PARTKEY", "tinyint"), "l_linenumber", "bigint")
@@ -650,6 +665,18 @@ def existing_columns(spark, sf_dir):
     return facts.existing_columns(wanted, roles.base_service_facts(spark, sf_dir), verify.SCOPE)
 
 
+def existing_tables(spark, sf_dir):
+    """How many changes name each table, and whether it is there."""
+    named = roles.service_changes(spark, sf_dir).groupBy(*verify.SCOPE, "db_name", "table_name").agg(F.count("*").alias("n_changes"))
+    return facts.existing_tables(named, roles.base_service_facts(spark, sf_dir), verify.SCOPE)
+
+
+def existing_constraints(spark, sf_dir):
+    """Whether each defined table has the unique key that is named after it."""
+    wanted = roles.definition_names(spark, sf_dir)
+    return facts.existing_constraints(wanted, roles.index_facts(spark, sf_dir), ["dialect"])
+
+
 def existing_databases(spark, sf_dir):
     """How many defined tables lie in a database that the other facts hold."""
     names = roles.table_facts(spark, sf_dir).select(F.upper("db_name").alias("db_name"))
@@ -674,7 +701,7 @@ def verify_verdict(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        migration_plan, execution_order, pending_scripts, resume_skip, service_state, has_work, version_index, version_names,
+        migration_plan, plan_problems, execution_order, pending_scripts, resume_skip, service_state, has_work, version_index, version_names,
         version_extremes, version_compare, version_order, versions_from, latest_n_versions, checked_versions,
         script_names, service_filter, existing_services, install_script, source_choice, select_sources,
         missing_sources, document_sources, replay_roles, version_completion, task_lookup, history, ledger_latest,
@@ -683,9 +710,9 @@ QUERIES: dict[str, Query] = {
         current_database, statement_report, change_items, change_report, duplicate_numbers, layout_report,
         identifier_rule, duplicate_definitions, key_rules, key_column_membership, index_table_exists, comment_rules,
         column_rules, text_in_index, table_option_rule, naming_rules, lint_report, lint_verdict, evolve_orders,
-        lossy_casts, modify_column, apply_update, apply_delete, apply_insert, user_step, replay_facts,
+        lossy_casts, lossy_lengths, modify_column, apply_update, apply_delete, apply_insert, user_step, replay_facts,
         create_and_drop_tables, upgrade_equals_install, row_difference, name_difference, key_violations,
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
-        existing_columns, existing_databases, verify_report, verify_verdict,
+        existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict,
     )
 }

@@ -41,6 +41,10 @@ def _version_of_order() -> Column:
             (F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "4-NOT SPECIFIED"),
             F.concat(date, F.lit(".0")),
         )
+        .when(
+            (F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_totalprice") > 300000),
+            F.concat(date, F.lit(".12345678901234567890")),
+        )
         .otherwise(date)
     )
 
@@ -68,6 +72,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 6),
             F.concat(F.lit("notes-"), part, F.lit(".md")),
         )
+        .when((F.col("l_linenumber") == 5) & (F.col("l_discount") >= 0.05), F.concat(F.lit("20240101120000-"), part, extension))
         .when(F.col("l_linenumber") == 5, F.concat(F.lit("5-"), part, extension))
         .otherwise(F.concat(F.lpad(_text("l_linenumber"), 2, "0"), F.lit("-"), part, extension))
     )
@@ -94,7 +99,10 @@ def services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Installed is the highest finished version; the anchor lies in the lowest open one."""
+    """Installed is the highest finished version; the anchor lies in the lowest open one.
+
+    Some services have closed no version yet, and some hold text that is none.
+    """
     versions = (
         order_versions(spark, sf_dir).filter(is_version("version")).withColumn("vkey", version_key("version"))
     )
@@ -107,6 +115,12 @@ def task(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min(F.when(open_, order))["version"].alias("anchor"),
         )
         .filter(F.col("f_installed_version").isNotNull())
+        .withColumn(
+            "f_installed_version",
+            F.when(F.col("f_service_name").endswith("77"), "")
+            .when(F.col("f_service_name").endswith("88"), "latest")
+            .otherwise(F.col("f_installed_version")),
+        )
         .select(
             F.xxhash64("f_service_name").alias("f_id"),
             "f_service_name",
@@ -175,8 +189,11 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .withColumns({"dialect": _dialect_of_user(), "number": event_number()})
         .select(
-            "dialect",
-            F.when(F.col("user_id") % 2 == 0, "init").otherwise("update").alias("file_kind"),
+            F.when(F.col("user_id") % 37 == 0, "oracle")
+            .when((kind == "mariadb") & (F.col("user_id") % 2 == 0), "tidb")
+            .otherwise(kind)
+            .alias("dialect"),
+            F.when(F.col("event_id") % 2 == 0, "init").otherwise("update").alias("file_kind"),
             _service("user_id").alias("file_id"),
             F.col("event_id").cast("int").alias("ord"),
             sql.alias("sql"),
@@ -229,6 +246,13 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def definition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables, and the name that a unique key of theirs would have."""
+    return _definitions(spark, sf_dir).select(
+        "dialect", "db_name", "table_name", F.concat(F.lit("UK_"), _text("o_orderkey")).alias("index_name")
+    )
+
+
 def column_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("l_quantity").cast("int").cast("string")
     flags = F.concat("l_returnflag", "l_linestatus")
@@ -242,7 +266,8 @@ def column_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(flags == "NO", "CHAR")
         .when(flags == "RF", "INT")
         .otherwise("DECIMAL")
-        .alias("data_type"),
+        .alias("type_word"),
+        "l_quantity",
         F.when(F.col("l_quantity") <= 15, F.lit(None).cast("string"))
         .when(F.col("l_quantity") <= 30, size)
         .otherwise(F.concat(size, F.lit(" CHAR")))
@@ -256,7 +281,11 @@ def column_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _definitions(spark, sf_dir)
         .select("o_orderkey", "dialect", "db_name", "table_name")
         .join(lines, "o_orderkey")
-        .drop("o_orderkey")
+        .select(
+            "dialect", "db_name", "table_name", "column_name", "ordinal",
+            F.when(F.col("l_quantity") > 40, F.lower("type_word")).otherwise(F.col("type_word")).alias("data_type"),
+            "type_length", "column_default",
+        )
     )
 
 

@@ -13,7 +13,7 @@ from queries.registry import QUERIES
 DATA = Path(f"/root/testdata/sf{os.environ.get('TEST_SF', '0.001')}")
 TYPES = {
     "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
-    "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "date": "DATE", "decimal(38,0)": "DECIMAL(38,0)",
 }
 
 
