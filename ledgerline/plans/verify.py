@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.diff import row_difference, schema_diff
 from ledgerline.operators.evolve import ReplayResult, replay_changes
-from ledgerline.operators.facts import replay_facts
+from ledgerline.operators.facts import change_problems, replay_facts
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.rules import ERROR, violation
 from ledgerline.operators.selection import DEFAULT_DIALECT
@@ -76,7 +76,7 @@ def verify_report(
     base_facts: DataFrame,
     changes: DataFrame,
     installed_facts: DataFrame,
-    steps: Sequence[int],
+    steps: Sequence[int] | None,
     dialects: Sequence[str],
     base: str = DEFAULT_DIALECT,
     rows_per_task: int = ROWS_PER_TASK,
@@ -84,10 +84,17 @@ def verify_report(
     """Violations of all services and dialects; ``file_id`` is ``service/dialect``.
 
     The replay stores the facts after the upgrades, which both comparisons use.
+    Changes that it could not make are violations as well.
     """
     upgraded = replay_facts(base_facts, changes, steps, SCOPE)
-    return upgrade_install_differences(upgraded, installed_facts).unionByName(
-        dialect_differences(upgraded, dialects, base, rows_per_task)
+    refused = violation(
+        change_problems(changes, SCOPE), F.col("problem"), ERROR, "db_name", "table_name", "object_name",
+        F.concat_ws("/", *SCOPE), F.concat_ws(" ", "operation_type", "object_type"),
+    )
+    return (
+        upgrade_install_differences(upgraded, installed_facts)
+        .unionByName(dialect_differences(upgraded, dialects, base, rows_per_task))
+        .unionByName(refused)
     )
 
 

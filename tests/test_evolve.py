@@ -147,12 +147,46 @@ def test_changes_of_many_tables(spark, rows):
         ],
         CHANGE,
     )
-    after = facts.replay_facts(base, changes, [1, 2])
+    after = facts.replay_facts(base, changes)
     assert rows(after) == [("d", "t_a", "y", "BIGINT"), ("d", "t_a", "zz", "TEXT"), ("d", "t_bb", "x", "INT")]
     assert facts.step_conflicts(changes).count() == 0
     assert rows(facts.step_conflicts(changes.unionByName(changes.limit(1))), "object_name", "n_changes") == [("X", 2)]
 
 
+def test_changes_that_cannot_be_made_are_listed(spark, rows):
+    base = spark.createDataFrame([("d", "t_a", "x", "INT"), ("d", "t_a", "y", "INT"), ("d", "t_b", "x", "INT"), ("e", "t_e", "x", "INT")], FACTS)
+    changes = spark.createDataFrame(
+        [
+            ("d", "t_a", 1, "COLUMN", "RENAME", "x", "Y", None),
+            ("d", "t_b", 1, "TABLE", "RENAME", "t_b", "t_a", None),
+            ("d", "t_a", 7, "COLUMN", "MODIFY", "y", None, "TEXT"),
+            ("d", "t_b", 7, "COLUMN", "MODIFY", "x", None, "TEXT"),
+            ("d", "t_b", 7, "COLUMN", "DROP", "X", None, None),
+            ("d", "t_a", 8, "COLUMN", "RENAME", "x", None, None),
+            ("d", "t_a", 8, "VIEW", "ADD", "v", None, None),
+            ("d", "t_a", 9, "INDEX", "ADD", "i", None, None),
+            ("e", None, 9, "DB", "DROP", "e", None, None),
+            ("d", "t_a", None, "COLUMN", "DROP", "x", None, None),
+        ],
+        CHANGE,
+    )
+    after = facts.replay_facts(base, changes)
+    assert rows(after) == [("d", "t_a", "x", "INT"), ("d", "t_a", "y", "TEXT"), ("d", "t_b", "x", "INT")]
+    assert rows(facts.change_problems(changes), "table_name", "problem") == [
+        ("t_a", "new_name_missing"), ("t_a", "step_missing"), ("t_a", "unknown_change"),
+        ("t_b", "several_changes_in_a_step"), ("t_b", "several_changes_in_a_step"),
+    ]
+
+
+def test_losses_of_a_change_of_type(spark, rows):
+    df = spark.createDataFrame([(1, 12.7, "ab"), (2, 12.0, "abc"), (3, None, None)], "k int, n double, s string")
+    from ledgerline.operators import evolve
+
+    assert rows(evolve.lossy_casts(df, "N", "int"), "k") == [(1,)]
+    assert rows(evolve.lossy_casts(df, "s", "string", 2), "k") == [(2,)]
+    assert rows(evolve.lossy_casts(df, "n", "string"), "k") == []
+
+
 def test_tables_on_facts(spark, rows):
     base = spark.createDataFrame([("d", "t_a", "x", "INT")], FACTS)
     new = spark.createDataFrame([("d", "t_a", "q", "INT"), ("d", "t_n", "x", "INT"), ("e", "t_n", "x", "INT")], FACTS)
