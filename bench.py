@@ -21,6 +21,7 @@ HEADLINE = [
     "migration_plan", "latest_n_versions", "install_script", "select_sources", "ledger_latest", "fail_fast_prefix",
     "ledger_apply", "current_database", "statement_report", "key_violations", "orphans", "row_difference",
     "evolve_orders", "schema_diff", "duplicate_definitions", "column_rules", "mask_secrets", "verify_report",
+    "lint_report", "existing_columns", "replay_facts", "ledger_stream", "user_step",
 ]
 
 

@@ -229,6 +229,16 @@ ROLES: dict[str, str] = {
     "service_changes": """
         SELECT service, dialect, db_name, table_name, column_name, number, new_type, size FROM dialect_columns
         WHERE NOT (dialect = 'dm8' AND number = 6 AND size > 45)""",
+    # Changes that cannot be made: the second column twice in a step, a rename to nothing, an unknown operation.
+    "refused_changes": """
+        SELECT service, dialect, db_name, table_name,
+            CASE number WHEN 2 THEN 1 WHEN 5 THEN 3 ELSE 2 END AS step,
+            CASE number WHEN 7 THEN 'TABLE' ELSE 'COLUMN' END AS object_type,
+            CASE number WHEN 7 THEN 'TRUNCATE' WHEN 5 THEN 'RENAME' ELSE 'ADD' END AS operation_type,
+            CASE number WHEN 2 THEN column_name ELSE 'f_99' END AS object_name,
+            CASE number WHEN 2 THEN 'several_changes_in_a_step' WHEN 5 THEN 'new_name_missing' ELSE 'unknown_change' END AS problem
+        FROM dialect_columns, (VALUES (1), (2)) copies(copy)
+        WHERE size > 48 AND number IN (2, 5, 7) AND (number = 2 OR copy = 1)""",
     # Step 1: tables with a large fourth column go; column 3 gets its new type, column 4 goes, columns 1, 2
     # and 6 are added where they lack. Step 2: column 5 is renamed, column 7 added to tables that are left.
     "dropped_tables": """
@@ -510,6 +520,10 @@ VIOLATIONS: dict[str, list[str]] = {
             "kind", "severity", obj="column_name", file="service || '/' || dialect", detail="detail", **_IN_TABLE,
             source="dialect_diff",
         ),
+        _violation(
+            "problem", obj="object_name", file="service || '/' || dialect", detail="operation_type || ' ' || object_type",
+            source="refused_changes", **_IN_TABLE,
+        ),
     ],
 }
 VIOLATIONS["lint_report"] = [
@@ -677,6 +691,7 @@ SELECTS: dict[str, str] = {
         SELECT -c_custkey - 1, c_custkey, 'N', 0, NULL, NULL FROM customer""",
     "user_step": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '),
             lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_label, p_brand, p_type, p_size FROM part""",
+    "change_problems": "SELECT * FROM refused_changes",
     "replay_facts": "SELECT service, dialect, db_name, table_name, column_name, data_type FROM upgraded",
     "create_and_drop_tables": """WITH kept AS (
             SELECT db_name, lower(table_name) AS table_name, column_name, data_type FROM column_facts

@@ -553,9 +553,13 @@ def user_step(spark, sf_dir):
 
 
 def replay_facts(spark, sf_dir):
-    return facts.replay_facts(
-        roles.base_service_facts(spark, sf_dir), roles.service_changes(spark, sf_dir), roles.VERIFY_STEPS, verify.SCOPE
-    )
+    columns = store(roles.service_columns(spark, sf_dir), "service-columns")
+    base = roles.base_service_facts(spark, sf_dir, columns)
+    return facts.replay_facts(base, roles.faulty_changes(spark, sf_dir, columns), None, verify.SCOPE)
+
+
+def change_problems(spark, sf_dir):
+    return facts.change_problems(roles.faulty_changes(spark, sf_dir), verify.SCOPE).drop("new_name", "data_type")
 
 
 def create_and_drop_tables(spark, sf_dir):
@@ -685,11 +689,12 @@ def existing_databases(spark, sf_dir):
 
 
 def verify_report(spark, sf_dir):
+    columns = store(roles.service_columns(spark, sf_dir), "service-columns")
     return verify.verify_report(
-        roles.base_service_facts(spark, sf_dir),
-        roles.service_changes(spark, sf_dir),
-        roles.installed_service_facts(spark, sf_dir),
-        roles.VERIFY_STEPS,
+        roles.base_service_facts(spark, sf_dir, columns),
+        roles.faulty_changes(spark, sf_dir, columns),
+        roles.installed_service_facts(spark, sf_dir, columns),
+        None,
         roles.VERIFY_DIALECTS,
     )
 
@@ -710,7 +715,7 @@ QUERIES: dict[str, Query] = {
         current_database, statement_report, change_items, change_report, duplicate_numbers, layout_report,
         identifier_rule, duplicate_definitions, key_rules, key_column_membership, index_table_exists, comment_rules,
         column_rules, text_in_index, table_option_rule, naming_rules, lint_report, lint_verdict, evolve_orders,
-        lossy_casts, lossy_lengths, modify_column, apply_update, apply_delete, apply_insert, user_step, replay_facts,
+        lossy_casts, lossy_lengths, modify_column, apply_update, apply_delete, apply_insert, user_step, replay_facts, change_problems,
         create_and_drop_tables, upgrade_equals_install, row_difference, name_difference, key_violations,
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
         existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict,

@@ -363,7 +363,7 @@ _TYPE_WORDS = ["BIGINT", "BOOLEAN", "DATETIME", "INT", "TEXT", "VARCHAR"]
 _TYPE_OF_FLAGS = {"AF": "BIGINT", "AO": "VARCHAR", "NF": "TEXT", "NO": "DATETIME", "RF": "INT"}
 
 
-def _service_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def service_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct columns of a supplier's tables, with least and greatest type word and size.
 
     Numbers are grouped and text is made of the groups.
@@ -390,28 +390,27 @@ def _service_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERIFY_DIALECTS = ["mariadb", "dm8", "kdb9"]
-VERIFY_STEPS = [1, 2]
 
 
 def _for_dialects(df: DataFrame) -> DataFrame:
     return df.withColumn("dialect", F.explode(F.array(*[F.lit(d) for d in VERIFY_DIALECTS])))
 
 
-def base_service_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_service_facts(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
     """Columns 1 to 5 exist from the first version; kdb9 lacks tables whose first column is small."""
     absent = (F.col("dialect") == "kdb9") & (F.col("number") == 1) & (F.col("size") < 5)
     return (
-        _for_dialects(_service_columns(spark, sf_dir))
+        _for_dialects(service_columns(spark, sf_dir) if columns is None else columns)
         .filter((F.col("number") <= 5) & ~absent)
         .select("service", "dialect", F.lit("db").alias("db_name"), "table_name", "column_name", F.col("old_type").alias("data_type"))
     )
 
 
-def service_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def service_changes(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
     """Step 1 changes columns 1 to 4 and adds column 6, step 2 renames column 5 and adds column 7."""
     number, size = F.col("number"), F.col("size")
     return (
-        _for_dialects(_service_columns(spark, sf_dir))
+        _for_dialects(service_columns(spark, sf_dir) if columns is None else columns)
         .filter(~((F.col("dialect") == "dm8") & (number == 6) & (size > 45)))
         .select(
             "service",
@@ -433,11 +432,29 @@ def service_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def installed_service_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def faulty_changes(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
+    """The changes of services, and more that nobody can make."""
+    columns = service_columns(spark, sf_dir) if columns is None else columns
+    sound = service_changes(spark, sf_dir, columns)
+    number = F.col("number")
+    large = _for_dialects(columns).filter((F.col("size") > 48) & number.isin(2, 5, 7))
+    bad = large.select(
+        "service", "dialect", F.lit("db").alias("db_name"), "table_name",
+        F.when(number == 2, 1).when(number == 5, 3).otherwise(2).alias("step"),
+        F.when(number == 7, "TABLE").otherwise("COLUMN").alias("object_type"),
+        F.when(number == 7, "TRUNCATE").when(number == 5, "RENAME").otherwise("ADD").alias("operation_type"),
+        F.when(number == 2, F.col("column_name")).otherwise("f_99").alias("object_name"),
+        F.lit(None).cast("string").alias("new_name"),
+        F.col("new_type").alias("data_type"),
+    )
+    return sound.unionByName(bad)
+
+
+def installed_service_facts(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
     """What a fresh install of the last version would give, had nobody made a mistake."""
     number = F.col("number")
     return (
-        _for_dialects(_service_columns(spark, sf_dir))
+        _for_dialects(service_columns(spark, sf_dir) if columns is None else columns)
         .filter(number != 4)
         .select(
             "service",
