@@ -14,12 +14,13 @@ without partner, and that bound decides at every step what need not be multiplie
    first bound + 1 shingles in one order must have one in common (prefix filter),
    so only those columns remain. Very common shingles come last and drop out
    unless a document hardly has others.
-4. Classes that share remaining columns, directly or in a chain, form a group, and
-   groups are cut into blocks of about ``BLOCK`` classes of like size. Blocks are
-   multiplied with themselves and with the others of their group whose sizes the
-   bound allows. A task makes overlap counts for column block after column block,
-   drops pairs that the columns still to come cannot lift over the bound, and
-   returns a spanning forest of the links it found, never the pairs.
+4. Classes that share remaining columns, directly or in a chain, form a group. A
+   group of more than ``BLOCK`` classes is looked at again by all shingles of its
+   sets, which parts what met in common passages. Groups are cut into blocks of
+   classes of like size; a block is multiplied with itself and with those of its
+   group whose sizes the bound allows. A task makes overlap counts for column block
+   after column block, drops pairs that the columns still to come cannot lift over
+   the bound, and returns a spanning forest of the links it found, never the pairs.
 5. Components of these forests; the least ``doc_id`` of each is its name.
 
 The order uses the hash and document counts of hashed shingles (64 bits): any
@@ -388,8 +389,8 @@ def blocks(members: DataFrame, block: int = BLOCK, percent: int = PERCENT) -> Da
     overlaps reach ``most`` = size less lonely shingles, hence partners
     ``most`` * (100 + percent) / percent - size.
     """
-    most = F.expr(f"(n_shingles * {percent} + 99) div 100 + spare - 1")
-    reach = F.floor(most * (100 + percent) / percent) - F.col("n_shingles")
+    most = f"((n_shingles * {percent} + 99) div 100 + spare - 1)"
+    reach = F.expr(f"{most} * {100 + percent} div {percent} - n_shingles")
 
     def step(size) -> Column:
         # Linked sizes differ by a factor of 100 / percent at most, so by one of these steps.
