@@ -98,6 +98,6 @@ def verify_report(
     )
 
 
-def verify_verdict(report: DataFrame) -> DataFrame:
-    """Errors and warnings per service."""
-    return verdict(report.withColumn("service", F.substring_index("file_id", "/", 1)), ["service"])
+def verify_verdict(report: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """Errors and warnings per service; ``services`` without any pass."""
+    return verdict(report.withColumn("service", F.substring_index("file_id", "/", 1)), ["service"], services)
