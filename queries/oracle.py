@@ -556,7 +556,7 @@ SELECTS: dict[str, str] = {
     "pending_scripts": "SELECT service, db_type, version, filename, seq, ordinal, installed_version, target_version FROM pending",
     "resume_skip": "SELECT service, live_version AS version, live_seq FROM live",
     "service_state": "SELECT * EXCLUDE (installed_vk) FROM state",
-    "has_work": "SELECT service, count(*) AS n_scripts FROM plan GROUP BY service",
+    "has_work": "SELECT service, count(p.filename) AS n_scripts FROM services LEFT JOIN plan p USING (service) GROUP BY service",
     "version_index": "SELECT * EXCLUDE (vk) FROM versions",
     "version_names": f"""SELECT service, count(*) FILTER ({IS_VERSION}) AS n_versions,
         count(*) FILTER (NOT {IS_VERSION}) AS n_others FROM order_versions GROUP BY service""",
@@ -607,6 +607,7 @@ SELECTS: dict[str, str] = {
     "task_lookup": """SELECT s.service, s.ordinal, t.f_installed_version, t.f_script_file_name
         FROM services s LEFT JOIN task t ON t.f_service_name = s.service""",
     "history": "SELECT * FROM history",
+    "history_append": "SELECT * FROM history",
     "ledger_latest": "SELECT * FROM latest",
     "fail_fast_prefix": """SELECT service, ts, event_id, status FROM (
         SELECT f_service_name AS service, f_create_time AS ts, f_id AS event_id, f_status AS status,
@@ -742,7 +743,10 @@ SELECTS: dict[str, str] = {
             SELECT db_name FROM column_facts WHERE db_name <> 'db_p') AS is_present, count(*) AS n_tables
         FROM table_facts GROUP BY 1, 2""",
     "verify_report": _union("verify_report"),
-    "verify_verdict": _VERDICT.format(key="string_split(file_id, '/')[1]", name="service", report=_union("verify_report")),
+    "verify_verdict": f"""SELECT service, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings,
+            coalesce(has_error, false) AS has_error
+        FROM (SELECT 'svc-' || s_suppkey AS service FROM supplier) FULL JOIN (
+            {_VERDICT.format(key="string_split(file_id, '/')[1]", name="service", report=_union("verify_report"))}) USING (service)""",
     "lint_report": _union("lint_report"),
     "lint_verdict": _VERDICT.format(key="rule", name="rule", report=_union("lint_report")),
 }

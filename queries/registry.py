@@ -14,7 +14,7 @@ from ledgerline.operators import diff, evolve, facts, ledger, quality, rules, se
 from ledgerline.plans import lint, migration, verify
 from ledgerline.session import run_folder, store
 from ledgerline.sources import scripts as script_source
-from ledgerline.sources.tables import history_rows
+from ledgerline.sources.tables import append_history, history_rows, read_history
 from ledgerline.streaming import ledger as ledger_stream_jobs
 from queries import roles
 from queries.roles import DEFAULT, WANTED, table
@@ -195,7 +195,7 @@ def resume_skip(spark, sf_dir):
 
 
 def has_work(spark, sf_dir):
-    return ledger.has_work(migration_plan(spark, sf_dir))
+    return ledger.has_work(migration_plan(spark, sf_dir), roles.services(spark, sf_dir))
 
 
 def version_completion(spark, sf_dir):
@@ -212,6 +212,14 @@ def history(spark, sf_dir):
     return history_rows(roles.outcomes(spark, sf_dir))
 
 
+def history_append(spark, sf_dir):
+    """History appended in two runs and read back."""
+    folder = run_folder(spark, "history")
+    for half in (0, 1):
+        append_history(history_rows(roles.outcomes(spark, sf_dir).filter(F.col("event_id") % 2 == half)), folder)
+    return read_history(spark, folder)
+
+
 def ledger_latest(spark, sf_dir):
     return ledger.ledger_latest(history(spark, sf_dir))
 
@@ -700,7 +708,8 @@ def verify_report(spark, sf_dir):
 
 
 def verify_verdict(spark, sf_dir):
-    return verify.verify_verdict(verify_report(spark, sf_dir))
+    every = table(spark, sf_dir, "supplier").select(F.concat(F.lit("svc-"), F.col("s_suppkey").cast("string")).alias("service"))
+    return verify.verify_verdict(verify_report(spark, sf_dir), every)
 
 
 QUERIES: dict[str, Query] = {
@@ -709,7 +718,7 @@ QUERIES: dict[str, Query] = {
         migration_plan, plan_problems, execution_order, pending_scripts, resume_skip, service_state, has_work, version_index, version_names,
         version_extremes, version_compare, version_order, versions_from, latest_n_versions, checked_versions,
         script_names, service_filter, existing_services, install_script, source_choice, select_sources,
-        missing_sources, document_sources, replay_roles, version_completion, task_lookup, history, ledger_latest,
+        missing_sources, document_sources, replay_roles, version_completion, task_lookup, history, history_append, ledger_latest,
         fail_fast_prefix, fail_fast_services, rename_keys, rename_collisions, ledger_apply, ledger_stream,
         mask_secrets, json_extract, text_to_bytes, event_time_text, identifiers, type_parts, statement_parts,
         current_database, statement_report, change_items, change_report, duplicate_numbers, layout_report,
