@@ -98,6 +98,8 @@ def scan_history(history: DataFrame, folder: str, rules: str = RULES_VERSION, sc
     addressed = history.withColumn("__blob", blob_of(F.col("text")))
     scan_blobs(addressed.select(F.col("__blob").alias("blob"), "text"), folder, rules, scan)
     ledger = read_ledger(history.sparkSession, folder, rules).dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    # Stored, so that the many paths of one blob can be split in the join.
+    ledger = store(ledger, "secret-findings")
     paths = store(addressed.drop("text"), "secret-paths")
     joined_ = paths.join(ledger, "__blob")
     return joined_.select(*[c for c in history.columns if c != "text"], F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
