@@ -472,3 +472,25 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WOR
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, array_to_string(w[s:s + k - 1], ' ') AS g
+    FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM doc WHERE len(w) > 0)
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), overlap AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM overlap JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)
+), reach(id, other) AS (
+    SELECT doc_id, doc_id FROM size UNION SELECT id, b FROM reach JOIN link ON a = other
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(other) AS least_id FROM reach GROUP BY id) USING (doc_id)
+"""
