@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import run_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,20 +22,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def lower_ascii(text: str) -> str:
-    """``text`` with A-Z lowered, in Python. Lowering bytes touches A-Z only."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder that Spark names, and its path there."""
+    if folder.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    if "://" in folder:
+        return pafs.FileSystem.from_uri(folder)
+    return pafs.LocalFileSystem(), folder
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Gives Python workers this package, as ``--py-files`` would, once per context."""
+    """Gives Python workers this package, as ``--py-files`` would, from the shared folder, once per context."""
     context = spark.sparkContext
     if getattr(context, "_ledgerline_shipped", False):
         return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="ledgerline-code-")) / "ledgerline.zip"
+    package = Path(__file__).resolve().parents[1]
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    folder = run_folder(spark, "code")
+    files, root = open_folder(folder)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(f"{root}/ledgerline.zip") as out:
+        out.write(archive.getvalue())
+    context.addPyFile(f"{folder}/ledgerline.zip")
     context._ledgerline_shipped = True

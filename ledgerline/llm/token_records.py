@@ -30,11 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ship_package, table
+from ledgerline.llm.common import open_folder, ship_package, table
 from ledgerline.llm.words import WordEncoder
 from ledgerline.session import run_folder
 
@@ -62,14 +61,6 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
-def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
-    if "://" in folder:
-        return pafs.FileSystem.from_uri(folder)
-    return pafs.LocalFileSystem(), folder
-
-
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the records below ``folder``/data and returns their index, itself stored.
 
