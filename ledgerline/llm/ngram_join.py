@@ -346,7 +346,8 @@ def candidate_groups(
     # A set's shingles at most meet in one window.
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "gram"))
     kept = store(met.withColumn("place", place).filter("place <= spare").select("gram", "key"), "ngram-prefixes")
-    least = kept.groupBy("gram").agg(F.min("key").alias("least"))
+    # Stored, so that a column of very many classes can be split in the join.
+    least = store(kept.groupBy("gram").agg(F.min("key").alias("least")), "ngram-least")
     edges = kept.join(least, "gram").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     return connected_components(edges, "ngram-groups")
 
