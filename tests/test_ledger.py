@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ledger
@@ -76,6 +77,42 @@ def test_fail_fast(spark, rows):
         assert rows(kept, "service", "pos") == expected
 
 
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("number", ["bigint", "int"])
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_fail_fast_orders_times_and_numbers_as_a_struct(spark, rows, time, number, zone):
+    """Null, far and equal times; the hour that clocks skip in spring."""
+    written = [None, "0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-03-31 02:30:00",
+               "2024-03-31 03:15:00", "5139-01-01 00:00:00", "9999-12-31 23:59:59.999999", "+200000-01-01 00:00:00"]
+    numbers = [None, -(1 << 63), -1, 0, (1 << 63) - 1] if number == "bigint" else [None, -(1 << 31), 0, (1 << 31) - 1]
+    places = [(t, n) for t in written for n in numbers]
+    data = [(f"{k}", t, n, "bad" if i >= k and i % 3 == k % 3 else "ok") for k in range(len(places) + 1) for i, (t, n) in enumerate(places)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame(data, f"service string, written string, n {number}, status string")
+        df = df.withColumn("ts", F.col("written").cast(time)).localCheckpoint()
+        bad = F.col("status") == "bad"
+        late, place = ledger.order_value(df, ["ts", "n"])
+        assert df.select(place.alias("p")).schema["p"].dataType.simpleString() == "decimal(38,0)"
+        stops = df.groupBy("service").agg(F.min(F.when(bad, F.struct("ts", "n"))).alias("stop"))
+        expected = df.join(stops, "service").filter(F.col("stop").isNull() | (F.struct("ts", "n") <= F.col("stop"))).drop("stop")
+        columns = ["service", "written", "n", "status"]
+        assert rows(ledger.fail_fast_prefix(df, bad, ["service"], ["ts", "n"]), *columns) == rows(expected, *columns)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_fail_fast_of_null_and_far_places(spark, rows):
+    far = dt.datetime(9999, 12, 31)
+    data = [("a", None, 1, "ok"), ("a", NOON, None, "ok"), ("a", NOON, 1, "bad"), ("a", NOON, 2, "ok"), ("b", None, 1, "bad"),
+            ("b", NOON, 1, "ok"), ("c", NOON, 1, "ok"), ("c", far, 1, "bad"), ("c", far, 2, "ok")]
+    df = spark.createDataFrame(data, "service string, ts timestamp_ntz, event_id long, status string")
+    kept = ledger.fail_fast_prefix(df, F.col("status") == "bad", ["service"], ["ts", "event_id"])
+    expected = [data[i] for i in (0, 1, 2, 4, 6, 7)]
+    assert rows(kept, *df.columns) == sorted(expected, key=repr)
+
+
 def test_fail_fast_across_services(spark, rows):
     df = spark.createDataFrame([(0, "ok"), (1, "ok"), (1, "bad"), (2, "ok"), (3, "bad")], "ordinal int, status string")
     bad = F.col("status") == "bad"
