@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.diff import row_difference, schema_diff
 from ledgerline.operators.evolve import ReplayResult, replay_changes
-from ledgerline.operators.facts import change_problems, replay_facts
+from ledgerline.operators.facts import replay
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.rules import ERROR, violation
 from ledgerline.operators.selection import DEFAULT_DIALECT
@@ -86,9 +86,9 @@ def verify_report(
     The replay stores the facts after the upgrades, which both comparisons use.
     Changes that it could not make are violations as well.
     """
-    upgraded = replay_facts(base_facts, changes, steps, SCOPE)
+    upgraded, problems = replay(base_facts, changes, steps, SCOPE)
     refused = violation(
-        change_problems(changes, SCOPE), F.col("problem"), ERROR, "db_name", "table_name", "object_name",
+        problems, F.col("problem"), ERROR, "db_name", "table_name", "object_name",
         F.concat_ws("/", *SCOPE), F.concat_ws(" ", "operation_type", "object_type"),
     )
     return (

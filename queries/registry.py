@@ -567,7 +567,9 @@ def replay_facts(spark, sf_dir):
 
 
 def change_problems(spark, sf_dir):
-    return facts.change_problems(roles.faulty_changes(spark, sf_dir), verify.SCOPE).drop("new_name", "data_type")
+    columns = store(roles.service_columns(spark, sf_dir), "service-columns")
+    base = roles.base_service_facts(spark, sf_dir, columns)
+    return facts.change_problems(roles.faulty_changes(spark, sf_dir, columns), verify.SCOPE, base).drop("new_name", "data_type")
 
 
 def create_and_drop_tables(spark, sf_dir):

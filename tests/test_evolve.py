@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import evolve, facts, quality
-from ledgerline.plans.verify import replay_path
+from ledgerline.plans.verify import replay_path, verify_report
 
 
 def item(kind, op, name, prop="", new_name="", table="t_user", db="app"):
@@ -178,6 +178,51 @@ def test_changes_that_cannot_be_made_are_listed(spark, rows):
     ]
 
 
+def test_no_change_is_dropped_or_doubled_unseen(spark, rows):
+    base = spark.createDataFrame(
+        [("d", t, c, "INT") for t in ("t_a", "t_b", "t_c", "t_d", "t_e", "t_f", "t_g") for c in ("a", "b")], FACTS
+    )
+    changes = spark.createDataFrame(
+        [
+            # Onto a column that is there; two columns to one name; an addition of the name.
+            ("d", "t_a", 1, "COLUMN", "RENAME", "a", "B", None),
+            ("d", "t_b", 1, "COLUMN", "RENAME", "a", "c", None),
+            ("d", "t_b", 1, "COLUMN", "RENAME", "b", "C", None),
+            ("d", "t_c", 1, "COLUMN", "RENAME", "a", "c", None),
+            ("d", "t_c", 1, "COLUMN", "ADD", "c", None, "INT"),
+            # A table renamed in the step that changes its columns, and one dropped in it.
+            ("d", "t_d", 1, "TABLE", "RENAME", "t_d", "t_dd", None),
+            ("d", "t_d", 1, "COLUMN", "ADD", "z", None, "INT"),
+            ("d", "t_e", 1, "TABLE", "DROP", "t_e", None, None),
+            ("d", "t_e", 1, "COLUMN", "ADD", "z", None, "INT"),
+            # f stays, as a is taken, so g cannot become f.
+            ("d", "t_f", 1, "TABLE", "RENAME", "t_f", "t_a", None),
+            ("d", "t_g", 1, "TABLE", "RENAME", "t_g", "t_f", None),
+            # Done before, or of a table that is not there: no effect.
+            ("d", "t_a", 2, "COLUMN", "RENAME", "absent", "b", None),
+            ("d", "t_absent", 2, "TABLE", "RENAME", "t_absent", "t_a", None),
+            ("d", "t_a", 3, "COLUMN", "RENAME", "a", "c", None),
+        ],
+        CHANGE,
+    )
+    after, problems = facts.replay(base, changes)
+    assert rows(after, "table_name", "column_name") == [
+        ("t_a", "b"), ("t_a", "c"), *[(t, c) for t in ("t_b", "t_c", "t_d", "t_f", "t_g") for c in ("a", "b")],
+    ]
+    expected = [
+        ("t_a", "a", "new_name_taken"), ("t_b", "a", "new_name_given_twice"), ("t_b", "b", "new_name_given_twice"),
+        ("t_c", "a", "new_name_given_twice"), ("t_c", "c", "new_name_given_twice"),
+        ("t_d", "t_d", "table_renamed_in_the_step"), ("t_d", "z", "table_renamed_in_the_step"),
+        ("t_f", "t_f", "new_name_taken"), ("t_g", "t_g", "new_name_taken"),
+    ]
+    assert rows(problems, "table_name", "object_name", "problem") == expected
+    assert rows(facts.change_problems(changes, facts=base), "table_name", "object_name", "problem") == expected
+    both = [df.withColumns({"service": F.lit("s"), "dialect": F.lit("mariadb")}) for df in (base, changes)]
+    report = verify_report(*both, both[0], None, ["mariadb", "dm8"])
+    listed = report.filter(F.col("rule").isin("new_name_taken", "new_name_given_twice", "table_renamed_in_the_step"))
+    assert rows(listed, "table_name", "object_name", "rule") == expected
+
+
 def test_losses_of_a_change_of_type(spark, rows):
     df = spark.createDataFrame([(1, 12.7, "ab"), (2, 12.0, "abc"), (3, None, None)], "k int, n double, s string")
     from ledgerline.operators import evolve
