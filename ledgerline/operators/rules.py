@@ -221,12 +221,16 @@ def first_statement_rule(statements: DataFrame) -> DataFrame:
     """Files whose first statement does not switch the database.
 
     The first statement is the least position of a file of one kind: a
-    number found by a hash aggregation, then met by the statement itself.
+    number found by a hash aggregation, then met by the statement itself. Null
+    names of files or kinds, and files without positions, meet their like.
     """
     checked = supported(statements_to_check(statements))
     file = ["dialect", "file_kind", "file_id"]
     places = store(checked.groupBy(*file).agg(F.min("ord").alias("ord")), "first-statements")
-    first = checked.join(places, [*file, "ord"]).groupBy(*file).agg(F.min("sql").alias("sql"))
+    at = [*file, "ord"]
+    places = places.select(*[F.col(c).alias(f"_{c}") for c in at])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at])
+    first = checked.join(places, same).groupBy(*file).agg(F.min("sql").alias("sql"))
     return violation(
         first.filter(~switches_database("sql", "dialect")), "first_statement_must_switch", file_id="file_id", detail="sql"
     )

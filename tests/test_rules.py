@@ -156,6 +156,19 @@ def test_first_statement(spark):
     assert sorted(r.file_id for r in rules.first_statement_rule(df).collect()) == ["also wrong", "bad", "wrong"]
 
 
+def test_first_statement_of_files_without_name_or_kind(spark, rows):
+    df = statements(
+        spark,
+        [("mariadb", "init", None, ["CREATE TABLE a (f INT)", "USE app"]), ("mariadb", None, "f", ["CREATE TABLE b (f INT)"]),
+         ("dm8", None, None, ["CREATE TABLE c (f INT)"]), ("kdb9", None, None, ["SET SEARCH_PATH TO app"])],
+    )
+    df = df.unionByName(df.limit(1).select(F.lit("dm8").alias("dialect"), F.lit("init").alias("file_kind"), F.lit("g").alias("file_id"),
+                                           F.lit(None).cast(df.schema["ord"].dataType).alias("ord"), F.lit("CREATE TABLE d (f INT)").alias("sql")))
+    assert rows(rules.first_statement_rule(df), "file_id", "detail") == [
+        ("f", "CREATE TABLE b (f INT)"), ("g", "CREATE TABLE d (f INT)"), (None, "CREATE TABLE a (f INT)"), (None, "CREATE TABLE c (f INT)"),
+    ]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 100])
 def test_current_database(spark, chunk):
     sqls = ["INSERT 1", "USE a", "INSERT 2", "INSERT 3", "USE b", "INSERT 4", "INSERT 5", "INSERT 6"]
