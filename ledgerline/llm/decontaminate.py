@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,9 +280,14 @@ def _merged(parts: Column) -> Column:
     )
 
 
-def is_contaminated(result: Column, min_share: float = 0.05) -> Column:
-    """Hit words make at least ``min_share`` of all (one in twenty by default)."""
-    return (result["n_hit"] > 0) & (F.lit(round(1 / min_share)) * result["n_hit"] >= result["n_words"])
+def is_contaminated(result: Column, min_share: float | Fraction = 0.05) -> Column:
+    """Hit words make at least ``min_share`` of all (one in twenty by default).
+
+    The limit is the fraction as written (0.3 is 3 / 10), compared without rounding.
+    """
+    limit = Fraction(str(min_share))
+    times = lambda name, n: result[name].cast("decimal(20,0)") * F.lit(str(n)).cast("decimal(38,0)")
+    return (result["n_hit"] > 0) & (times("n_hit", limit.denominator) >= times("n_words", limit.numerator))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05) -> DataFrame:
@@ -293,6 +299,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05
 def without_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDOW, min_share: float = 1.0) -> DataFrame:
     """``docs`` with every hit span cut out of its text if the span has ``min_words`` or all hits reach ``min_share``."""
     scanned = contamination(docs, benchmark, name="__contamination")
+    share = Fraction(str(min_share))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, results: pd.DataFrame) -> pd.Series:
@@ -302,7 +309,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDOW
                 out.append(text)
                 continue
             raw, at, kept = text.encode("utf-8", "replace"), 0, []
-            whole = row.n_hit >= min_share * row.n_words
+            whole = int(row.n_hit) * share.denominator >= share.numerator * int(row.n_words)
             for first, last, start, end in zip(row.first_word, row.last_word, row.first_byte, row.end_byte):
                 if whole or last - first + 1 >= min_words:
                     kept.append(raw[at:start])

@@ -75,6 +75,14 @@ def test_contamination_equals_brute_force(spark, words_per_automaton, long_items
         assert all(spans[k][1] + 1 < spans[k + 1][0] for k in range(len(spans) - 1))
 
 
+def test_limits_of_contamination_are_exact(spark):
+    cases = spark.createDataFrame([(n, hit) for n in (10, 100) for hit in range(n + 1)], "n_words long, n_hit long")
+    for limit, (over, under) in {0.05: (1, 20), 0.07: (7, 100), 0.3: (3, 10), 0.7: (7, 10), 1.0: (1, 1)}.items():
+        kept = cases.filter(~decontaminate.is_contaminated(F.struct("n_words", "n_hit"), limit)).collect()
+        expected = {(n, hit) for n in (10, 100) for hit in range(n + 1) if not (hit and hit * under >= over * n)}
+        assert {tuple(row) for row in kept} == expected
+
+
 def test_decontaminate_keeps_clean_rows_as_they_are(spark):
     passage = " ".join(f"w{k}" for k in range(20))
     texts = [passage, passage + " x" * 1000, None, "clean text", passage, "clean text"]
