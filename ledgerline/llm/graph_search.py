@@ -186,10 +186,14 @@ def _search(k: int, beam: int):
         asked_norms = np.linalg.norm(asked, axis=1)
         parts = []
         all_ids = graph["ids"].to_numpy()
-        for at in range(0, len(asked), BATCH):
-            part = slice(at, at + BATCH)
+        batch = max(1, BATCH * BEAM // max(beam, BEAM))
+        for at in range(0, len(asked), batch):
+            part = slice(at, at + batch)
             wanted = (asked[part] / asked_norms[part, None]).astype(np.float32)
-            found, _ = beam_search(unit, edges, int(graph["start"].iloc[0]), wanted, beam)
+            if beam < len(graph):
+                found, _ = beam_search(unit, edges, int(graph["start"].iloc[0]), wanted, beam)
+            else:  # a beam as wide as the shard: all nodes, reached by an edge or not
+                found = np.tile(np.arange(len(graph)), (len(wanted), 1))
             # Exact scores of the whole beam, then the best.
             exact = np.einsum("bcd,bd->bc", vectors[found], asked[part]) / (norms[found] * asked_norms[part, None])
             exact = np.where(found < 0, -np.inf, exact)
@@ -210,7 +214,11 @@ def _search(k: int, beam: int):
 
 
 def nearest(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each of ``queries`` (query_id, vector)."""
+    """query_id, rank, vec_id, score of the k nearest found for each of ``queries`` (query_id, vector).
+
+    The beam is widened to twice the nodes that ``k`` and the query itself ask of a shard.
+    """
+    beam = max(beam, 2 * (k + 1))
     ship_package(graphs.sparkSession)
     queries = store(queries.select("query_id", "vector").distinct().withColumns({"dim": F.size("vector"), "query": F.xxhash64("vector")}), "graph-queries")
     n_blocks = max(1, -(-queries.count() // query_block))
@@ -228,12 +236,12 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, beam: int = BEAM) -> DataFrame:
     """The k nearest of all ``rows`` for those that ``queries`` (a condition on ``vec_id``) picks."""
     vectors = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     vectors = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     graphs = build_graphs(nodes_of(vectors, k), shard_rows)
-    return nearest(graphs, vectors.filter(queries).select(F.col("vec_id").alias("query_id"), "vector"), k, query_block=query_block)
+    return nearest(graphs, vectors.filter(queries).select(F.col("vec_id").alias("query_id"), "vector"), k, beam, query_block)
 
 
 def op2_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_small_and_odd_tables_are_exact(spark):
     assert G.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_more_nearest_than_the_beam_is_wide(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(400)]
+    df = spark.createDataFrame([(i, v, -1.0, -1) for i, v in rows], ROWS)
+    for k, least in ((120, 0.9), (399, 1.0), (500, 1.0)):
+        expected, got = brute(rows, lambda i: i % 100 == 0, k), {}
+        for r in G.search(df, F.col("vec_id") % 100 == 0, k=k).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert {i: len(found) for i, found in got.items()} == {i: min(k, 399) for i in expected}
+        for i, found in got.items():
+            assert len(found & {j for _, j in expected[i][0]}) >= least * min(k, 399)
+
+
 def test_recall_on_the_given_vectors(spark):
     data = "/root/testdata/sf0.1"
     got = G.op2_graph_search(spark, data).collect()
