@@ -13,12 +13,13 @@ from ledgerline.llm.pii import op4_pii
 from ledgerline.llm.quality import op7_quality
 from ledgerline.llm.token_records import op10_token_records
 from ledgerline.llm.token_sections import op9_token_sections
+from ledgerline.llm.whitening import op12_whitening
 
 QUERIES = {
     query.__name__: query
     for query in (
         op1_chat_repair, op2_graph_search, op3_mixing, op4_pii, op5_secrets, op6_ngram_join, op7_quality, op8_decontaminate,
-        op9_token_sections, op10_token_records, op13_fill_middle,
+        op9_token_sections, op10_token_records, op12_whitening, op13_fill_middle,
     )
 }
 
