@@ -222,6 +222,11 @@ ROLES: dict[str, str] = {
     "base_facts": """
         SELECT service, dialect, db_name, table_name, column_name, number, old_type AS data_type FROM dialect_columns
         WHERE number <= 5 AND NOT (dialect = 'kdb9' AND number = 1 AND size < 5)""",
+    "chains": """
+        SELECT *, lead(table_name) OVER (PARTITION BY service ORDER BY number) AS next,
+            row_number() OVER (PARTITION BY service ORDER BY number) AS place, string_split(service, '-')[2]::INTEGER % 2 = 1 AS odd
+        FROM (SELECT DISTINCT service, table_name, string_split(table_name, '_')[2]::INTEGER AS number
+            FROM base_facts WHERE dialect = 'mariadb')""",
     "installed_facts": """
         SELECT service, dialect, db_name, table_name, CASE WHEN number = 5 THEN 'f_five' ELSE column_name END AS column_name,
             CASE WHEN number IN (3, 6, 7) THEN new_type ELSE old_type END AS data_type
@@ -694,6 +699,12 @@ SELECTS: dict[str, str] = {
             lambda w: upper(w[1]) || lower(w[2:])), ' ') AS p_label, p_brand, p_type, p_size FROM part""",
     "change_problems": "SELECT * FROM refused_changes",
     "replay_facts": "SELECT service, dialect, db_name, table_name, column_name, data_type FROM upgraded",
+    "rename_chains": """SELECT f.service, f.db_name, f.column_name, f.data_type,
+            CASE WHEN odd AND place = 2 THEN 't_first' WHEN odd THEN f.table_name WHEN place = 1 THEN 't_first'
+                 ELSE coalesce(next, 't_free') END AS table_name
+        FROM base_facts f JOIN chains USING (service, table_name) WHERE dialect = 'mariadb'""",
+    "rename_problems": """SELECT service, table_name, 1::INTEGER AS step, next AS new_name, 'new_name_taken' AS problem
+        FROM chains WHERE odd AND next IS NOT NULL""",
     "create_and_drop_tables": """WITH kept AS (
             SELECT db_name, lower(table_name) AS table_name, column_name, data_type FROM column_facts
             WHERE dialect = 'mariadb' AND (table_name LIKE 'T\\_%' ESCAPE '\\' OR table_name NOT LIKE '%7')

@@ -572,6 +572,22 @@ def change_problems(spark, sf_dir):
     return facts.change_problems(roles.faulty_changes(spark, sf_dir, columns), verify.SCOPE, base).drop("new_name", "data_type")
 
 
+def _renamed_chains(spark, sf_dir):
+    base = roles.base_service_facts(spark, sf_dir).filter(F.col("dialect") == "mariadb").drop("dialect")
+    base = store(base, "chain-facts")
+    return facts.replay(base, roles.chained_renames(base), scope=["service"])
+
+
+def rename_chains(spark, sf_dir):
+    """Every table of a service takes the name of the next one, in one step; some chains end on a taken name."""
+    return _renamed_chains(spark, sf_dir)[0]
+
+
+def rename_problems(spark, sf_dir):
+    """The renames of those chains that end on a taken name: all of them."""
+    return _renamed_chains(spark, sf_dir)[1].select("service", "table_name", "step", "new_name", "problem")
+
+
 def create_and_drop_tables(spark, sf_dir):
     """Facts of one dialect's tables: some renamed, some dropped, those of another dialect created."""
     columns = roles.column_facts(spark, sf_dir).select("db_name", "table_name", "column_name", "data_type", "dialect")
@@ -727,6 +743,7 @@ QUERIES: dict[str, Query] = {
         identifier_rule, duplicate_definitions, key_rules, key_column_membership, index_table_exists, comment_rules,
         column_rules, text_in_index, table_option_rule, naming_rules, lint_report, lint_verdict, evolve_orders,
         lossy_casts, lossy_lengths, modify_column, apply_update, apply_delete, apply_insert, user_step, replay_facts, change_problems,
+        rename_chains, rename_problems,
         create_and_drop_tables, upgrade_equals_install, row_difference, name_difference, key_violations,
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
         existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict,

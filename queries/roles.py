@@ -7,7 +7,7 @@ also stand for table and column definitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.versions import is_version, version_key
@@ -450,6 +450,25 @@ def faulty_changes(spark: SparkSession, sf_dir: str, columns: DataFrame | None =
     return sound.unionByName(bad)
 
 
+def chained_renames(facts: DataFrame) -> DataFrame:
+    """Step 1 moves each table of a service to the next name; step 2 moves the first table again.
+
+    The last table of a service with an odd key stays, so the whole chain is blocked.
+    """
+    number = F.substring_index("table_name", "_", -1).cast("int")
+    following = F.lead("table_name").over(Window.partitionBy("service").orderBy("number"))
+    tables = facts.select("service", "db_name", "table_name").distinct().withColumn("number", number)
+    is_odd = F.substring_index("service", "-", -1).cast("int") % 2 == 1
+    named = tables.withColumns({"next": following, "is_odd": is_odd, "first": F.min("number").over(Window.partitionBy("service"))})
+    change = [F.lit("TABLE").alias("object_type"), F.lit("RENAME").alias("operation_type"), F.col("table_name").alias("object_name")]
+    first = named.withColumn("new_name", F.coalesce("next", F.when(~F.col("is_odd"), "t_free"))).filter("new_name IS NOT NULL")
+    again = named.filter("number = first").withColumn("table_name", F.coalesce("next", F.lit("t_free"))).withColumn("new_name", F.lit("t_first"))
+    void = F.lit(None).cast("string").alias("data_type")
+    return first.select("service", "db_name", "table_name", F.lit(1).alias("step"), *change, "new_name", void).unionByName(
+        again.select("service", "db_name", "table_name", F.lit(2).alias("step"), *change, "new_name", void)
+    )
+
+
 def installed_service_facts(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> DataFrame:
     """What a fresh install of the last version would give, had nobody made a mistake."""
     number = F.col("number")
