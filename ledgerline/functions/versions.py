@@ -88,12 +88,23 @@ def has_script_extension(filename: Column | str) -> Column:
     return _col(filename).rlike(SCRIPT_EXTENSION_PATTERN)
 
 
+def _script_digits(path: Column | str) -> Column:
+    return F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1)
+
+
+def script_key(path: Column | str) -> Column:
+    """Text that sorts as the leading number of a script file does, however long that is; NULL without one."""
+    digits = _script_digits(path)
+    return F.when(digits != "", _number_key(digits))
+
+
 def script_number(path: Column | str) -> Column:
-    """Leading number of a script file given by name or path; NULL without one.
+    """Leading number of a script file given by name or path, to be shown; NULL without one.
 
-    Numbers of more than 38 digits are all the greatest one; names order them.
+    Numbers of more than 38 digits are all shown as the greatest one. Whatever
+    compares or orders numbers goes by :func:`script_key`, which has no such limit.
     """
-    digits = F.regexp_extract(base_name(path), SCRIPT_PATTERN, 1)
+    digits = _script_digits(path)
     return F.when(digits != "", F.coalesce(digits.try_cast(NUMBER_TYPE), F.lit(LONGEST_NUMBER).cast(NUMBER_TYPE)))
 
 

@@ -13,6 +13,7 @@ from ledgerline.functions.versions import (
     from_version,
     is_script_name,
     is_version,
+    script_key,
     script_number,
     version_key,
 )
@@ -195,14 +196,14 @@ def replay_roles(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def execution_order(df: DataFrame, *leading: str) -> DataFrame:
-    """Rows by version, then script number, then name."""
-    return df.orderBy(*leading, "vkey", "version", "seq", "filename")
+    """Rows by version, then script number (none first), then name."""
+    return df.orderBy(*leading, "vkey", "version", script_key("filename"), "filename")
 
 
 def version_completion(scripts: DataFrame, keys: Sequence[str] = ("service",)) -> DataFrame:
     """Last script of each version, whose success closes the version."""
     return (
         scripts.groupBy(*keys, "version")
-        .agg(F.max(F.struct("seq", "filename")).alias("last"), F.count(F.lit(1)).alias("n_scripts"))
+        .agg(F.max(F.struct(script_key("filename").alias("number"), "filename")).alias("last"), F.count(F.lit(1)).alias("n_scripts"))
         .select(*keys, "version", F.col("last.filename").alias("last_script"), "n_scripts")
     )

@@ -13,6 +13,7 @@ from ledgerline.functions.versions import (
     below_all_versions,
     is_script_name,
     relative_name,
+    script_key,
     script_number,
     version_key,
 )
@@ -68,6 +69,7 @@ def service_state(
             .alias("installed_vkey"),
             anchor_version("anchor").alias("anchor_version"),
             anchor_number("anchor").alias("anchor_seq"),
+            script_key("anchor").alias("anchor_key"),
             F.col("top.version").alias("target_version"),
             F.col("top.vkey").alias("target_vkey"),
             (F.col("top.has_init") == 1).alias("can_install"),
@@ -94,6 +96,7 @@ def pending_versions(versions: DataFrame, state: DataFrame, rows_per_task: int =
         "target_version",
         "anchor_version",
         "anchor_seq",
+        "anchor_key",
         F.col("n_versions").alias("n_rows"),
     )
     return lookup(
@@ -106,13 +109,13 @@ def pending_versions(versions: DataFrame, state: DataFrame, rows_per_task: int =
 
 
 def live_anchors(pending: DataFrame) -> DataFrame:
-    """Services whose anchor lies in their first pending version: service, version, live_seq."""
+    """Services whose anchor lies in their first pending version: service, version, live_seq, live_key."""
     return (
-        pending.filter(F.col("anchor_seq") >= 0)
-        .groupBy("service", "anchor_version", "anchor_seq")
+        pending.filter(F.col("anchor_key").isNotNull())
+        .groupBy("service", "anchor_version", "anchor_seq", "anchor_key")
         .agg(F.min(F.struct("vkey", "version"))["version"].alias("version"))
         .filter(F.col("version") == F.col("anchor_version"))
-        .select("service", "version", F.col("anchor_seq").alias("live_seq"))
+        .select("service", "version", F.col("anchor_seq").alias("live_seq"), F.col("anchor_key").alias("live_key"))
     )
 
 
@@ -134,7 +137,7 @@ def pending_scripts(
         "ordinal",
         "installed_version",
         "target_version",
-        "live_seq",
+        "live_key",
         F.col("n_files").alias("n_rows"),
     )
     return (
@@ -146,8 +149,8 @@ def pending_scripts(
             rows_per_task=rows_per_task,
         )
         .withColumn("seq", script_number("filename"))
-        .filter(F.col("live_seq").isNull() | (F.col("seq") > F.col("live_seq")))
-        .drop("live_seq")
+        .filter(F.col("live_key").isNull() | (script_key("filename") > F.col("live_key")))
+        .drop("live_key")
     )
 
 
@@ -177,8 +180,8 @@ def migration_plan(
 ) -> DataFrame:
     """Every script that has to run: the install script of new services, pending ones of others.
 
-    Execution order is (ordinal, vkey, version, seq, filename); an install
-    script has number -1. The list of scripts is read twice: once to count
+    Execution order is (ordinal, vkey, version, number, filename), see
+    :func:`~ledgerline.operators.selection.execution_order`; an install script has number -1. The list of scripts is read twice: once to count
     what each version holds, once to pick the pending ones.
     """
     versions, state = planning_tables(scripts, task, services, wanted, default)

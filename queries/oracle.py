@@ -761,6 +761,7 @@ SELECTS: dict[str, str] = {
     "lint_report": _union("lint_report"),
     "lint_verdict": _VERDICT.format(key="rule", name="rule", report=_union("lint_report")),
 }
+SELECTS["task_stream"] = SELECTS["ledger_apply"]
 for _name in VIOLATIONS:
     SELECTS.setdefault(_name, _union(_name))
 

@@ -159,7 +159,7 @@ def _plan_inputs(spark, sf_dir):
 def service_state(spark, sf_dir):
     scripts, task, services = _plan_inputs(spark, sf_dir)
     return migration.service_state(selection.version_index(scripts), task, services, WANTED, DEFAULT).drop(
-        "installed_vkey", "target_vkey"
+        "installed_vkey", "target_vkey", "anchor_key"
     )
 
 
@@ -191,7 +191,7 @@ def pending_scripts(spark, sf_dir):
 def resume_skip(spark, sf_dir):
     """Anchors that lie in the first pending version, where scripts are skipped."""
     tables = migration.planning_tables(*_plan_inputs(spark, sf_dir), WANTED, DEFAULT)
-    return migration.live_anchors(migration.pending_versions(*tables))
+    return migration.live_anchors(migration.pending_versions(*tables)).drop("live_key")
 
 
 def has_work(spark, sf_dir):
@@ -247,9 +247,9 @@ def rename_collisions(spark, sf_dir):
     return ledger.rename_collisions(roles.task(spark, sf_dir), ledger.compose_renames(RENAMES), "f_service_name")
 
 
-def ledger_apply(spark, sf_dir):
-    """State after the outcomes of all events; a purchase closes its version."""
-    outcomes = roles.outcomes(spark, sf_dir).select(
+def _closing_outcomes(outcomes):
+    """Outcomes of which a purchase closes its version."""
+    return outcomes.select(
         "service",
         "version",
         V.relative_name("version", "filename").alias("script_file_name"),
@@ -259,7 +259,28 @@ def ledger_apply(spark, sf_dir):
         F.lit("9.9.9").alias("target_version"),
         F.col("filename").endswith("-purchase.sql").alias("closes_version"),
     )
-    return ledger.ledger_apply(roles.task(spark, sf_dir), outcomes).drop("f_id")
+
+
+def ledger_apply(spark, sf_dir):
+    """State after the outcomes of all events."""
+    return ledger.ledger_apply(roles.task(spark, sf_dir), _closing_outcomes(roles.outcomes(spark, sf_dir))).drop("f_id")
+
+
+def task_stream(spark, sf_dir):
+    """State after all events read as a stream: two runs, the second with late rows and some of the first again."""
+    events = table(spark, sf_dir, "events")
+    folder = run_folder(spark, "task-stream")
+    arriving = f"{folder}/events"
+    first = F.col("event_id") % 3 < 2
+    # Late rows lie among those of the first run, one in five of which comes twice.
+    for part in (events.filter(first), events.filter(~first | (F.col("event_id") % 5 == 0))):
+        part.repartition(4, "event_id").write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+        query = ledger_stream_jobs.run_to_task_state(
+            _closing_outcomes(roles.event_outcomes(stream)), f"{folder}/state", f"{folder}/progress"
+        )
+        state = ledger_stream_jobs.read_state(spark, f"{folder}/state", query, ledger.STATE_SCHEMA)
+    return ledger.task_after(roles.task(spark, sf_dir), state).drop("f_id")
 
 
 def ledger_stream(spark, sf_dir):
@@ -737,7 +758,7 @@ QUERIES: dict[str, Query] = {
         version_extremes, version_compare, version_order, versions_from, latest_n_versions, checked_versions,
         script_names, service_filter, existing_services, install_script, source_choice, select_sources,
         missing_sources, document_sources, replay_roles, version_completion, task_lookup, history, history_append, ledger_latest,
-        fail_fast_prefix, fail_fast_services, rename_keys, rename_collisions, ledger_apply, ledger_stream,
+        fail_fast_prefix, fail_fast_services, rename_keys, rename_collisions, ledger_apply, ledger_stream, task_stream,
         mask_secrets, json_extract, text_to_bytes, event_time_text, identifiers, type_parts, statement_parts,
         current_database, statement_report, change_items, change_report, duplicate_numbers, layout_report,
         identifier_rule, duplicate_definitions, key_rules, key_column_membership, index_table_exists, comment_rules,

@@ -66,6 +66,11 @@ def test_pending(spark, tree, installed, expected):
         ),
         # A version of nothing but init.sql does no work, so it does not come first.
         ({"1.1.5": ["init.sql"], "1.2.0": ["01-a.sql", "02-b.sql"]}, "1.2.0/01-a.sql", ["1.2.0/02-b.sql"]),
+        # Numbers of any length are told apart.
+        (
+            {"1.1": ["1" * 39 + "-a.sql", "2" * 39 + "-b.sql", "09-c.sql", "0" * 50 + "7-d.sql", "1" * 40 + "-e.sql"]}, "1.1/" + "1" * 39 + "-a.sql",
+            ["1.1/" + "2" * 39 + "-b.sql", "1.1/" + "1" * 40 + "-e.sql"],
+        ),
         # The anchor counts by text, not by value.
         ({"1.2.0": ["01-a.sql", "02-b.sql"]}, "1.2/01-a.sql", ["1.2.0/01-a.sql", "1.2.0/02-b.sql"]),
     ],
