@@ -1,11 +1,15 @@
-"""Token ids of whole texts, a word at a time through bounded caches.
+"""Token ids of whole texts, a distinct piece at a time through a bounded cache.
 
 The vocabularies meant here (BPE with word ends) cut a text at white space and
 between letters, digits and other signs before merging, so the ids of a text are
-those of its words in order. Words repeat a lot: each is merged once and then
-looked up. The short cut is taken only for pieces of printable ASCII and Latin-1
-letters, where normalising is plain lowering; any other piece is left to the
-tokenizer itself. The ids always equal those of encoding the whole text.
+those of its pieces between white space in order. Pieces repeat a lot: a share of the
+texts is split and its pieces are numbered by Arrow, each distinct piece is looked up
+or encoded once, and the ids of all texts are gathered from those of the pieces in one
+step. The ids of new pieces are gathered in the same way from those of their distinct
+words, which are merged together. That short cut is taken only for pieces of
+printable ASCII and Latin-1 letters, where normalising is plain lowering; any other
+piece is left to the tokenizer itself. The ids always equal those of
+encoding the whole text.
 """
 
 from __future__ import annotations
@@ -13,18 +17,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_CACHED = 300_000  # entries of each of the two caches of a Python worker, some 50 MB each
-SHARE = 500_000  # characters that are split at once
+MAX_CACHED = 200_000  # pieces of a generation of the cache of a Python worker; there are two, of some 25 MB each
+SHARE = 5_000_000  # characters that are split at once
 
-_SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_SAFE_TEXT = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-_WHITE = re.compile("[\t\n\r ]+")
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_SAFE = "^[!-~À-ÖØ-öø-ÿ]+$"
+_WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
 _LOADED: dict[str, WordEncoder] = {}
 
 
@@ -48,8 +51,9 @@ class WordEncoder:
         to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [alone, to_bytes]}}
         self.merger = Tokenizer.from_str(json.dumps(parts))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # Pieces met lately, and those of the generation before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: str) -> WordEncoder:
@@ -63,32 +67,53 @@ class WordEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype=self.dtype).tobytes() for one in encoded]
 
-    def _merged(self, words: list[str]) -> dict[str, bytes]:
-        if not words:
-            return {}
-        ids = np.array(self.merger.encode(" ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
+    def _gathered(self, sizes: np.ndarray, ids: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of lists of things: ``ids`` of all things after each other, ``numbers`` of the things of all lists, and where lists start."""
+        starts, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        # The id at each place of the output is that many behind the start of its thing's ids.
+        raw = ids[np.repeat(starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[offsets] * self.dtype.itemsize).tolist()
+        return [raw[start:end] for start, end in zip(bounds, bounds[1:])]
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        column = pa.array(pieces, pa.large_string())
+        plain = pc.and_not(pc.match_substring_regex(column, _SAFE), pc.match_substring(column, "<|"))
+        apart = pc.replace_substring_regex(pc.utf8_lower(column.filter(plain)), _WORD, r"\0 ")
+        words = pc.split_pattern(pc.utf8_rtrim(apart, " "), " ")
+        numbered = words.flatten().dictionary_encode()
+        ids = np.array(self.merger.encode_batch_fast([" ".join(numbered.dictionary.to_pylist())], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = np.flatnonzero(self.is_last[ids]) + 1
-        if len(ends) != len(words):  # a word's sign for its end is also in its text
-            return dict(zip(words, self._whole(words)))
-        raw, ends = ids.tobytes(), ends * self.dtype.itemsize
-        return {word: raw[start:end] for word, start, end in zip(words, [0, *ends[:-1].tolist()], ends.tolist())}
-
-    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        plain = [piece for piece in pieces if "<|" not in piece and _SAFE.fullmatch(piece)]
-        split = [_WORD.findall(piece.lower()) for piece in plain]
-        unseen: set[str] = set()
-        for words in split:
-            unseen.update(words)
-        unseen.difference_update(self.words)
-        fresh = self._merged(list(unseen))
-        if len(self.words) + len(fresh) <= MAX_CACHED:
-            self.words |= fresh
-            known = self.words
-        else:
-            known = _Both(fresh, self.words)
-        found = {piece: b"".join(map(known.__getitem__, words)) for piece, words in zip(plain, split)}
-        rest = [piece for piece in pieces if piece not in found]
-        return found | dict(zip(rest, self._whole(rest)))
+        if len(ends) != len(numbered.dictionary):  # a word's sign for its end is also in its text
+            return self._whole(pieces)
+        sizes = np.diff(ends, prepend=0)
+        found = self._gathered(sizes, ids, numbered.indices.to_numpy(), words.offsets.to_numpy())
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        if is_plain.all():
+            return found
+        out: list[bytes] = [b""] * len(pieces)
+        for k, ids_of in zip(np.flatnonzero(is_plain).tolist(), found):
+            out[k] = ids_of
+        rest = np.flatnonzero(~is_plain).tolist()
+        for k, ids_of in zip(rest, self._whole([pieces[k] for k in rest])):
+            out[k] = ids_of
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.young.get, pieces))
+        missing = []
+        for k in [k for k, known in enumerate(found) if known is None]:
+            known = self.old.get(pieces[k])
+            if known is None:
+                missing.append(k)
+            else:
+                found[k] = self.young[pieces[k]] = known
+        for k, ids in zip(missing, self._new_pieces([pieces[k] for k in missing]) if missing else ()):
+            found[k] = self.young[pieces[k]] = ids
+        if len(self.young) > MAX_CACHED:
+            self.old, self.young = self.young, {}
+        return found
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is an empty one."""
@@ -104,28 +129,9 @@ class WordEncoder:
         return out + self._encode(share)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        # str.split() also cuts at signs that are no white space to the tokenizer
-        split = [text.split() if _SAFE_TEXT.fullmatch(text) else [x for x in _WHITE.split(text) if x] for text in texts]
-        found = [list(map(self.pieces.get, pieces)) for pieces in split]
-        missing: set[str] = set()
-        for pieces, ids in zip(split, found):
-            if None in ids:
-                missing.update([piece for piece, known in zip(pieces, ids) if known is None])
-        fresh = self._new_pieces(list(missing))
-        if len(self.pieces) + len(fresh) <= MAX_CACHED:
-            self.pieces |= fresh
-        return [
-            b"".join([fresh[piece] if known is None else known for piece, known in zip(pieces, ids)] if None in ids else ids)
-            for pieces, ids in zip(split, found)
-        ]
-
-
-class _Both(dict):
-    """The entries of one dictionary, and those of another behind it."""
-
-    def __init__(self, first: dict, behind: dict) -> None:
-        super().__init__(first)
-        self.behind = behind
-
-    def __missing__(self, key):
-        return self.behind[key]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        of_pieces = self._ids(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, of_pieces), np.int64, len(of_pieces)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(of_pieces), self.dtype)
+        return self._gathered(sizes, ids, numbered.indices.to_numpy(), split.offsets.to_numpy())
