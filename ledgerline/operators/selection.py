@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.versions import (
@@ -18,6 +18,7 @@ from ledgerline.functions.versions import (
     version_key,
 )
 from ledgerline.operators.skew import ROWS_PER_TASK, lookup
+from ledgerline.session import store
 
 DEFAULT_DIALECT = "mariadb"
 
@@ -200,6 +201,31 @@ def execution_order(df: DataFrame, *leading: str) -> DataFrame:
     return df.orderBy(*leading, "vkey", "version", script_key("filename"), "filename")
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "number") -> DataFrame:
+    """``df`` with its place, 1 to n, in an order of all rows; rows that tie get places next to each other.
+
+    The rows are dealt by ranges, sorted in each, and stored, which fixes where each one
+    stands in its range. What is brought together is a count per range, and a row's
+    place is that plus the rows of all ranges before.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [f"_order_{k}" for k in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order)))
+    # The upper bits of this id are the range, the lower 33 the place in it.
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_place", F.monotonically_increasing_id())
+    placed = store(placed, "placed-rows").withColumn("_range", F.shiftright("_place", 33))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    before = store(before, "range-starts")
+    place = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(before, "_range").withColumn(name, place).drop("_range", "_place", "_before")
+
+
+def execution_number(scripts: DataFrame, *leading: str) -> DataFrame:
+    """Scripts with their place in :func:`execution_order` as a column."""
+    return numbered(scripts, [*leading, "vkey", "version", script_key("filename"), "filename"])
+
+
 def version_completion(scripts: DataFrame, keys: Sequence[str] = ("service",)) -> DataFrame:
     """Last script of each version, whose success closes the version."""
     return (

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.versions import from_version
 from ledgerline.operators import rules
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.selection import CHECK_ALL, checked_versions, version_index
+from ledgerline.session import store
 from ledgerline.sources.scripts import item_fields
 
 
@@ -81,5 +83,21 @@ def lint_report(*reports: DataFrame) -> DataFrame:
     return rules.union_all(reports)
 
 
+def checked_layout(
+    scripts: DataFrame, check_type: int = CHECK_ALL, floor: str | None = None, listed_versions: DataFrame | None = None
+) -> DataFrame:
+    """:func:`layout_report` of the versions a check looks at."""
+    if listed_versions is not None:
+        listed_versions = listed_versions.filter(from_version("version", floor))
+    return layout_report(store(scripts_to_check(scripts, check_type, floor), "checked-scripts"), listed_versions)
+
+
+def service_verdict(report: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """Errors and warnings per service, the first part of ``file_id``; ``services`` without any pass."""
+    named = report.filter("file_id IS NOT NULL").withColumn("service", F.substring_index("file_id", "/", 1))
+    return verdict(named, ["service"], services)
+
+
 def lint_verdict(report: DataFrame) -> DataFrame:
+    """Errors and warnings per rule; :func:`service_verdict` has them per service."""
     return verdict(report, ["rule"])

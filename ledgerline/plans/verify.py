@@ -13,8 +13,17 @@ from ledgerline.operators.evolve import ReplayResult, replay_changes
 from ledgerline.operators.facts import replay
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.rules import ERROR, violation
-from ledgerline.operators.selection import DEFAULT_DIALECT
+from ledgerline.operators.selection import (
+    CHECK_ALL,
+    DEFAULT_DIALECT,
+    checked_versions,
+    numbered,
+    replay_roles,
+    source_choice,
+    version_index,
+)
 from ledgerline.operators.skew import ROWS_PER_TASK
+from ledgerline.session import store
 
 SCOPE = ["service", "dialect"]
 
@@ -98,6 +107,57 @@ def verify_report(
     )
 
 
+def upgrade_inputs(
+    scripts: DataFrame,
+    installs: DataFrame,
+    items: DataFrame,
+    dialects: Sequence[str],
+    base: str = DEFAULT_DIALECT,
+    check_type: int = CHECK_ALL,
+    floor: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts at the start, changes in order, facts of a fresh install) of every service and dialect.
+
+    ``scripts``: service, db_type, version, filename, depth. ``installs``: the column facts that
+    the install script of each version makes (service, db_type, version, table key, column_name,
+    data_type). ``items``: change items of scripts (service, db_type, version, filename, ord, and
+    the fields of a change).
+
+    Versions from ``floor`` on, the latest one or two if asked, are looked at. The first
+    of these is installed, the scripts of the others are made in order of version, file name and
+    item, numbered without bringing a service together; the last one is the fresh install. A
+    service without scripts of a dialect is checked with those of ``base``.
+    """
+    source = ["service", "db_type"]
+    chosen = store(checked_versions(version_index(scripts), source, check_type, floor), "checked-versions")
+    roles = replay_roles(chosen, source).select(*source, "version", "vkey", "is_base", "is_step", "is_fresh_install")
+    choice = source_choice(scripts, dialects, base).filter("db_type IS NOT NULL").withColumnRenamed("wanted", "dialect")
+    # One row per version and dialect it stands for.
+    roles = store(roles.join(choice.select("service", "db_type", "dialect"), source), "version-roles")
+    fact = [*SCOPE, "db_name", "table_name", "column_name", "data_type"]
+    installed = installs.join(roles, [*source, "version"])
+    ordered = items.join(roles.filter("is_step").select(*source, "version", "vkey").distinct(), [*source, "version"])
+    steps = numbered(ordered, [*source, "vkey", "version", "filename", "ord"], "step")
+    changes = steps.join(choice.select("service", "db_type", "dialect"), source)
+    change = [*SCOPE, "db_name", "table_name", "step", "object_type", "operation_type", "object_name", "new_name", "data_type"]
+    return installed.filter("is_base").select(fact), changes.select(change), installed.filter("is_fresh_install").select(fact)
+
+
+def verify_versions(
+    scripts: DataFrame,
+    installs: DataFrame,
+    items: DataFrame,
+    dialects: Sequence[str],
+    base: str = DEFAULT_DIALECT,
+    check_type: int = CHECK_ALL,
+    floor: str | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """:func:`verify_report` of script trees: what :func:`upgrade_inputs` makes of their versions is replayed and compared."""
+    start, changes, fresh = upgrade_inputs(scripts, installs, items, dialects, base, check_type, floor)
+    return verify_report(start, changes, fresh, None, dialects, base, rows_per_task)
+
+
 def verify_verdict(report: DataFrame, services: DataFrame | None = None) -> DataFrame:
     """Errors and warnings per service; ``services`` without any pass."""
     return verdict(report.withColumn("service", F.substring_index("file_id", "/", 1)), ["service"], services)

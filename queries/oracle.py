@@ -762,6 +762,34 @@ SELECTS: dict[str, str] = {
     "lint_verdict": _VERDICT.format(key="rule", name="rule", report=_union("lint_report")),
 }
 SELECTS["task_stream"] = SELECTS["ledger_apply"]
+# The same facts, with those of mariadb where a service has no scripts of a dialect.
+ROLES["sources"] = """SELECT s.service, d.dialect,
+        CASE WHEN d.dialect = 'kdb9' AND string_split(s.service, '-')[2]::INTEGER % 3 = 0 THEN 'mariadb' ELSE d.dialect END AS source
+    FROM (SELECT DISTINCT service FROM base_facts) s, (VALUES ('mariadb'), ('dm8'), ('kdb9')) d(dialect)"""
+for _name in ("upgraded", "installed_facts"):
+    ROLES[f"chosen_{_name}"] = f"""SELECT u.* REPLACE (s.dialect AS dialect) FROM {_name} u
+        JOIN sources s ON s.service = u.service AND s.source = u.dialect"""
+ROLES["chosen_diff"] = ROLES["dialect_diff"].replace("upgraded", "chosen_upgraded")
+VIOLATIONS["verify_versions"] = [
+    part.replace("upgraded", "chosen_upgraded").replace("not_after_chosen_upgraded", "not_after_upgrade")
+    .replace("installed_facts", "chosen_installed_facts").replace("dialect_diff", "chosen_diff")
+    for part in VIOLATIONS["verify_report"][:2]
+]
+# Scripts of the latest version of each tree from 1998.6 on.
+ROLES["latest_versions"] = """SELECT * EXCLUDE (place) FROM (SELECT *,
+        row_number() OVER (PARTITION BY service, db_type ORDER BY vk DESC, version DESC) AS place
+        FROM versions WHERE vk >= [1998, 6]::BIGINT[]) WHERE place = 1"""
+ROLES["latest_scripts"] = "SELECT s.* FROM scripts s SEMI JOIN latest_versions v USING (service, db_type, version)"
+VIOLATIONS["checked_layout"] = [
+    part.replace("FROM scripts", "FROM latest_scripts").replace("FROM versions", "FROM latest_versions") for part in VIOLATIONS["layout_report"][:3]
+]
+SELECTS["service_verdict"] = f"""SELECT service, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings,
+        coalesce(has_error, false) AS has_error
+    FROM (SELECT DISTINCT service FROM services) FULL JOIN (
+        {_VERDICT.format(key="string_split(file_id, '/')[1]", name="service", report=_union("checked_layout") + " UNION ALL " + _union("statement_report"))}) USING (service)"""
+SELECTS["execution_number"] = f"""SELECT service, db_type, version, filename,
+        row_number() OVER (ORDER BY service, db_type, {_vk('version')}, version, {SEQ}, filename) AS number
+    FROM scripts WHERE {IS_VERSION} AND depth = 4 AND {IS_SCRIPT}"""
 for _name in VIOLATIONS:
     SELECTS.setdefault(_name, _union(_name))
 

@@ -180,6 +180,12 @@ def execution_order(spark, sf_dir):
     return selection.execution_order(scripts, *SOURCE).drop("vkey", "depth")
 
 
+def execution_number(spark, sf_dir):
+    """The same order as a number of each script."""
+    scripts = selection.upgrade_scripts(roles.scripts(spark, sf_dir))
+    return selection.execution_number(scripts, *SOURCE).select(*SOURCE, "version", "filename", "number")
+
+
 def pending_scripts(spark, sf_dir):
     """Pending scripts of services that were not interrupted."""
     scripts, task, services = _plan_inputs(spark, sf_dir)
@@ -422,6 +428,18 @@ def layout_report(spark, sf_dir):
     return lint.layout_report(store(roles.scripts(spark, sf_dir), "scripts"), listed)
 
 
+def checked_layout(spark, sf_dir):
+    """Rules on the latest version of each script tree from a floor on."""
+    scripts = store(roles.scripts(spark, sf_dir), "scripts")
+    return lint.checked_layout(scripts, selection.CHECK_LATEST, FLOOR)
+
+
+def service_verdict(spark, sf_dir):
+    """Whether each service passes the checks of its latest versions and of its statements."""
+    report = lint.lint_report(checked_layout(spark, sf_dir), statement_report(spark, sf_dir))
+    return lint.service_verdict(report, roles.services(spark, sf_dir))
+
+
 def identifier_rule(spark, sf_dir):
     return rules.identifier_rule(_written_names(spark, sf_dir), "written", detail="dialect")
 
@@ -751,6 +769,12 @@ def verify_verdict(spark, sf_dir):
     return verify.verify_verdict(verify_report(spark, sf_dir), every)
 
 
+def verify_versions(spark, sf_dir):
+    """Upgrade paths of all services from version 1.9 on, for dialects they have no scripts of as well."""
+    columns = store(roles.service_columns(spark, sf_dir), "service-columns")
+    return verify.verify_versions(*roles.service_trees(spark, sf_dir, columns), roles.VERIFY_DIALECTS, floor="1.9")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -767,6 +791,7 @@ QUERIES: dict[str, Query] = {
         rename_chains, rename_problems,
         create_and_drop_tables, upgrade_equals_install, row_difference, name_difference, key_violations,
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
-        existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict,
+        existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict, verify_versions,
+        execution_number, checked_layout, service_verdict,
     )
 }

@@ -484,3 +484,34 @@ def installed_service_facts(spark: SparkSession, sf_dir: str, columns: DataFrame
             F.when(number.isin(3, 6, 7), F.col("new_type")).otherwise(F.col("old_type")).alias("data_type"),
         )
     )
+
+
+def service_trees(spark: SparkSession, sf_dir: str, columns: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scripts, install facts and change items of versions 1.8 (below the floor) to 2.0.
+
+    The changes of services are the scripts of 1.10 and 2.0; additions come before drops, as
+    they do when a step makes both. A third of the services has no scripts for kdb9.
+    """
+    columns = service_columns(spark, sf_dir) if columns is None else columns
+    present = ~((F.col("db_type") == "kdb9") & (F.substring_index("service", "-", -1).cast("int") % 3 == 0))
+    fact = ["service", "db_type", "version", "db_name", "table_name", "column_name", "data_type"]
+
+    def at(df: DataFrame, version: Column) -> DataFrame:
+        return df.withColumnRenamed("dialect", "db_type").withColumn("version", version).filter(present)
+
+    base, fresh = base_service_facts(spark, sf_dir, columns), installed_service_facts(spark, sf_dir, columns)
+    early = base.filter(F.col("column_name") == "f_1").withColumn("column_name", F.lit("f_early"))
+    installs = at(base, F.lit("1.9")).unionByName(at(fresh, F.lit("2.0"))).unionByName(at(early, F.lit("1.8")))
+    number = F.substring_index("object_name", "_", -1).cast("int")
+    items = at(service_changes(spark, sf_dir, columns), F.when(F.col("step") == 1, "1.10").otherwise("2.0"))
+    # The first version's own changes are not made: its install script has them.
+    unmade = at(service_changes(spark, sf_dir, columns).filter(number == 1).withColumn("operation_type", F.lit("DROP")), F.lit("1.9"))
+    place = F.when(number == 4, 9).otherwise(number)
+    items = items.unionByName(unmade).withColumn("ord", place)
+    items = items.withColumn("filename", F.concat(F.lit("0"), place.cast("string"), F.lit("-change.json")))
+    scripts = (
+        columns.select("service").distinct().withColumn("dialect", F.explode(F.array(*[F.lit(d) for d in VERIFY_DIALECTS])))
+        .withColumn("versions", F.array(*[F.lit(v) for v in ("1.8", "1.9", "1.10", "2.0", "next")]))
+    )
+    scripts = at(scripts, F.explode("versions")).withColumns({"filename": F.lit("init.sql"), "depth": F.lit(4)})
+    return scripts.select("service", "db_type", "version", "filename", "depth"), installs.select(fact), items.drop("step")
