@@ -7,9 +7,9 @@ row for each such blob, appends what it finds, and joins the findings of all
 blobs back to all paths. Scanning again, or a history with few new versions,
 reads only what is new; a new rule version is scanned without dropping the old.
 
-Copies of a text are one blob. The first row of a blob is found with a group
-limit in each task before the shuffle, so a text that a third of all rows hold
-costs a row per task; joining back, the blob's many paths stand on the side that
+Copies of a text are one blob. Which blobs are unseen is found without texts. A row
+for each is then picked with a group limit in each task before the shuffle, so a text
+that a third of all rows hold costs a row per task; joining back, the blob's many paths stand on the side that
 adaptive execution can split.
 
 A run appends its findings as one new folder of the ledger, named by a run; a run
@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import is_broadcast, table
 from ledgerline.llm.spans import joined, matches
 from ledgerline.session import run_folder, store
 
@@ -81,13 +81,20 @@ def read_ledger(spark: SparkSession, folder: str, rules: str | None = None) -> D
     return ledger if rules is None else ledger.filter(F.col("rules") == rules)
 
 
+def one_row_per_blob(versions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A row (blob, text) for each of the ``wanted`` blobs; a task passes on one, whatever the number of its copies."""
+    first = F.row_number().over(Window.partitionBy("blob").orderBy("n"))
+    picked = versions.withColumn("n", F.length("text")).withColumn("first", first).filter("first = 1")
+    return picked.join(wanted, "blob", "left_semi").select("blob", "text")
+
+
 def scan_blobs(versions: DataFrame, folder: str, rules: str = RULES_VERSION, scan=findings) -> DataFrame:
     """Scans blobs of ``versions`` (blob, text) that the ledger lacks for ``rules``, appends them, and returns what was appended."""
     spark = versions.sparkSession
     known = read_ledger(spark, folder, rules).select("blob").distinct()
-    first = F.row_number().over(Window.partitionBy("blob").orderBy("n"))
-    unseen = versions.join(known, "blob", "left_anti")
-    one = unseen.withColumn("n", F.length("text")).withColumn("first", first).filter("first = 1")
+    unseen = store(versions.select("blob").distinct().join(known, "blob", "left_anti"), "unseen-blobs")
+    # Few unseen blobs are broadcast, and all other texts stay where they are.
+    one = one_row_per_blob(versions.join(unseen, "blob", "left_semi") if is_broadcast(unseen) else versions, unseen)
     target = f"{folder}/run={uuid.uuid4().hex}"
     one.select("blob", F.lit(rules).alias("rules"), scan(F.coalesce("text", F.lit(""))).alias("spans")).write.parquet(target)
     return spark.read.schema(LEDGER).parquet(target)

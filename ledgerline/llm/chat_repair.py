@@ -184,7 +184,7 @@ def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     ``pos`` orders all rows; ``empty_after`` is null but for a conversation's last turn.
     """
     ship_package(turns.sparkSession)
-    rows = turns.select("conv_id", "turn", "role", "text").withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "hash": F.xxhash64("text")})
+    rows = turns.select("conv_id", "turn", "role", "text").withColumns({"conv": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")), "hash": F.xxhash64("text")})
     order = ["conv", "turn", "role", "hash"]
     # The place in the whole order: fixed once it is stored.
     ordered = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()).drop("hash"), "chat-turns")

@@ -22,6 +22,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark, which knows the size of the stored ``df``, broadcasts it in a join."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder that Spark names, and its path there."""
     if folder.startswith("file:"):

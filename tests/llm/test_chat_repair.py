@@ -101,3 +101,9 @@ def test_repairs_cost_least_and_render(spark, stretch):
 
 def test_no_turns(spark):
     assert C.repair(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_null_and_empty_ids_are_two_conversations(spark):
+    turns = [(None, 0, "user", "a"), ("", 1, "user", "b"), (None, 2, "assistant", "c"), ("", 3, "assistant", "d")]
+    got = C.repair(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")).collect()
+    assert {r["conversation_cost"] for r in got} == {0} and {r["action"] for r in got} == {"keep"}

@@ -176,6 +176,25 @@ def test_personal_data_of_odd_tables(spark):
     assert sorted(r["n_email"] for r in rows) == [0, 1, 1]
 
 
+def test_a_hot_blob_costs_a_row_per_task(spark, tmp_path):
+    """Also with a ledger that is not empty and blobs too many to broadcast."""
+    texts = ["secret=abcdefgh1"] * 4000 + [f"text {k}" for k in range(2000)]
+    versions = documents(spark, texts).repartition(8).select(blob_secrets.blob_of(F.col("text")).alias("blob"), "text")
+    blob_secrets.scan_blobs(versions.filter("text = 'text 7'"), str(tmp_path / "ledger"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            rules = f"rules {threshold}"
+            assert blob_secrets.scan_blobs(versions, str(tmp_path / "ledger"), rules).count() == 2001
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one = blob_secrets.one_row_per_blob(versions, versions.select("blob").distinct())
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    limited = plan.split("Exchange hashpartitioning(blob")
+    assert any("WindowGroupLimit" in part and "Partial" in part for part in limited[1:])
+
+
 def test_secrets_equal_brute_force(spark, span_texts, tmp_path):
     found = blob_secrets.scan_history(documents(spark, span_texts), str(tmp_path / "ledger"))
     base = F.filter("spans", lambda s: s["kind"].isin(blob_secrets.BASE_KINDS))
