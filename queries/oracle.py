@@ -762,6 +762,30 @@ SELECTS: dict[str, str] = {
     "lint_verdict": _VERDICT.format(key="rule", name="rule", report=_union("lint_report")),
 }
 SELECTS["task_stream"] = SELECTS["ledger_apply"]
+ROLES["script_files"] = """SELECT 'svc-' || l_suppkey AS service, CASE WHEN part % 3 = 0 THEN 'dm8' ELSE 'mariadb' END AS db_type,
+        CASE WHEN part % 7 = 0 THEN 'latest' ELSE '1.' || number END AS version,
+        CASE WHEN number = 1 THEN 'init.sql' WHEN size % 5 = 0 THEN '0' || number || '-deep.sql'
+             WHEN number = 4 THEN '04-change ' || part || '.json' ELSE '0' || number || '-rows.sql' END AS filename,
+        CASE WHEN number <> 1 AND size % 5 = 0 THEN 5 ELSE 4 END::INTEGER AS depth, n, size, part,
+        'USE db;' || chr(10) || 'INSERT INTO t_' || part || ' VALUES (' || n || ');' || chr(10) AS text
+    FROM (SELECT l_suppkey, l_linenumber AS number, count(*) AS n, trunc(max(l_quantity))::INTEGER AS size, min(l_partkey) AS part
+        FROM lineitem GROUP BY ALL)"""
+SELECTS["scan_scripts"] = "SELECT service, db_type, version, filename, depth FROM script_files WHERE version <> 'latest'"
+SELECTS["scan_script_text"] = "SELECT service, db_type, version, filename, depth, text FROM script_files WHERE filename LIKE '%.sql'"
+SELECTS["scan_change_lists"] = f"""SELECT service || '/' || db_type || '/' || version || '/' || filename AS file_id, ord::INTEGER AS ord,
+        CASE ord WHEN 0 THEN 'db' END AS db_name, CASE ord WHEN 0 THEN 'f_' || n END AS object_name, CASE ord WHEN 1 THEN 'f_' || size END AS new_name
+    FROM script_files, (VALUES (0), (1)) o(ord) WHERE filename LIKE '%.json'"""
+SELECTS["stored_facts"] = """SELECT table_name, column_name, (ordinal_position - 1)::INTEGER AS ordinal,
+        CASE data_type WHEN 'INTEGER' THEN 'INT' WHEN 'TIMESTAMP' THEN 'DATETIME' ELSE data_type END AS data_type, true AS is_nullable
+    FROM information_schema.columns WHERE data_type NOT LIKE '%[]' AND table_name IN ('region', 'nation', 'customer', 'supplier', 'part',
+        'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')"""
+SELECTS["lossy_short_lengths"] = "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 9"
+SELECTS["install_differences"] = f"""WITH u AS ({SELECTS["evolve_orders"]}),
+        i AS (SELECT * REPLACE (CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+            FROM u WHERE o_orderkey % 1500 <> 3)
+    SELECT * EXCLUDE (side), greatest(sum(side), 0)::BIGINT AS n_missing, greatest(-sum(side), 0)::BIGINT AS n_extra
+    FROM (SELECT *, 1 AS side FROM i UNION ALL SELECT *, 1 FROM i WHERE o_orderkey % 2000 = 5 UNION ALL SELECT *, -1 FROM u)
+    GROUP BY ALL HAVING sum(side) <> 0"""
 # The same facts, with those of mariadb where a service has no scripts of a dialect.
 ROLES["sources"] = """SELECT s.service, d.dialect,
         CASE WHEN d.dialect = 'kdb9' AND string_split(s.service, '-')[2]::INTEGER % 3 = 0 THEN 'mariadb' ELSE d.dialect END AS source

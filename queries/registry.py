@@ -13,6 +13,7 @@ from ledgerline.functions.types import type_category
 from ledgerline.operators import diff, evolve, facts, ledger, quality, rules, selection
 from ledgerline.plans import lint, migration, verify
 from ledgerline.session import run_folder, store
+from ledgerline.sources import catalog
 from ledgerline.sources import scripts as script_source
 from ledgerline.sources.tables import append_history, history_rows, read_history
 from ledgerline.streaming import ledger as ledger_stream_jobs
@@ -180,6 +181,32 @@ def execution_order(spark, sf_dir):
     return selection.execution_order(scripts, *SOURCE).drop("vkey", "depth")
 
 
+def _script_tree(spark, sf_dir):
+    return roles.write_tree(roles.script_texts(spark, sf_dir), run_folder(spark, "script-tree"))
+
+
+def scan_scripts(spark, sf_dir):
+    """Inventory of a written tree of scripts."""
+    return script_source.scan_scripts(spark, _script_tree(spark, sf_dir))
+
+
+def scan_script_text(spark, sf_dir):
+    """SQL scripts of that tree with their texts."""
+    return script_source.scan_script_text(spark, _script_tree(spark, sf_dir))
+
+
+def scan_change_lists(spark, sf_dir):
+    """Change items of the JSON scripts of that tree."""
+    items = script_source.scan_change_lists(spark, _script_tree(spark, sf_dir))
+    return items.select("file_id", "ord", "db_name", "object_name", "new_name")
+
+
+def stored_facts(spark, sf_dir):
+    """Columns of the given tables, from the footers of their files."""
+    facts_ = catalog.stored_facts(spark, sf_dir).select("table_name", "column_name", "ordinal", "data_type", "is_nullable")
+    return facts_.filter(~F.col("data_type").contains("<"))
+
+
 def execution_number(spark, sf_dir):
     """The same order as a number of each script."""
     scripts = selection.upgrade_scripts(roles.scripts(spark, sf_dir))
@@ -549,6 +576,12 @@ def lossy_lengths(spark, sf_dir):
     return evolve.lossy_casts(parts, "p_name", "string", 14)
 
 
+def lossy_short_lengths(spark, sf_dir):
+    """Names that a change to a type of nine characters would cut."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return evolve.lossy_casts(parts, "p_name", "string", 9)
+
+
 def modify_column(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
     narrowed = evolve.modify_column(evolve.modify_column(lines, "L_PARTKEY", "tinyint"), "l_linenumber", "bigint")
@@ -654,6 +687,14 @@ def upgrade_equals_install(spark, sf_dir):
     return diff.upgrade_equals_install(evolve_orders(spark, sf_dir), installed)
 
 
+def install_differences(spark, sf_dir):
+    """The same comparison with an install that changes, lacks and repeats a few orders."""
+    upgraded, key = evolve_orders(spark, sf_dir), F.col("o_orderkey")
+    price = F.when(key % 1000 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    installed = upgraded.filter(key % 1500 != 3).withColumn("o_totalprice", price)
+    return diff.upgrade_equals_install(upgraded, installed.unionByName(installed.filter(key % 2000 == 5)))
+
+
 def row_difference(spark, sf_dir):
     """Lines of two flags compared as multisets of supplier and quantity."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity")
@@ -792,6 +833,7 @@ QUERIES: dict[str, Query] = {
         create_and_drop_tables, upgrade_equals_install, row_difference, name_difference, key_violations,
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
         existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict, verify_versions,
+        install_differences, lossy_short_lengths, scan_scripts, scan_script_text, scan_change_lists, stored_facts,
         execution_number, checked_layout, service_verdict,
     )
 }

@@ -89,6 +89,43 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def script_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths below a root, and texts, of a tree of scripts with a version per part type of a supplier."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("number")).agg(
+        F.count("*").alias("n"), F.max("l_quantity").cast("int").alias("size"), F.min("l_partkey").alias("part")
+    )
+    version = F.when(F.col("part") % 7 == 0, F.lit("latest")).otherwise(F.concat(F.lit("1."), _text("number")))
+    dialect = F.when(F.col("part") % 3 == 0, "dm8").otherwise("mariadb")
+    name = (
+        F.when(F.col("number") == 1, "init.sql").when(F.col("size") % 5 == 0, F.concat(F.lit("sub/0"), _text("number"), F.lit("-deep.sql")))
+        .when(F.col("number") == 4, F.concat(F.lit("04-change "), _text("part"), F.lit(".json"))).otherwise(F.concat(F.lit("0"), _text("number"), F.lit("-rows.sql")))
+    )
+    text = F.when(
+        name.endswith(".json"), F.concat(F.lit('[{"db_name": "db", "object_name": "f_'), _text("n"), F.lit('"}, {"new_name": "f_'), _text("size"), F.lit('"}]'))
+    ).otherwise(F.concat(F.lit("USE db;\nINSERT INTO t_"), _text("part"), F.lit(" VALUES ("), _text("n"), F.lit(");\n")))
+    return lines.select(F.concat_ws("/", _service("l_suppkey"), dialect, version, name).alias("path"), text.alias("text"))
+
+
+def write_tree(texts: DataFrame, folder: str) -> str:
+    """Writes each text (path, text) to its path below a new folder; the root that Spark reads it from."""
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        local = "/" + folder.removeprefix("file:").lstrip("/")
+        files, root = (pafs.LocalFileSystem(), local) if folder.startswith(("file:", "/")) else pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+                files.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
+                with files.open_output_stream(f"{root}/{path}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of all segments but one are the configured services."""
     return (
