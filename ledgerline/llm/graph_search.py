@@ -151,13 +151,19 @@ def nodes_of(rows: DataFrame, k: int) -> DataFrame:
     return store(nodes.select(F.size("vector").alias("dim"), "vector", "ids"), "graph-nodes")
 
 
+def _tasks(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` dealt by key to a stated number of tasks, which adaptive execution does not merge."""
+    return df.repartition(max(1, min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), *keys)
+
+
 GRAPH = "dim int, shard long, node int, start int, vector array<double>, ids array<long>, edges array<int>"
 
 
 def build_graphs(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The graphs of all shards as a stored table."""
     ship_package(nodes.sparkSession)
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("n_shards"))
+    shards = store(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("n_shards")), "graph-sizes")
+    n_graphs = shards.agg(F.sum("n_shards")).first()[0] or 1
     dealt = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), "n_shards")).drop("n_shards")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +173,7 @@ def build_graphs(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         edges, start = build_graph(unit)
         return pdf.assign(node=np.arange(len(pdf)), start=start, edges=[e[e >= 0].tolist() for e in edges])[["dim", "shard", "node", "start", "vector", "ids", "edges"]]
 
-    return store(dealt.groupBy("dim", "shard").applyInPandas(build, GRAPH), "graph-shards")
+    return store(_tasks(dealt, n_graphs, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, GRAPH), "graph-shards")
 
 
 def _search(k: int, beam: int):
@@ -226,9 +232,10 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
     block = F.pmod(F.xxhash64("query_id", "query"), F.lit(n_blocks))
     asked = queries.withColumn("block", block).join(shards, "dim")
     offered = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    n_groups = shards.count() * n_blocks
     found = (
-        offered.groupBy("dim", "shard", "block")
-        .cogroup(asked.groupBy("dim", "shard", "block"))
+        _tasks(offered, n_groups, "dim", "shard", "block").groupBy("dim", "shard", "block")
+        .cogroup(_tasks(asked, n_groups, "dim", "shard", "block").groupBy("dim", "shard", "block"))
         .applyInPandas(_search(k, beam), "query_id long, query long, ids array<long>, score double")
     )
     each = found.select("query_id", "query", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")

@@ -361,7 +361,8 @@ def refined(
     large group has is lonely. Counting them all (not the sampled ones alone) drops
     classes, lowers ``spare``, and parts groups that met in common passages.
     """
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > block)
+    # Stored, so that a component of very many classes can be split in the join.
+    sizes = store(groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > block), "ngram-sizes")
     placed = store(groups.join(sizes, "component").select(F.col("id").alias("key"), "component", "large"), "ngram-placed")
     # A class can be there twice, if its row is.
     known = texts.dropDuplicates(["key"]).join(placed, "key")
@@ -444,8 +445,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WOR
     # By class first, so that many copies are few rows; nulls are not least.
     least = described.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = least.join(linked, least["key"] == linked["id"], "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(names, "component").select("key", "component_id")
+    named = store(named, "ngram-named")
+    names = store(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-names")
+    by_class = store(named.join(names, "component").select("key", "component_id"), "ngram-classes")
     joined = described.join(by_class, "key", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

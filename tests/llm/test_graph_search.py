@@ -83,3 +83,13 @@ def test_pruning_keeps_near_and_diverse_edges():
     assert (ids[:, 0] == np.arange(600)).mean() > 0.97 and (np.diff(near, axis=1)[np.isfinite(near[:, 1:])] >= 0).all()
     one, _ = G.build_graph(x[:1])
     assert (one == -1).all()
+
+
+def test_graphs_are_built_in_many_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(800)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    graphs = G.build_graphs(G.nodes_of(vectors, 5), shard_rows=100)
+    assert graphs.select("shard").distinct().count() == 8
+    # Files of the stored table, one for each task that had a graph.
+    assert graphs.select(F.col("_metadata.file_path")).distinct().count() > 2
