@@ -72,7 +72,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {m for m in (name.split("_")[0] + "_" for name in names) if m.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {m for m in (name.split("_")[0] + "_" for name in names) if m.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
