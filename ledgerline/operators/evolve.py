@@ -6,10 +6,11 @@ a whole list of column changes into one projection over the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,46 @@ def apply_user_step(df: DataFrame, step: Callable[[DataFrame], DataFrame], toler
     try:
         return store(step(df), "user-step"), None
     except Exception as error:  # whatever the user's step raises
-        return df, str(error).splitlines()[0] if str(error) else type(error).__name__
+        # Spark's own messages may begin with an empty line.
+        return df, next((line.strip() for line in str(error).splitlines() if line.strip()), type(error).__name__)
+
+
+@dataclass(frozen=True)
+class BatchStep:
+    """A user's own step over Arrow batches (or pandas frames), for what columns cannot express.
+
+    ``function`` gets an iterator over the batches of one task and yields others; it never
+    sees more than a batch at a time, nor can it rely on which rows share one.
+    ``adds`` and ``drops`` name the columns it brings or replaces and those it removes; all others it has
+    to keep as they are, whatever the changes made before it.
+    """
+
+    function: Callable[[Iterator[Any]], Iterator[Any]]
+    adds: Mapping[str, T.DataType | str] = field(default_factory=dict)
+    drops: Sequence[str] = ()
+    pandas: bool = False
+
+    def schema_after(self, schema: T.StructType) -> T.StructType:
+        gone = {name.upper() for name in (*self.drops, *self.adds)}
+        kept = [f for f in schema.fields if f.name.upper() not in gone]
+        added = T.StructType()
+        for name, kind in self.adds.items():
+            data_type = T.StructType.fromDDL(f"c {kind}")["c"].dataType if isinstance(kind, str) else kind
+            added = added.add(name, data_type)
+        return T.StructType([*kept, *added.fields])
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        schema, function = self.schema_after(df.schema), self.function
+        if self.pandas:
+            return df.mapInPandas(function, schema)
+        names = schema.names
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # By name, so that a step may yield columns in any order.
+            for batch in function(batches):
+                yield batch.select(names)
+
+        return df.mapInArrow(run, schema)
 
 
 @dataclass
@@ -147,12 +187,14 @@ def _change_column(df: DataFrame, operation: str, item: Mapping[str, str]) -> Da
 
 def replay_changes(
     tables: Mapping[tuple[str, str], DataFrame],
-    changes: Sequence[Mapping[str, str] | tuple[str, str, Callable[[DataFrame], DataFrame]]],
+    changes: Sequence[Mapping[str, str] | tuple[str, str, Callable[[DataFrame], DataFrame] | str]],
     tolerate_errors: bool = False,
+    steps: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> ReplayResult:
     """Tables after an ordered list of changes.
 
-    A change is a change item, or ``(db, table, step)`` for a user's own step.
+    A change is a change item, or ``(db, table, step)`` for a user's own step: a function of
+    a DataFrame, a :class:`BatchStep`, or the name of a script whose step is in ``steps``.
     Changes of absent tables are skipped, except that a column or a constraint
     cannot be added to one. Indexes have no counterpart in Spark and only get
     their item checked. Violations of an added constraint and values lost to a
@@ -162,8 +204,9 @@ def replay_changes(
     for change in changes:
         if isinstance(change, tuple):
             db, table, step = change
+            step = (steps or {})[step] if isinstance(step, str) else step
             result.tables[db, table], error = apply_user_step(result.tables[db, table], step, tolerate_errors)
-            if error:
+            if error is not None:
                 result.tolerated_errors.append(f"{db}.{table}: {error}")
             continue
         kind, operation = _verified(change)

@@ -30,10 +30,14 @@ SCOPE = ["service", "dialect"]
 
 def replay_path(
     base: Mapping[tuple[str, str], DataFrame],
-    changes_by_version: Mapping[str, Sequence[Mapping[str, Any] | tuple[str, str, Callable]]],
+    changes_by_version: Mapping[str, Sequence[Mapping[str, Any] | tuple[str, str, Callable | str]]],
     tolerate_errors: bool = False,
+    steps: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> ReplayResult:
-    """Tables of the first version taken through the changes of every later one, in version order."""
+    """Tables of the first version taken through the changes of every later one, in version order.
+
+    ``steps`` holds the users' own steps by the names of their scripts.
+    """
     def parts(version: str) -> list[int]:
         numbers = [int(part) for part in version.split(".")]
         while len(numbers) > 1 and numbers[-1] == 0:
@@ -41,7 +45,7 @@ def replay_path(
         return numbers
 
     ordered = [change for version in sorted(changes_by_version, key=parts) for change in changes_by_version[version]]
-    return replay_changes(base, ordered, tolerate_errors)
+    return replay_changes(base, ordered, tolerate_errors, steps)
 
 
 def upgrade_install_differences(upgraded: DataFrame, installed: DataFrame) -> DataFrame:

@@ -728,6 +728,21 @@ SELECTS: dict[str, str] = {
         GROUP BY owner, placed HAVING count(*) > 1 OR owner IS NULL OR placed IS NULL""",
     "orphans": """SELECT l_partkey, count(*) AS n_rows FROM lineitem
         WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY l_partkey""",
+    "appended_keys": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows,
+        CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 'null' ELSE 'duplicate' END AS reason
+        FROM (SELECT l_orderkey, CASE WHEN l_discount < 0.1 THEN l_linenumber END AS l_linenumber FROM lineitem)
+        GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL""",
+    "appended_orphans": """SELECT l_partkey, count(*) AS n_rows FROM lineitem
+        WHERE l_partkey IS NOT NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY l_partkey""",
+    "batch_steps": """SELECT * EXCLUDE (p_name, p_size, p_retailprice), p_name AS p_label,
+        list_aggregate(list_transform(regexp_extract_all(p_name, '\\S+'), lambda w: left(w, 1)), 'string_agg', '') AS p_initials,
+        (p_size // 10)::VARCHAR AS p_class FROM part""",
+    "partition_update": """SELECT * EXCLUDE (dear) REPLACE (
+            CASE WHEN dear THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority,
+            CASE WHEN dear THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+        FROM (SELECT *, year(o_orderdate)::INTEGER AS placed, year(o_orderdate) IN (1996, 1998) AND o_totalprice > 100000 AS dear FROM orders)""",
+    "partition_delete": """SELECT *, year(o_orderdate)::INTEGER AS placed FROM orders
+        WHERE NOT (placed = 1995 OR (placed = 1997 AND o_orderstatus <> 'F'))""",
     "constraint_violations": """SELECT o_custkey, count(*) AS n_rows FROM orders
         WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'MACHINERY') GROUP BY o_custkey""",
     "check_violations": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as TX
 from ledgerline.functions import versions as V
 from ledgerline.functions.types import type_category
-from ledgerline.operators import diff, evolve, facts, ledger, quality, rules, selection
+from ledgerline.operators import appended, diff, evolve, facts, ledger, quality, rules, selection
 from ledgerline.plans import lint, migration, verify
 from ledgerline.session import run_folder, store
 from ledgerline.sources import catalog
 from ledgerline.sources import scripts as script_source
+from ledgerline.sources.partitions import delete_from_partitions, update_partitions, write_partitioned
 from ledgerline.sources.tables import append_history, history_rows, read_history
 from ledgerline.streaming import ledger as ledger_stream_jobs
 from queries import roles
@@ -632,6 +634,58 @@ def user_step(spark, sf_dir):
     return result.tables["shop", "part"]
 
 
+def batch_steps(spark, sf_dir):
+    """Two steps over batches, named by their scripts, between changes of columns in two versions."""
+    def initials(batches):
+        for batch in batches:
+            words = [name.split() for name in batch["p_label"].to_pylist()]
+            yield batch.append_column("p_initials", pa.array(["".join(w[0] for w in ws) for ws in words], pa.string()))
+
+    def classes(frames):
+        for frame in frames:
+            yield frame.assign(p_class=(frame["p_size"] // 10).astype("Int64")).drop(columns="p_size")
+
+    steps = {
+        "1.9/02-initials.py": evolve.BatchStep(initials, {"p_initials": "string"}),
+        "1.10/01-classes.py": evolve.BatchStep(classes, {"p_class": "bigint"}, ["p_size"], pandas=True),
+    }
+    items = _items(
+        [
+            {"object_type": "COLUMN", "operation_type": "RENAME", "object_name": "p_name", "object_property": "", "new_name": "p_label"},
+            {"object_type": "COLUMN", "operation_type": "DROP", "object_name": "p_retailprice", "object_property": ""},
+            {"object_type": "COLUMN", "operation_type": "MODIFY", "object_name": "p_class", "object_property": "VARCHAR(8)"},
+        ],
+        "part",
+    )
+    by_version = {
+        "1.10": [("shop", "part", "1.10/01-classes.py"), items[2]],
+        "1.9": [items[0], ("shop", "part", "1.9/02-initials.py"), items[1]],
+    }
+    result = verify.replay_path({("shop", "part"): table(spark, sf_dir, "part")}, by_version, steps=steps)
+    return result.tables["shop", "part"]
+
+
+def _orders_by_year(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("placed", F.year("o_orderdate"))
+    return write_partitioned(orders, run_folder(spark, "orders-by-year"), ["placed"])
+
+
+def partition_update(spark, sf_dir):
+    """Orders stored by year, after dear ones of two years were made urgent."""
+    stored = _orders_by_year(spark, sf_dir)
+    dear = F.col("placed").isin(1996, 1998) & (F.col("o_totalprice") > 100000)
+    update_partitions(stored, dear, {"o_orderpriority": F.lit("1-URGENT"), "o_totalprice": F.col("o_totalprice") + 1})
+    return stored.read()
+
+
+def partition_delete(spark, sf_dir):
+    """Orders stored by year, without those of one year and some of another."""
+    stored = _orders_by_year(spark, sf_dir)
+    gone = (F.col("placed") == 1995) | ((F.col("placed") == 1997) & (F.col("o_orderstatus") != "F"))
+    delete_from_partitions(stored, gone)
+    return stored.read()
+
+
 def replay_facts(spark, sf_dir):
     columns = store(roles.service_columns(spark, sf_dir), "service-columns")
     base = roles.base_service_facts(spark, sf_dir, columns)
@@ -735,6 +789,32 @@ def orphans(spark, sf_dir):
     return quality.orphans(table(spark, sf_dir, "lineitem"), small, ["l_partkey"], ["p_partkey"])
 
 
+def appended_keys(spark, sf_dir):
+    """Keys of order lines that arrive year by year; a large discount leaves a key without a line number."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.when(F.col("l_discount") < 0.1, F.col("l_linenumber")).alias("l_linenumber"),
+        F.year("l_shipdate").alias("shipped"),
+    )
+    checked = appended.AppendedKeys(spark, run_folder(spark, "line-keys"), ["l_orderkey", "l_linenumber"], lines.schema)
+    parts = [F.col("shipped") < 1994, F.col("shipped").between(1994, 1996), ~(F.col("shipped") <= 1996) | F.col("shipped").isNull()]
+    for append, part in enumerate(parts, 1):
+        checked.add(lines.filter(part), append)
+    return checked.violations()
+
+
+def appended_orphans(spark, sf_dir):
+    """Parts on order lines that are absent from the small parts, both arriving in turns."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber")
+    small = table(spark, sf_dir, "part").filter(F.col("p_size") < 25)
+    checked = appended.AppendedReferences(spark, run_folder(spark, "line-parts"), ["l_partkey"], ["p_partkey"], lines.schema)
+    checked.add_parents(small.filter(F.col("p_size") < 12), 1)
+    checked.add_children(lines.filter(F.col("l_linenumber") <= 3), 1)
+    checked.add_parents(small.filter(F.col("p_size") >= 12), 2)
+    checked.add_children(lines.filter(F.col("l_linenumber") > 3), 2)
+    return checked.violations()
+
+
 def constraint_violations(spark, sf_dir):
     """Orders whose customer is not among the configured ones, by a written definition."""
     return quality.constraint_violations(
@@ -834,6 +914,6 @@ QUERIES: dict[str, Query] = {
         null_key_violations, orphans, constraint_violations, check_violations, schema_diff, table_diff,
         existing_columns, existing_tables, existing_constraints, existing_databases, verify_report, verify_verdict, verify_versions,
         install_differences, lossy_short_lengths, scan_scripts, scan_script_text, scan_change_lists, stored_facts,
-        execution_number, checked_layout, service_verdict,
+        execution_number, checked_layout, service_verdict, batch_steps, partition_update, partition_delete, appended_keys, appended_orphans,
     )
 }
