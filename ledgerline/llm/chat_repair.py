@@ -9,10 +9,14 @@ stretch of turns is the (min, +) product of its matrices.
 
 That product is what makes long conversations distributed: rows are range-ordered
 by (conversation, turn), stretches of at most ``STRETCH`` consecutive rows become
-one matrix each, the matrices of a conversation (a row for that many turns) are
-chained to find the state at each border, and then every stretch is decided by
-itself between its border states. A conversation that holds a third of all turns
-spreads over many tasks in both passes; texts never travel with the decisions.
+one matrix each, and matrices are multiplied in levels, at most ``FAN`` neighbours at a
+time, until a conversation has no more than that. Back down the levels go the least
+costs before each stretch; with these a stretch says which state before it leads to
+which state after it, again composed in levels, and down go the states after each
+stretch. Then every stretch is decided by itself. No row or group grows with a
+conversation, one that holds a third of all turns spreads over many tasks in each
+pass, and the result does not depend on ``STRETCH`` or ``FAN``; texts never travel with
+the decisions. Conversations of up to ``STRETCH * FAN`` turns need one level.
 
 The result has a row per source turn with what becomes of it and its rendered
 segment; a conversation's segments in order are the rendered conversation.
@@ -28,7 +32,7 @@ one conversation; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -44,6 +48,9 @@ SYNONYMS = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "ass
 COSTS = {"merge": 1, "insert": 2, "relabel": 3, "relabel_unknown": 1}
 HEAD, FOOT, JOINT = "<|{role}|>\n", "<|end|>\n", "\n"
 STRETCH = 512
+FAN = 64
+
+LONGS, INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 
 START = 3  # states 0 to 2 are the role of the last message
 AFTER = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
@@ -98,24 +105,26 @@ def stretch_matrix(roles: list[int]) -> list[int]:
     return out
 
 
-def chain(matrices: list[list[int]]) -> tuple[int, list[int]]:
-    """Least cost of a conversation, and the states at the borders of its stretches."""
-    costs = [[INFINITE] * 3 + [0]]
-    for matrix in matrices:
-        costs.append([min(costs[-1][a] + matrix[4 * a + b] for a in range(4)) for b in range(4)])
-    total = [costs[-1][s] + closing(s)[0] for s in range(4)]
-    states = [total.index(min(total))]
-    for k in range(len(matrices) - 1, -1, -1):
-        to = states[-1]
-        ways = [costs[k][a] + matrices[k][4 * a + to] for a in range(4)]
-        states.append(ways.index(min(ways)))
-    return min(total), states[::-1]
-
-
-def decide(roles: list[int], first: int, last: int) -> list[tuple[int, str, tuple[int, ...], int]]:
-    """(state, action, empty messages before, state before) for each turn between two border states."""
-    costs = [[INFINITE] * 4]
-    costs[0][first] = 0
+def advanced(costs: list[int], matrix: list[int]) -> list[int]:
+    """Least costs after a stretch, from those before it."""
+    return [min(INFINITE, *(costs[a] + matrix[4 * a + b] for a in range(4))) for b in range(4)]
+
+
+def product(matrices: list[list[int]]) -> list[int]:
+    """The matrix of consecutive stretches, row by row."""
+    out: list[int] = []
+    for first in range(4):
+        costs = [INFINITE] * 4
+        costs[first] = 0
+        for matrix in matrices:
+            costs = advanced(costs, matrix)
+        out += costs
+    return out
+
+
+def costs_after(roles: list[int], before: list[int]) -> list[list[int]]:
+    """Least costs of each state before every turn of a stretch, and after the last."""
+    costs = [before]
     for role in roles:
         new = [INFINITE] * 4
         for state in range(4):
@@ -123,6 +132,11 @@ def decide(roles: list[int], first: int, last: int) -> list[tuple[int, str, tupl
                 for to, cost, _, _ in moves(role, state):
                     new[to] = min(new[to], costs[-1][state] + cost)
         costs.append(new)
+    return costs
+
+
+def decide(roles: list[int], costs: list[list[int]], last: int) -> list[tuple[int, str, tuple[int, ...], int]]:
+    """(state, action, empty messages before, state before) for each turn of a stretch that ends in ``last``."""
     out, to = [], last
     for k in range(len(roles) - 1, -1, -1):
         best = None
@@ -135,6 +149,20 @@ def decide(roles: list[int], first: int, last: int) -> list[tuple[int, str, tupl
     return out[::-1]
 
 
+def origins(roles: list[int], before: list[int]) -> list[int]:
+    """The state before a stretch for each state after it (-1: out of reach)."""
+    costs = costs_after(roles, before)
+    return [decide(roles, costs, to)[0][3] if costs[-1][to] < INFINITE else -1 for to in range(4)]
+
+
+def composed(maps: list[list[int]]) -> list[int]:
+    """The origins of consecutive stretches."""
+    out = [0, 1, 2, 3]
+    for step in reversed(maps):
+        out = [step[state] if state >= 0 else -1 for state in out]
+    return out
+
+
 def role_code(role):
     plain = F.lower(F.trim(role))
     code = F.lit(-1)
@@ -147,22 +175,77 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         roles = [[code for _, code in sorted((x["pos"], x["code"]) for x in turns)] for turns in batch["turns"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch["conv"], batch["stretch"], pa.array([stretch_matrix(r) for r in roles], pa.list_(pa.int64())), pa.array(roles, pa.list_(pa.int32()))],
-            names=["conv", "stretch", "matrix", "codes"],
+            [batch["conv"], batch["part"], pa.array([stretch_matrix(r) for r in roles], LONGS), pa.array(roles, INTS), batch["positions"]],
+            names=["conv", "part", "matrix", "codes", "positions"],
         )
 
 
-def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+COSTS_BEFORE = [INFINITE] * 3 + [0]  # of a conversation
+
+
+def _multiplied(group: dict) -> list[dict]:
+    return [{"conv": group["conv"], "part": group["up"], "matrix": product([p["matrix"] for p in group["parts"]])}]
+
+
+def _prefixes(group: dict) -> list[dict]:
+    out, costs = [], group["before"] or COSTS_BEFORE
+    for part in group["parts"]:
+        out.append({"conv": group["conv"], "part": part["part"], "before": costs})
+        costs = advanced(costs, part["matrix"])
+    return out
+
+
+def _ends(group: dict) -> list[dict]:
+    costs = COSTS_BEFORE
+    for part in group["parts"]:
+        costs = advanced(costs, part["matrix"])
+    totals = [costs[state] + closing(state)[0] for state in range(4)]
+    return [{"conv": group["conv"], "cost": min(totals), "end": totals.index(min(totals))}]
+
+
+def _composed(group: dict) -> list[dict]:
+    return [{"conv": group["conv"], "part": group["up"], "origin": composed([p["origin"] for p in group["parts"]])}]
+
+
+def _states(group: dict) -> list[dict]:
+    out, state, ends = [], group["after"], group["ends"]
+    for part in reversed(group["parts"]):
+        out.append({"conv": group["conv"], "part": part["part"], "after": state, "ends": ends})
+        state, ends = part["origin"][state], False
+    return out
+
+
+def _by_group(groups: DataFrame, function: Callable[[dict], list[dict]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """``function`` on every row of ``groups``, with its ``parts`` (``FAN`` at most) in order."""
+    arrow = pa.schema(list(kinds.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                row["parts"].sort(key=lambda p: p["part"])
+            yield pa.RecordBatch.from_pylist([out for row in rows for out in function(row)], arrow)
+
+    return groups.mapInArrow(run, schema)
+
+
+CONV, PART = {"conv": pa.string()}, {"conv": pa.string(), "part": pa.int64()}
+
+
+def _grouped(parts: DataFrame, column: str, fan: int, top: bool) -> DataFrame:
+    """Neighbours of a conversation in one row: all of them at the top, else those of the same ``up``."""
+    up = F.lit(0).cast("long") if top else F.floor(F.col("part") / fan)
+    return parts.groupBy("conv", up.alias("up")).agg(F.collect_list(F.struct("part", column)).alias("parts"))
+
+
+def _most_parts(parts: DataFrame) -> int:
+    return parts.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+
+
+def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        for conv, parts in zip(batch["conv"].to_pylist(), batch["parts"].to_pylist()):
-            parts.sort(key=lambda p: p["stretch"])
-            cost, states = chain([p["matrix"] for p in parts])
-            for k, part in enumerate(parts):
-                rows.append((conv, part["stretch"], states[k], states[k + 1], k == len(parts) - 1, cost))
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
-        columns = zip(*rows) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv", "stretch", "first", "last", "ends", "cost"])
+        found = [origins(roles, before) for roles, before in zip(batch["codes"].to_pylist(), batch["before"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch["conv"], batch["part"], pa.array(found, INTS)], names=["conv", "part", "origin"])
 
 
 def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +254,47 @@ def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for row in batch.to_pylist():
-            for k, (state, action, empty, before) in enumerate(decide(row["codes"], row["first"], row["last"])):
+            costs = costs_after(row["codes"], row["before"])
+            for k, (state, action, empty, before) in enumerate(decide(row["codes"], costs, row["after"])):
                 at_end = row["ends"] and k == len(row["codes"]) - 1
                 after = [ROLES[r] for r in closing(state)[1]] if at_end else None
                 rows.append((row["positions"][k], action, ROLES[state], [ROLES[r] for r in empty], after, before == START, row["cost"]))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
 
 
-def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def _border_states(stretches: DataFrame, matrices: DataFrame, fan: int) -> DataFrame:
+    """conv, part, before (least costs), after (state), ends, cost for each stretch."""
+    levels, tops = [matrices], _most_parts(matrices) <= fan
+    while not tops:
+        level = _by_group(_grouped(levels[-1], "matrix", fan, False), _multiplied, PART | {"matrix": LONGS}, "conv string, part long, matrix array<long>")
+        levels.append(store(level, "chat-matrices"))
+        tops = _most_parts(levels[-1]) <= fan
+    # Down: the least costs before each part.
+    top = _grouped(levels[-1], "matrix", fan, True)
+    ends = store(_by_group(top, _ends, CONV | {"cost": pa.int64(), "end": pa.int32()}, "conv string, cost long, end int"), "chat-ends")
+    kinds, schema = PART | {"before": LONGS}, "conv string, part long, before array<long>"
+    before = _by_group(top.withColumn("before", F.lit(None).cast("array<long>")), _prefixes, kinds, schema)
+    for level in reversed(levels[:-1]):
+        groups = _grouped(level, "matrix", fan, False).join(store(before, "chat-before").withColumnRenamed("part", "up"), ["conv", "up"])
+        before = _by_group(groups, _prefixes, kinds, schema)
+    before = store(before, "chat-before")
+    # Up: where each state after a part comes from.
+    known = stretches.join(before, ["conv", "part"]).select("conv", "part", "codes", "before")
+    maps = [store(known.mapInArrow(_origins, "conv string, part long, origin array<int>"), "chat-origins")]
+    for _ in levels[1:]:
+        level = _by_group(_grouped(maps[-1], "origin", fan, False), _composed, PART | {"origin": INTS}, "conv string, part long, origin array<int>")
+        maps.append(store(level, "chat-origins"))
+    # Down: the state after each part.
+    top = _grouped(maps[-1], "origin", fan, True).join(ends, "conv").select("conv", "parts", F.col("end").alias("after"), F.lit(True).alias("ends"))
+    kinds, schema = PART | {"after": pa.int32(), "ends": pa.bool_()}, "conv string, part long, after int, ends boolean"
+    after = _by_group(top, _states, kinds, schema)
+    for level in reversed(maps[:-1]):
+        groups = _grouped(level, "origin", fan, False).join(store(after, "chat-after").withColumnRenamed("part", "up"), ["conv", "up"])
+        after = _by_group(groups, _states, kinds, schema)
+    return before.join(store(after, "chat-after"), ["conv", "part"]).join(ends.select("conv", "cost"), "conv")
+
+
+def repair(turns: DataFrame, stretch: int = STRETCH, fan: int = FAN) -> DataFrame:
     """conv_id, turn, pos, role, new_role, action, empty_before, empty_after, rendered, conversation_cost for each turn.
 
     ``pos`` orders all rows; ``empty_after`` is null but for a conversation's last turn.
@@ -188,17 +304,14 @@ def repair(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     order = ["conv", "turn", "role", "hash"]
     # The place in the whole order: fixed once it is stored.
     ordered = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()).drop("hash"), "chat-turns")
-    short = ordered.select("conv", F.floor(F.col("pos") / stretch).alias("stretch"), "pos", role_code(F.col("role")).alias("code"))
+    short = ordered.select("conv", F.floor(F.col("pos") / stretch).alias("part"), "pos", role_code(F.col("role")).alias("code"))
     # At most `stretch` rows in a group.
-    stretches = short.groupBy("conv", "stretch").agg(F.collect_list(F.struct("pos", "code")).alias("turns"))
-    stretches = stretches.select("conv", "stretch", "turns", F.array_sort("turns.pos").alias("positions"))
-    stretches = store(stretches, "chat-stretches")
-    summed = store(stretches.select("conv", "stretch", "turns").mapInArrow(_matrices, "conv string, stretch long, matrix array<long>, codes array<int>"), "chat-matrices")
-    # A row for each stretch of a conversation, not for each turn.
-    chained = summed.groupBy("conv").agg(F.collect_list(F.struct("stretch", "matrix")).alias("parts"))
-    borders = chained.mapInArrow(_borders, "conv string, stretch long, first int, last int, ends boolean, cost long")
-    known = summed.select("conv", "stretch", "codes").join(stretches.select("conv", "stretch", "positions"), ["conv", "stretch"]).join(borders, ["conv", "stretch"])
-    decided = known.select("codes", "positions", "first", "last", "ends", "cost").mapInArrow(
+    stretches = short.groupBy("conv", "part").agg(F.collect_list(F.struct("pos", "code")).alias("turns"))
+    stretches = stretches.select("conv", "part", "turns", F.array_sort("turns.pos").alias("positions"))
+    stretches = store(stretches.mapInArrow(_matrices, "conv string, part long, matrix array<long>, codes array<int>, positions array<long>"), "chat-stretches")
+    borders = _border_states(stretches, stretches.select("conv", "part", "matrix"), fan)
+    known = stretches.select("conv", "part", "codes", "positions").join(borders, ["conv", "part"])
+    decided = known.select("codes", "positions", "before", "after", "ends", "cost").mapInArrow(
         _decisions, "pos long, action string, new_role string, empty_before array<string>, empty_after array<string>, opens boolean, conversation_cost long"
     )
     joined = ordered.join(decided, "pos")

@@ -107,3 +107,21 @@ def test_null_and_empty_ids_are_two_conversations(spark):
     turns = [(None, 0, "user", "a"), ("", 1, "user", "b"), (None, 2, "assistant", "c"), ("", 3, "assistant", "d")]
     got = C.repair(spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")).collect()
     assert {r["conversation_cost"] for r in got} == {0} and {r["action"] for r in got} == {"keep"}
+
+
+def test_stretches_and_levels_do_not_show(spark):
+    """The same repairs, ties included, whatever the size of stretches and of groups of them."""
+    rng = random.Random(11)
+    turns = [(1, t, rng.choice(["user", "user", "assistant", "tool", "system"]), f"<{t}>") for t in range(90)]
+    turns += [(c, t, rng.choice(["user", "assistant", None]), f"<{c}.{t}>") for c in range(2, 20) for t in range(rng.randint(1, 12))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = [sorted(tuple(r) for r in C.repair(df, *sizes).drop("pos").collect()) for sizes in [(C.STRETCH, C.FAN), (3, 4), (1, 3)]]
+    assert len(got[0]) == len(turns) and got[0] == got[1] == got[2]
+
+
+def test_no_group_grows_with_a_conversation(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "_grouped", lambda parts, column, fan, top, real=C._grouped: seen.append(real(parts, column, fan, top)) or seen[-1])
+    turns = [(1, t, "user" if t % 3 else "assistant", "x") for t in range(200)]
+    C.repair(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 2, 4).collect()
+    assert len(seen) > 6 and max(df.selectExpr("max(size(parts)) m").first()[0] for df in seen) <= 4
