@@ -13,13 +13,18 @@ that number, only stretches around blocks which the automaton accepts are
 streamed; that loses nothing.
 
 Texts stay where they are: no shuffle. Items are dealt by hash to automata of about
-``WORDS_PER_AUTOMATON`` words, each broadcast by itself (as its items), with one
-pass over the texts for each. With a single one, the usual case, its pass gives
-the result; otherwise the hit stretches are merged by text hash.
+``WORDS_PER_AUTOMATON`` words. A longer item is cut into pieces that overlap by a window
+less one word, so that every window lies in one of them. With a single automaton, the usual case,
+its items are broadcast and its pass gives the result. Otherwise there is one
+pass over the texts for each: its items are broadcast, what it hits is stored in
+the shared folder, and the broadcast is given up before the next one begins, so
+the driver and every worker hold one automaton's items at a time. The hit
+stretches are merged by text hash.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items
 have no window; a null ``item_id`` is written as the empty string; repeated
-items count once by ``item_id``; repeated documents get a row each; without
+items count once by ``item_id``, also where their rows are in different automata, and
+all items of a window count alike; repeated documents get a row each; without
 items nothing is hit; a long text costs memory in proportion to itself; other
 columns pass through untouched where rows are kept.
 """
@@ -29,12 +34,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import ascii_lower, ship_package, table
+from ledgerline.session import store
 
 WINDOW = 13
 WORDS_PER_AUTOMATON = 100_000  # some 60 MB in a Python worker
@@ -195,8 +204,8 @@ def _automaton(key: object, items: list[tuple[str, str]], window: int) -> ItemAu
     return _BUILT[key]
 
 
-def _scan(spark: SparkSession, items: list[tuple[str, str]], window: int) -> Column:
-    """A function of a text column giving ``RESULT`` against some items."""
+def _scan(spark: SparkSession, items: list[tuple[str, str]], window: int) -> tuple[Column, Broadcast]:
+    """A function of a text column giving ``RESULT`` against some items, and the broadcast it uses."""
     shared = spark.sparkContext.broadcast(items)
     key = (spark.sparkContext.applicationId, shared._jbroadcast.id(), window)
 
@@ -216,68 +225,83 @@ def _scan(spark: SparkSession, items: list[tuple[str, str]], window: int) -> Col
             rows.append((len(words), n_hit, sorted(items), first, last, first_byte, end_byte))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "first_word", "last_word", "first_byte", "end_byte"])
 
-    return scan
+    return scan, shared
 
 
-def item_shards(benchmark: DataFrame, words_per_automaton: int = WORDS_PER_AUTOMATON) -> list[list[tuple[str, str]]]:
-    """Items in shares of about so many words, each small enough for one automaton."""
+def _pieces(text: Column, window: int, most: int) -> Column:
+    """Parts of at most ``most`` words of an item's text, which share no fewer words than windows need."""
+    lowered, step = ascii_lower(text), most - window + 1
+    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - (window - 1)) / F.lit(step)) - 1, F.lit(0)).cast("int"))
+    cut = F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(most)), " "))
+    return F.when(F.regexp_count(lowered, F.lit(WORD)) > most, cut).otherwise(F.array(text))
+
+
+def item_shards(benchmark: DataFrame, words_per_automaton: int = WORDS_PER_AUTOMATON, window: int = WINDOW) -> Iterator[list[tuple[str, str]]]:
+    """Items, long ones in pieces, in shares of about so many words, each small enough for one automaton and collected when asked for."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    most = max(words_per_automaton // 10, 2 * window)
+    items = items.select("item", F.explode(_pieces(F.col("text"), window, most)).alias("text"))
     total = items.agg(F.sum(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)))).first()[0] or 0
     n_shards = max(1, -(-total // words_per_automaton))
-    shard = F.pmod(F.xxhash64("item", "text"), F.lit(n_shards))
+    if n_shards > 1:
+        # Read once more for each share, but cut once; by share, so that a pass reads its own.
+        shard = F.pmod(F.xxhash64("item", "text"), F.lit(n_shards)).cast("int")
+        items = store(items.withColumn("shard", shard).repartition("shard"), "benchmark-items", "shard")
     for k in range(n_shards):
-        yield [tuple(row) for row in items.filter(shard == k).distinct().orderBy("item", "text").collect()]
+        share = items.filter(F.col("shard") == k).drop("shard") if n_shards > 1 else items
+        yield sorted(tuple(row) for row in share.distinct().collect())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_per_automaton: int = WORDS_PER_AUTOMATON, name: str = "contamination") -> DataFrame:
-    """``docs`` with a struct column ``name`` of type ``RESULT`` about its column ``text``."""
+    """``docs`` with a struct column ``name`` of type ``RESULT`` about its column ``text``.
+
+    With more items than one automaton takes, the passes run when this is called.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    shards = list(item_shards(benchmark, words_per_automaton))
-    scans = [_scan(spark, items, window) for items in shards]
-    if len(scans) == 1:
-        return docs.withColumn(name, scans[0](F.col("text")))
+    shards = item_shards(benchmark, words_per_automaton, window)
+    items, following = next(shards), next(shards, None)
+    if following is None:
+        return docs.withColumn(name, _scan(spark, items, window)[0](F.col("text")))
     # Several automata: a pass each; what they hit is merged by text.
     key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     hits = None
-    for scan in scans:
-        part = docs.select(key.alias("key"), scan(F.col("text")).alias("r")).filter(F.col("r.n_hit") > 0)
+    for items in chain([items, following], shards):
+        scan, shared = _scan(spark, items, window)
+        part = store(docs.select(key.alias("key"), scan(F.col("text")).alias("r")).filter(F.col("r.n_hit") > 0), "contamination-hits")
+        shared.destroy()
         hits = part if hits is None else hits.unionByName(part)
     # At most one distinct row for each automaton.
-    merged = hits.groupBy("key").agg(F.collect_set("r").alias("parts")).select(F.col("key").alias("__key"), _merged(F.col("parts")).alias("__hits"))
-    n_words = F.regexp_count(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD)).cast("long")
-    result = F.struct(
-        n_words.alias("n_words"),
-        F.coalesce(F.col("__hits.n_hit"), F.lit(0).cast("long")).alias("n_hit"),
-        *[F.coalesce(F.col(f"__hits.{c}"), F.array().cast(t)).alias(c) for c, t in (("items", "array<string>"), *((c, "array<int>") for c in ("first_word", "last_word", "first_byte", "end_byte")))],
-    )
+    merged = hits.groupBy("key").agg(F.collect_set("r").alias("parts")).mapInArrow(_merged, f"key string, {RESULT}")
+    merged = store(merged.select(F.col("key").alias("__key"), F.struct(*[c for c in merged.columns if c != "key"]).alias("__hits")), "contamination-merged")
     joined = docs.withColumn("__key", key).join(merged, "__key", "left")
-    return joined.select(*[joined[c] for c in docs.columns], result.alias(name))
-
-
-def _merged(parts: Column) -> Column:
-    """One result from the results of several automata."""
-    spans = F.flatten(F.transform(parts, lambda r: F.arrays_zip(r["first_word"], r["last_word"], r["first_byte"], r["end_byte"])))
-    ordered = F.array_sort(spans)
-    kind = "array<struct<first_word:int,last_word:int,first_byte:int,end_byte:int>>"
-
-    def add(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(
-            last["first_word"].alias("first_word"), F.greatest(last["last_word"], span["last_word"]).alias("last_word"),
-            last["first_byte"].alias("first_byte"), F.greatest(last["end_byte"], span["end_byte"]).alias("end_byte"),
-        )
-        apart = (F.size(done) == 0) | (span["first_word"] > F.try_element_at(done, F.lit(-1))["last_word"] + 1)
-        return F.when(apart, F.concat(done, F.array(span))).otherwise(
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
-        )
-
-    union = F.aggregate(ordered, F.array().cast(kind), add)
-    return F.struct(
-        F.aggregate(union, F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(parts["items"]))).alias("items"),
-        *[union[c].alias(c) for c in ("first_word", "last_word", "first_byte", "end_byte")],
-    )
+    n_words = F.regexp_count(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD)).cast("long")
+    nothing = F.struct(n_words.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *[F.array().cast(t).alias(c) for c, t in _LISTS.items()])
+    return joined.select(*[joined[c] for c in docs.columns], F.coalesce(F.col("__hits"), nothing).alias(name))
+
+
+_LISTS = {"items": "array<string>", **dict.fromkeys(["first_word", "last_word", "first_byte", "end_byte"], "array<int>")}
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One result from the results of several automata; spans that overlap or touch become one."""
+    ints = pa.list_(pa.int32())
+    kinds = {"key": pa.string(), "n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), **dict.fromkeys(list(_LISTS)[1:], ints)}
+    for batch in batches:
+        rows = []
+        for key, parts in zip(batch["key"].to_pylist(), batch["parts"].to_pylist()):
+            spans: list[list[int]] = []
+            for span in sorted(s for r in parts for s in zip(r["first_word"], r["last_word"], r["first_byte"], r["end_byte"])):
+                if spans and span[0] <= spans[-1][1] + 1:
+                    spans[-1][1], spans[-1][3] = max(spans[-1][1], span[1]), max(spans[-1][3], span[3])
+                else:
+                    spans.append(list(span))
+            lists = dict(zip(list(_LISTS)[1:], map(list, zip(*spans))))
+            n_hit = sum(last - first + 1 for first, last, _, _ in spans)
+            items = sorted({item for r in parts for item in r["items"]})
+            rows.append({"key": key, "n_words": parts[0]["n_words"], "n_hit": n_hit, "items": items, **lists})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
 
 
 def is_contaminated(result: Column, min_share: float | Fraction = 0.05) -> Column:

@@ -75,6 +75,21 @@ def test_contamination_equals_brute_force(spark, words_per_automaton, long_items
         assert all(spans[k][1] + 1 < spans[k + 1][0] for k in range(len(spans) - 1))
 
 
+def test_an_item_longer_than_an_automaton_takes(spark):
+    """One long item, its id on a second row and an item of a window's words, in several automata."""
+    words = [f"w{n}" for n in range(700)]
+    items = [("long", " ".join(words)), ("long", " ".join(words[300:340])), ("window", " ".join(words[100:113])), ("short", "w5 w6")]
+    texts = [" ".join(words), "x " + " ".join(words[95:125]) + " y", "w5 w6 " * 3, " ".join(words[60:71]), " ".join(words[40:53]), None]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(decontaminate.item_shards(benchmark, 200))) > 3
+    found = decontaminate.contamination(documents(spark, texts), benchmark, words_per_automaton=200)
+    for row in found.select("doc_id", "contamination").collect():
+        got = row["contamination"]
+        assert (got["n_words"], got["n_hit"], list(got["items"])) == brute_contamination(texts[row["doc_id"]], items), row["doc_id"]
+        ends = [text.split()[last] for last in got["last_word"]] if (text := texts[row["doc_id"]]) else []
+        assert ends == [text.encode()[:end].decode().split()[-1] for end in got["end_byte"]] if text else ends == []
+
+
 def test_limits_of_contamination_are_exact(spark):
     cases = spark.createDataFrame([(n, hit) for n in (10, 100) for hit in range(n + 1)], "n_words long, n_hit long")
     for limit, (over, under) in {0.05: (1, 20), 0.07: (7, 100), 0.3: (3, 10), 0.7: (7, 10), 1.0: (1, 1)}.items():
