@@ -22,7 +22,9 @@ and empty texts have no tokens, their cell's tokens alone count, and a cell
 without tokens keeps its rows (there is nothing to weigh); a null ``doc_id`` is
 hashed like an empty text; rows of one id are kept or left out alike if they are
 in one cell; no rows give no rows; a value without a target has target 0 and a
-target without rows is spread over the other values; other columns pass through.
+target without rows is spread over the other values; equal hashes are kept or left
+out alike (there are no other ties); texts of any length are read whole; other
+columns pass through.
 """
 
 from __future__ import annotations

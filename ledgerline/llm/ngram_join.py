@@ -36,7 +36,8 @@ Defined cases: null, empty and blank texts have no shingles, size 0, and are
 components of their own; fewer words than ``words_per_shingle`` make one shingle of all; repeated
 documents get a row each, equal ``doc_id``s too (their component is that of the
 least reachable ``doc_id``); a null ``doc_id`` takes part, its rows' component is
-null only if no other ``doc_id`` is reachable; other columns are ignored.
+null only if no other ``doc_id`` is reachable; equal sets (ties) are linked; texts of any
+length are cut into shingles whole; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ same name. The places before each file come from one row per file.
 Defined cases: a null text is empty (its record holds the end id alone); null
 ``doc_id`` comes first; rows with one ``doc_id`` are ordered by text hash and
 length, each gets its own record, and many of them spread over several files; no
-rows give no file and an empty result; other columns are ignored.
+rows give no file and an empty result; texts of any length are encoded whole, into
+one record; other columns are ignored.
 
 The folder has to be one that pyarrow can open from every executor (a shared
 mount, or a store that its file systems know).

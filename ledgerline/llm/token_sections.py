@@ -15,7 +15,8 @@ proportion to one text.
 
 Defined cases: null and empty texts have no sections by line and so no rows; given
 sections beyond the text are cut to it, empty ones count 0; repeated documents get
-their rows each; a null ``doc_id`` stays null; other columns are ignored.
+their rows each, and so do several documents with a null ``doc_id``, which stays null;
+texts of any length are encoded whole; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
