@@ -4,6 +4,13 @@ Each stage takes all its predecessor kept, as a table reread from the shared
 folder, so a lost executor costs at most the tasks of one stage. Documents that the
 quality classifier rejects go; of each group of near copies one stays; contaminated
 documents go; the mixture is sampled to tempered shares; the rest becomes token records.
+
+Defined cases: a null or empty text is scored like any other; if it is kept it is near no
+other document, is not contaminated, has no tokens to weigh and becomes a record of the end
+id alone. Rows with one ``doc_id`` are rows of their own, and of a group of near copies, rows of one id and
+text included, a single row stays. A null ``doc_id`` is an id like others. Texts of any length are
+used whole. No documents give no rows. Columns beyond those of documents pass through all stages but
+the last, whatever their names.
 """
 
 from __future__ import annotations
