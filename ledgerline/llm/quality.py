@@ -18,7 +18,7 @@ text; a null label counts for nothing; rows of one ``doc_id`` with several label
 count as 1 if at least half of them do; a null ``doc_id`` is hashed like an empty
 text and matches no label; without labels every score is 0.5, with labels of one
 kind it lies close to that kind; repeated documents get a row each; long texts
-are read whole; texts with equal features get equal scores, and of equally good cuts
+are read whole; texts with equal features get equal scores, and of equally good cuts of a part
 (ties) the first is taken; no documents give no rows; other columns pass through
 where rows are kept.
 """

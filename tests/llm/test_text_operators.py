@@ -248,6 +248,53 @@ def test_additive_model_learns_single_and_joint_effects():
     assert np.array_equal(model.score(x), quality.fit(x[:3000], y[:3000]).score(x))
 
 
+def plain_features(text):
+    """The features one character, word and line at a time."""
+    if not text:
+        return [0.0] * 16
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n = max(1, len(words))
+    part = lambda holds: sum(1 for byte in raw if holds(byte)) / len(raw)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122
+    digit = lambda b: 48 <= b <= 57
+    usual = lambda b: letter(b) or digit(b) or b >= 128 or chr(b) in ".,;:? \t\r\n'\"-()"
+    return [
+        np.log(1 + len(text)), np.log(1 + len(words)), sum(len(w) for w in words) / n, len(set(words)) / n,
+        max((words.count(w) for w in set(words)), default=0) / n, sum(1 for a, b in zip(words, words[1:]) if a == b) / n,
+        part(lambda b: 65 <= b <= 90), part(digit), part(lambda b: not usual(b)), part(lambda b: b == ord("|")),
+        part(lambda b: chr(b) in ".,;:?"), len(set(lines)) / len(lines), np.log(1 + len(text) / len(lines)),
+        sum(1 for line in lines if len(line) < 20) / len(lines), part(lambda b: b >= 128),
+        sum(1 for w in words if w[-1] in "%&$*#!|@~^=<>+_\\/") / n,
+    ]
+
+
+def plain_score(model, row):
+    """The sum of table entries, bins counted one edge at a time."""
+    total = model.intercept
+    for j, values in enumerate(model.tables):
+        total += values[sum(1 for edge in model.edges[j] if edge <= row[j])]
+    for (a, b), values in zip(model.pairs, model.pair_tables):
+        total += values[sum(1 for e in model.pair_edges[a] if e <= row[a])][sum(1 for e in model.pair_edges[b] if e <= row[b])]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_scores_are_sums_of_table_entries(spark):
+    """The registered query against features and sums made in plain Python, from the same labels."""
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    odd = [None, "", " ", "\n\n", "a|b|c\n" * 9, "\u00c4\u00df \u4e2d\u6587 \U0001f600 \u00e9!", "same same same %% end=", "A1 " * 3000]
+    assert np.allclose(quality.feature_matrix(odd), [plain_features(t) for t in odd], rtol=1e-12, atol=0)
+    model = quality.train(docs, labels)
+    rows = quality.op7_quality(spark, data).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and len(model.tables) == len(quality.FEATURES)
+    for row in rows:
+        expected = plain_score(model, plain_features(texts[row["doc_id"]]))
+        assert row["score"] == pytest.approx(expected, abs=1e-9) and row["predicted"] == int(row["score"] >= 0.3)
+        assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_of_odd_tables(spark):
     texts = ["Good words in a row, all of them."] * 3 + ["%% && %%"] * 3 + [None, "", "x" * 200_000]
     ids = [1, 2, 3, 4, 5, 6, 7, None, 9]
