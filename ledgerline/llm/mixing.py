@@ -4,15 +4,17 @@ Documents are counted into cells (source, language, topic). Token weights of the
 cells start at their token counts and are raked: for one dimension after the
 other, each value's weights are multiplied so that they sum up to the value's
 target; a weight never exceeds the cell's tokens, so weight / tokens is a
-probability. After ``rounds`` turns a document is kept with its cell's
-probability, decided by a hash of its id: the same documents every time.
+probability. Turns end when none moves a probability by more than ``tolerance``,
+after ``rounds`` at the latest; ``distances`` tells how far each value then is from
+its target. A document is kept with its cell's probability, decided by a hash of its
+id: the same documents every time.
 
 Targets are shares per value. Those not given are tempered: proportional to
 (tokens of the value) ** ``alpha``, which lifts small sources. The raked total is
 ``keep`` of all tokens.
 
-All of it is DataFrame code. Texts are only projected; the cells come from one
-aggregation with a partial step (a source with a third of all rows costs one row
+All of it is DataFrame code. Topics and tokens are found in one pass over the texts
+and stored; the cells come from one aggregation with a partial step (a source with a third of all rows costs one row
 per task), each turn is three small aggregations and joins over the cells, written
 to the shared folder. Spark broadcasts cells by its own threshold or joins them
 with skew splitting.
@@ -36,7 +38,7 @@ from ledgerline.llm.common import table
 from ledgerline.session import store
 
 DIMENSIONS = ("source", "lang", "topic")
-ALPHA, KEEP, ROUNDS, SEED = 0.7, 0.8, 10, "mix-1"
+ALPHA, KEEP, ROUNDS, TOLERANCE, SEED = 0.7, 0.8, 10, 1e-12, "mix-1"
 
 # A topic's sign, looked for in this order.
 TOPIC_SIGNS = [("legal", "(?i)licensed under|all rights reserved|copyright"), ("code", r"[{};]\s*\n|def \w+\(|</\w+>"), ("contact", r"@[A-Za-z0-9-]+\.|\+[0-9][0-9 ().-]{6,}[0-9]"), ("data", "[0-9]{4,}")]
@@ -61,12 +63,12 @@ def hash_share(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, the dimensions (not null) and n_tokens."""
-    return docs.select(
-        "doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")],
+def described() -> list[Column]:
+    """The dimensions (not null) and n_tokens of a document."""
+    return [
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")],
         topic_of(F.coalesce("text", F.lit(""))).alias("topic"), token_count(F.col("text")).alias("n_tokens"),
-    )
+    ]
 
 
 def _with_targets(cells: DataFrame, targets: dict[str, dict[str, float]], alpha: float, keep: float) -> DataFrame:
@@ -85,19 +87,32 @@ def _with_targets(cells: DataFrame, targets: dict[str, dict[str, float]], alpha:
     return cells
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """The dimensions, n_tokens, weight and probability of each cell."""
+def rake(
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """The dimensions, n_tokens, weight, probability and target_<dimension> of each cell."""
     current = _with_targets(cells, targets or {}, alpha, keep)
     current = store(current.withColumn("weight", F.col("n_tokens").cast("double")), "mixing-cells")
+    probability = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(1.0)
     for _ in range(rounds):
+        current = current.withColumn("before", probability)
         for dimension in DIMENSIONS:
             sums = current.groupBy(dimension).agg(F.sum("weight").alias("weight_sum"))
             scaled = F.col("weight") * F.col(f"target_{dimension}") / F.col("weight_sum")
             weight = F.when(F.col("weight_sum") > 0, F.least(scaled, F.col("n_tokens").cast("double"))).otherwise(0.0)
             current = current.join(sums, dimension).withColumn("weight", weight).drop("weight_sum")
         current = store(current, "mixing-cells")
-    probability = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(1.0)
-    return current.select(*DIMENSIONS, "n_tokens", "weight", probability.alias("probability"))
+        if (current.agg(F.max(F.abs(probability - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
+    return current.select(*DIMENSIONS, "n_tokens", "weight", probability.alias("probability"), *[f"target_{c}" for c in DIMENSIONS])
+
+
+def distances(raked: DataFrame) -> DataFrame:
+    """dimension, value, its target and weight in tokens, and their distance as a share of the target (null without one)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"), F.col(f"target_{c}").alias("target"), "weight") for c in DIMENSIONS]))
+    summed = raked.select(kinds.alias("kind")).groupBy("kind.dimension", "kind.value").agg(F.max("kind.target").alias("target"), F.sum("kind.weight").alias("weight"))
+    share = F.when(F.col("target") > 0, F.abs(F.col("weight") - F.col("target")) / F.col("target"))
+    return summed.withColumn("distance", share)
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -106,19 +121,14 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """The sampled rows of ``docs`` as they are."""
-    cells = rake(cells_of(described(docs)), targets, alpha, keep, rounds)
-    cells = cells.select(*[F.col(c).alias(f"__{c}") for c in DIMENSIONS], F.col("probability").alias("__probability"))
-    keyed = docs.withColumns(
-        {"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-         "__topic": topic_of(F.coalesce("text", F.lit("")))}
-    )
-    joined = keyed.join(cells, [f"__{c}" for c in DIMENSIONS])
-    return joined.filter(hash_share(F.col("doc_id"), seed) < F.col("__probability")).select(*[joined[c] for c in docs.columns])
+    rows = store(docs.select(*described(), hash_share(F.col("doc_id"), seed).alias("share"), F.struct(*docs.columns).alias("document")), "mixing-documents")
+    cells = rake(cells_of(rows), targets, alpha, keep, rounds).select(*DIMENSIONS, "probability")
+    return rows.join(cells, list(DIMENSIONS)).filter("share < probability").select("document.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample with each document's cell, tokens and probability."""
-    rows = described(table(spark, sf_dir, "documents"))
+    rows = store(table(spark, sf_dir, "documents").select("doc_id", *described()), "mixing-documents")
     sampled = rows.join(rake(cells_of(rows)).select(*DIMENSIONS, "probability"), list(DIMENSIONS))
     sampled = sampled.filter(hash_share(F.col("doc_id"), SEED) < F.col("probability"))
     return sampled.select("doc_id", *DIMENSIONS, "n_tokens", F.round("probability", 6).alias("probability"))

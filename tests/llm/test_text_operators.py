@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import blob_secrets, decontaminate, mixing, pii, quality, token_records, token_sections
 from ledgerline.llm.spans import joined
 from ledgerline.llm.words import WordEncoder
+from ledgerline.session import store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, items string, start int, blob string, score double"
 
@@ -333,13 +334,27 @@ def test_quality_accuracy_on_held_out_labels(spark):
 def test_raking_meets_given_targets(spark):
     cells = spark.createDataFrame([(s, l, "t", n) for (s, l), n in zip([(s, l) for s in "abc" for l in "xy"], [600, 50, 300, 300, 80, 70])], "source string, lang string, topic string, n_tokens long")
     targets = {"source": {"a": 0.4, "b": 0.4, "c": 0.2}, "lang": {"x": 0.7, "y": 0.3}, "topic": {"t": 1.0}}
-    rows = mixing.rake(cells, targets, keep=0.4, rounds=30).collect()
+    raked = mixing.rake(cells, targets, keep=0.4, rounds=30)
+    rows = raked.collect()
     total = sum(r["weight"] for r in rows)
     assert total == pytest.approx(0.4 * 1400, rel=1e-3)
     for column, shares in targets.items():
         for value, share in shares.items():
             assert sum(r["weight"] for r in rows if r[column] == value) / total == pytest.approx(share, abs=5e-3)
     assert all(0 <= r["probability"] <= 1 for r in rows)
+    left = mixing.distances(raked).collect()
+    assert {(r["dimension"], r["value"]) for r in left} == {(c, v) for c in targets for v in targets[c]}
+    assert max(r["distance"] for r in left) < 5e-3
+    assert mixing.rake(cells, targets, keep=0.4, rounds=0).agg(F.sum("weight")).first()[0] == 1400
+
+
+def test_raking_ends_when_nothing_moves(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(mixing, "store", lambda df, name: stored.append(name) or store(df, name))
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "x", "t", 300)], "source string, lang string, topic string, n_tokens long")
+    rows = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}}, keep=0.25, rounds=50).collect()
+    assert {r["source"]: r["weight"] for r in rows} == pytest.approx({"a": 50.0, "b": 50.0}) and len(stored) <= 4
+    assert mixing.rake(cells.limit(0)).count() == 0
 
 
 def test_mixing_of_odd_tables(spark):
@@ -350,6 +365,10 @@ def test_mixing_of_odd_tables(spark):
     once, again = sorted(map(str, kept.collect())), sorted(map(str, mixing.mix(docs).collect()))
     assert once == again and 150 < len(once) <= 302
     assert mixing.mix(docs.limit(0)).count() == 0
+    clashing = docs.withColumns({c: F.lit("own") for c in ("topic", "n_tokens", "share", "document", "probability", "__topic")})
+    sampled = mixing.mix(clashing)
+    assert sampled.columns == clashing.columns and sorted(map(str, sampled.select(docs.columns).collect())) == once
+    assert sampled.filter("topic <> 'own' or share <> 'own' or document <> 'own' or probability <> 'own'").count() == 0
     assert mixing.mix(docs, targets={"lang": {"en": 1.0}}, keep=0.5).filter("lang is null and text like 'one%'").count() == 0
 
 
