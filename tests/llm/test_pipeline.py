@@ -79,3 +79,16 @@ def test_queries_are_registered():
 def test_fold_is_the_remainder_of_crc32(spark):
     df = spark.createDataFrame([(7,), (None,)], "doc_id long").select(quality.fold(F.col("doc_id")).alias("f"), "doc_id")
     assert {r["doc_id"]: r["f"] for r in df.collect()} == {7: zlib.crc32(b"7") % 5, None: 0}
+
+
+def test_stages_bound_batches_and_leave_smaller_ones(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(setting, given)
+            assert corpus_pipeline.benchmark(spark, documents, DATA).count() == 0
+            assert spark.conf.get(setting) == then
+    finally:
+        spark.conf.set(setting, before)
