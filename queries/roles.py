@@ -115,14 +115,21 @@ def write_tree(texts: DataFrame, folder: str) -> str:
 
         local = "/" + folder.removeprefix("file:").lstrip("/")
         files, root = (pafs.LocalFileSystem(), local) if folder.startswith(("file:", "/")) else pafs.FileSystem.from_uri(folder)
+        made = None
         for batch in batches:
             for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
-                files.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
+                above = path.rpartition("/")[0]
+                if above != made:
+                    files.create_dir(f"{root}/{above}", recursive=True)
+                    made = above
                 with files.open_output_stream(f"{root}/{path}") as out:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    texts.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    # Texts are few bytes and many files: as many tasks as a shuffle has, whatever the bytes. A folder's files come one after the other.
+    n_tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(n_tasks, F.substring_index("path", "/", 1)).sortWithinPartitions("path")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return folder
 
 
