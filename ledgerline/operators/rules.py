@@ -118,9 +118,16 @@ def union_all(reports: Sequence[DataFrame]) -> DataFrame:
 
 def _broken_rules(df: DataFrame, rules: Sequence[tuple[Column, str]], **where) -> DataFrame:
     """One violation per broken rule of a row; all rules are tested in one pass over ``df``."""
+    return violation(_with_broken(df, rules), F.col("_rule"), **where)
+
+
+def _with_broken(df: DataFrame, rules: Sequence[tuple[Column, str]]) -> DataFrame:
+    """A row per broken rule, which ``_rule`` names.
+
+    An outer explode, since Spark puts a filter below a plain one that tests all rules once more.
+    """
     broken = F.array_compact(F.array(*[F.when(condition, F.lit(rule)) for condition, rule in rules]))
-    exploded = df.withColumn("_rule", F.explode(broken))
-    return violation(exploded, F.col("_rule"), **where)
+    return df.withColumn("_rule", F.explode_outer(broken)).filter("_rule IS NOT NULL")
 
 
 # --- script trees ---------------------------------------------------------
@@ -299,57 +306,73 @@ def statement_databases(statements: DataFrame, chunk_size: int = 65_536) -> Data
 # --- change items ---------------------------------------------------------
 
 
-def change_item_rules(items: DataFrame) -> DataFrame:
-    """Items that are no object, missing or non-text fields, unknown object and operation types.
+def change_rules(files: DataFrame) -> DataFrame:
+    """Change files that are no JSON list or an empty one, items that are no object, missing or non-text
+    fields, unknown object and operation types, and the rules on the columns that items add.
 
-    ``items``: file_id, ord, and ``item``, a map from field to JSON value.
+    ``files``: file_id, dialect and ``items``, arrays of maps from field to JSON value. All of it is one
+    pass: a text is parsed once, a value looked at once. A file without items is one row without ``ord``.
     """
-    item = F.col("item")
+    rows = files.select(
+        "file_id", "dialect", F.col("items").isNull().alias("_no_list"), F.posexplode_outer("items").alias("ord", "item")
+    )
+    value = {field: F.col("item").getItem(field) for field in REQUIRED_ITEM_FIELDS}
+    # A field that is there has a value, if only JSON's null.
+    described = rows.select(
+        "file_id", "dialect", "ord", "_no_list", F.col("item").isNotNull().alias("_is_object"),
+        *[F.schema_of_variant(v).alias(f"_kind_{field}") for field, v in value.items()],
+        *[v.cast("string").alias(field) for field, v in value.items()],
+    )
+    for part, parsed in _ADDED_PARTS.items():
+        described = described.withColumn(part, F.when(_adds_column(), parsed("object_property")))
 
     def text(field: str) -> Column:
-        return F.when(is_text(field), item.getItem(field).cast("string"))
-
-    def is_text(field: str) -> Column:
-        return F.schema_of_variant(item.getItem(field)) == "STRING"
+        return F.when(F.col(f"_kind_{field}") == "STRING", F.col(field))
 
-    rules: list[tuple[Column, str]] = [(item.isNull(), "item_not_an_object")]
+    is_item, is_object = F.col("ord").isNotNull(), F.col("_is_object")
+    rules: list[tuple[Column, str]] = [
+        (F.col("_no_list"), "not_a_json_list"),
+        (~F.col("_no_list") & ~is_item, "empty_change_list"),
+        (is_item & ~is_object, "item_not_an_object"),
+    ]
     for field in REQUIRED_ITEM_FIELDS:
-        present = F.map_contains_key(item, field)
-        rules.append((~present, f"missing_field:{field}"))
-        rules.append((present & ~is_text(field), f"field_not_text:{field}"))
+        rules.append((is_object & F.col(f"_kind_{field}").isNull(), f"missing_field:{field}"))
+        rules.append((F.col(f"_kind_{field}") != "STRING", f"field_not_text:{field}"))
     rules.append((~text("object_type").isin(OBJECT_TYPES), "unknown_object_type"))
     rules.append((~text("operation_type").isin(OPERATION_TYPES), "unknown_operation_type"))
-    return _broken_rules(
-        items,
-        rules,
-        db_name=text("db_name"),
-        table_name=text("table_name"),
-        object_name=text("object_name"),
-        file_id="file_id",
-        detail="ord",
-    )
+    column_rules = _column_conditions()
+    of_column = F.col("_rule").isin([rule for _, rule in column_rules])
 
+    def either(on_column: Column, on_item: Column) -> Column:
+        return F.when(of_column, on_column).otherwise(on_item)
 
-def change_file_rules(files: DataFrame) -> DataFrame:
-    """Change files that are no JSON list, or an empty one. ``files``: file_id, items."""
-    return _broken_rules(
-        files,
-        [(F.col("items").isNull(), "not_a_json_list"), (F.size("items") == 0, "empty_change_list")],
-        file_id="file_id",
+    return violation(
+        _with_broken(described, [*rules, *column_rules]),
+        F.col("_rule"),
+        db_name=either(F.col("db_name"), text("db_name")),
+        table_name=either(F.col("table_name"), text("table_name")),
+        object_name=either(F.col("object_name"), text("object_name")),
+        file_id=F.when(~of_column, F.col("file_id")),
+        detail=either(_column_type(), F.col("ord").cast("string")),
     )
 
 
+def _adds_column() -> Column:
+    return (F.col("object_type") == "COLUMN") & (F.col("operation_type") == "ADD")
+
+
+# What the property of an added column says.
+_ADDED_PARTS = {"data_type": type_name, "type_length": leading_type_length, "column_default": default_value}
+
+
 def added_columns(items: DataFrame) -> DataFrame:
     """Columns that change items (with ``dialect``) add, in the form the column rules take."""
-    adds = items.filter((F.col("object_type") == "COLUMN") & (F.col("operation_type") == "ADD"))
-    return adds.select(
+    return items.filter(_adds_column()).select(
         "dialect",
         "db_name",
         "table_name",
         F.col("object_name").alias("column_name"),
-        type_name("object_property").alias("data_type"),
-        leading_type_length("object_property").alias("type_length"),
-        default_value("object_property").alias("column_default"),
+        *[parsed("object_property").alias(part) for part, parsed in _ADDED_PARTS.items()],
     )
 
 
@@ -472,10 +495,9 @@ def key_rules(
 
 def key_column_membership(indexes: DataFrame, columns: DataFrame) -> DataFrame:
     """Key and index columns that their table does not have."""
-    used = indexes.filter(F.col("kind") != "FOREIGN").select(
-        *TABLE, "index_name", F.explode("columns").alias("column_name")
-    )
-    used = used.filter(~F.col("column_name").rlike(r"^\d+$"))
+    # Numbers go before the explode: a filter on its rows would be tested on all columns too.
+    names = F.filter("columns", lambda name: ~name.rlike(r"^\d+$"))
+    used = indexes.filter(F.col("kind") != "FOREIGN").select(*TABLE, "index_name", F.explode(names).alias("column_name"))
     unknown = used.join(columns.select(*TABLE, "column_name"), [*TABLE, "column_name"], "left_anti")
     return violation(
         unknown, "key_column_unknown", ERROR, "db_name", "table_name", "column_name", None, "index_name"
@@ -509,26 +531,34 @@ def comment_rules(comments: DataFrame, tables: DataFrame, columns: DataFrame) ->
     )
 
 
-def column_rules(columns: DataFrame) -> DataFrame:
-    """Rules on one column's type, length and default."""
+def _column_type() -> Column:
+    return F.concat_ws(" ", F.upper("data_type"), "type_length")
+
+
+def _column_conditions() -> list[tuple[Column, str]]:
     data_type, length = F.upper("data_type"), F.col("type_length")
     dm8 = F.col("dialect") == "dm8"
     has_default = F.col("column_default").isNotNull() & (F.upper("column_default") != "NULL")
+    return [
+        (data_type.isin(NO_DEFAULT_TYPES) & has_default, "default_on_text"),
+        (dm8 & (data_type == "CHAR"), "char_type"),
+        (
+            dm8 & (data_type == "VARCHAR") & ~F.coalesce(F.upper(length).endswith(" CHAR"), F.lit(False)),
+            "varchar_length",
+        ),
+        (dm8 & data_type.isin(NO_LENGTH_TYPES) & length.isNotNull(), "integer_length"),
+    ]
+
+
+def column_rules(columns: DataFrame) -> DataFrame:
+    """Rules on one column's type, length and default."""
     return _broken_rules(
         columns,
-        [
-            (data_type.isin(NO_DEFAULT_TYPES) & has_default, "default_on_text"),
-            (dm8 & (data_type == "CHAR"), "char_type"),
-            (
-                dm8 & (data_type == "VARCHAR") & ~F.coalesce(F.upper(length).endswith(" CHAR"), F.lit(False)),
-                "varchar_length",
-            ),
-            (dm8 & data_type.isin(NO_LENGTH_TYPES) & length.isNotNull(), "integer_length"),
-        ],
+        _column_conditions(),
         db_name="db_name",
         table_name="table_name",
         object_name="column_name",
-        detail=F.concat_ws(" ", data_type, length),
+        detail=_column_type(),
     )
 
 

@@ -10,12 +10,11 @@ from ledgerline.operators import rules
 from ledgerline.operators.ledger import verdict
 from ledgerline.operators.selection import CHECK_ALL, checked_versions, version_index
 from ledgerline.session import store
-from ledgerline.sources.scripts import item_fields
 
 
 def layout_report(scripts: DataFrame, listed_versions: DataFrame | None = None) -> DataFrame:
-    """File names, numbers, ``init.sql`` and empty versions of script trees."""
-    versions = version_index(scripts)
+    """File names, numbers, ``init.sql`` and empty versions of script trees. The version index is stored."""
+    versions = store(version_index(scripts).select("service", "db_type", "version", "has_init"), "version-index")
     reports = [
         rules.file_name_rules(scripts),
         rules.duplicate_number_rule(scripts),
@@ -68,14 +67,7 @@ def definition_report(
 
 def change_report(files: DataFrame) -> DataFrame:
     """Change files: file_id, dialect and ``items`` (array of maps from field to JSON value)."""
-    items = files.select("file_id", "dialect", F.posexplode("items").alias("ord", "item"))
-    return rules.union_all(
-        [
-            rules.change_file_rules(files),
-            rules.change_item_rules(items),
-            rules.column_rules(rules.added_columns(item_fields(items))),
-        ]
-    )
+    return rules.change_rules(files)
 
 
 def lint_report(*reports: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,30 @@ def test_added_columns_are_checked(spark):
     assert sorted((r.rule, r.object_name) for r in lint.change_report(files).collect()) == [
         ("default_on_text", "c"), ("integer_length", "f"), ("varchar_length", "a"),
     ]
+
+
+def test_change_files_are_parsed_once(spark, rows):
+    texts = [
+        ("a", "dm8", '[{"db_name":"d","table_name":5,"object_type":"COLUMN","operation_type":"ADD","object_name":"f","object_property":"CHAR(2)","object_comment":""}, 7]'),
+        ("b", "mariadb", "[]"), ("b", "mariadb", "[]"), (None, "dm8", None),
+    ]
+    files = parse_change_lists(spark.createDataFrame(texts, "file_id string, dialect string, text string"))
+    report = lint.change_report(files)
+    assert rows(report) == sorted(
+        [
+            ("field_not_text:table_name", "error", "d", None, "f", "a", "0"), ("char_type", "error", "d", "5", "f", None, "CHAR 2"),
+            ("item_not_an_object", "error", None, None, None, "a", "1"), ("empty_change_list", "error", None, None, None, "b", None),
+            ("empty_change_list", "error", None, None, None, "b", None), ("not_a_json_list", "error", None, None, None, None, None),
+        ],
+        key=repr,
+    )
+    assert "Union" not in str(report._jdf.queryExecution().optimizedPlan())
+
+
+def test_layout_reads_scripts_once_for_the_version_index(spark, tmp_path):
+    spark.createDataFrame([("svc", "mariadb", "1.0", "01-a.sql", 4)], SCRIPTS).write.parquet(str(tmp_path / "scripts"))
+    scripts = spark.read.parquet(str(tmp_path / "scripts"))
+    report = lint.layout_report(scripts, scripts.select("service", "db_type", "version"))
+    plan = str(report._jdf.queryExecution().optimizedPlan())
+    # Names, numbers and the listed versions; the index comes from storage.
+    assert plan.count("has_init") and not re.search(r"max\(.*has_init|AS has_init", plan)
