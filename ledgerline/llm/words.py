@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MAX_CACHED = 200_000  # pieces of a generation of the cache of a Python worker; there are two, of some 25 MB each
-SHARE = 5_000_000  # characters that are split at once
+SHARE = 1_000_000  # characters that are split at once; what a Python worker needs beside its texts grows with it
 
 _SAFE = "^[!-~À-ÖØ-öø-ÿ]+$"
 _WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
@@ -49,8 +49,10 @@ class WordEncoder:
         # The merging alone, for lowered words that are separated by a space.
         alone = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
         to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        parts["model"] |= {"vocab": {}, "merges": []}
         parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [alone, to_bytes]}}
         self.merger = Tokenizer.from_str(json.dumps(parts))
+        self.merger.model = self.tokenizer.model  # both share one model: a second copy would take as much memory again
         # Pieces met lately, and those of the generation before.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -72,7 +74,9 @@ class WordEncoder:
         starts, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         # The id at each place of the output is that many behind the start of its thing's ids.
-        raw = ids[np.repeat(starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        places = np.arange(ends[-1])
+        places += np.repeat(starts[numbers] - ends[:-1], lengths)
+        raw = ids[places].tobytes()
         bounds = (ends[offsets] * self.dtype.itemsize).tolist()
         return [raw[start:end] for start, end in zip(bounds, bounds[1:])]
 

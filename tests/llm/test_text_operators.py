@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -393,6 +394,21 @@ def test_words_are_encoded_as_whole_texts(monkeypatch):
         assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in ODD + ODD]
 
 
+def test_memory_of_encoding_does_not_grow_with_the_batch():
+    encoder = WordEncoder(vocabulary())
+    some, many = (["ab cd ef gh " * 2000] * n for n in (50, 200))
+
+    def beside_the_ids(texts):
+        tracemalloc.start()
+        ids = encoder.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak - sum(map(len, ids))
+
+    beside_the_ids(some)
+    assert beside_the_ids(many) < 2 * beside_the_ids(some)
+
+
 def test_records_round_trip(spark, tmp_path):
     ids = [5, None, 3, 3, *range(10, 10 + len(ODD) - 4)]
     docs = documents(spark, ODD, ids).repartition(3)
