@@ -1,14 +1,14 @@
-"""Token ids of whole texts, a distinct piece at a time through a bounded cache.
+"""Token ids of whole texts, put together from those of distinct words, which a bounded cache keeps.
 
 The vocabularies meant here (BPE with word ends) cut a text at white space and
 between letters, digits and other signs before merging, so the ids of a text are
-those of its pieces between white space in order. Pieces repeat a lot: a share of the
-texts is split and its pieces are numbered by Arrow, each distinct piece is looked up
-or encoded once, and the ids of all texts are gathered from those of the pieces in one
-step. The ids of new pieces are gathered in the same way from those of their distinct
-words, which are merged together. That short cut is taken only for pieces of
+those of its words in order. Words repeat a lot, more than the pieces between white
+space, which hold signs and capitals as well. A share of the texts is split into pieces, Arrow numbers
+these, cuts the distinct ones into words and finds the words' places in the cache; only
+words that are not there go through Python and are merged, by the tokenizer's model. The ids
+of all pieces, and then of all texts, are gathered in one step each. That short cut is taken only for pieces of
 printable ASCII and Latin-1 letters, where normalising is plain lowering; any other
-piece is left to the tokenizer itself. The ids always equal those of
+piece is taken whole and left to the tokenizer itself. The ids always equal those of
 encoding the whole text.
 """
 
@@ -18,13 +18,15 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CACHED = 200_000  # pieces of a generation of the cache of a Python worker; there are two, of some 25 MB each
-SHARE = 1_000_000  # characters that are split at once; what a Python worker needs beside its texts grows with it
+MAX_CACHED = 200_000  # words that a Python worker keeps with their ids, some 10 MB; beyond it the half met last stays
+LONGEST_CACHED = 64  # bytes of a word that is kept
+SHARE = 2_000_000  # characters that are split at once; what a Python worker needs beside its texts grows with it
 
 _SAFE = "^[!-~À-ÖØ-öø-ÿ]+$"
 _WORD = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
@@ -37,25 +39,21 @@ class WordEncoder:
     def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         parts = json.loads(vocabulary)
-        suffix = parts["model"].get("end_of_word_suffix") or ""
         greatest = max([*parts["model"]["vocab"].values(), *(token["id"] for token in parts.get("added_tokens") or [])])
         self.dtype = np.dtype("<u2" if greatest < 1 << 16 else "<u4")
-        self.is_last = np.zeros(greatest + 1, dtype=bool)
-        for token, number in parts["model"]["vocab"].items():
-            self.is_last[number] = bool(suffix) and token.endswith(suffix)
-        # The merging alone, for lowered words that are separated by a space.
-        alone = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
-        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        parts["model"] |= {"vocab": {}, "merges": []}
-        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [alone, to_bytes]}}
-        self.merger = Tokenizer.from_str(json.dumps(parts))
-        self.merger.model = self.tokenizer.model  # both share one model: a second copy would take as much memory again
-        # Pieces met lately, and those of the generation before.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.has_ends = bool(parts["model"].get("end_of_word_suffix"))
+        # How the model spells letters beyond ASCII.
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {code: to_bytes.pre_tokenize_str(chr(code))[0][0] for code in range(0xC0, 0x100)}
+        # Words met lately, the ids of all after each other, how many each has, and the share that had it last.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.met = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.shares = 0
 
     @classmethod
     def of(cls, vocabulary: str) -> WordEncoder:
@@ -65,59 +63,58 @@ class WordEncoder:
             _LOADED[key] = cls(vocabulary)
         return _LOADED[key]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(one.ids, dtype=self.dtype).tobytes() for one in encoded]
-
-    def _gathered(self, sizes: np.ndarray, ids: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Ids of lists of things: ``ids`` of all things after each other, ``numbers`` of the things of all lists, and where lists start."""
+    def _gathered(self, sizes: np.ndarray, ids: np.ndarray, numbers: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of things, and where each list's begin and end: ``ids`` of all things after each other, ``numbers`` of the things of all lists, and where lists start."""
         starts, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         # The id at each place of the output is that many behind the start of its thing's ids.
         places = np.arange(ends[-1])
         places += np.repeat(starts[numbers] - ends[:-1], lengths)
-        raw = ids[places].tobytes()
-        bounds = (ends[offsets] * self.dtype.itemsize).tolist()
-        return [raw[start:end] for start, end in zip(bounds, bounds[1:])]
+        return ids[places], ends[offsets]
 
-    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
-        column = pa.array(pieces, pa.large_string())
+    def _is_plain(self, column: pa.Array) -> pa.Array:
         plain = pc.and_not(pc.match_substring_regex(column, _SAFE), pc.match_substring(column, "<|"))
-        apart = pc.replace_substring_regex(pc.utf8_lower(column.filter(plain)), _WORD, r"\0 ")
-        words = pc.split_pattern(pc.utf8_rtrim(apart, " "), " ")
-        numbered = words.flatten().dictionary_encode()
-        ids = np.array(self.merger.encode_batch_fast([" ".join(numbered.dictionary.to_pylist())], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        ends = np.flatnonzero(self.is_last[ids]) + 1
-        if len(ends) != len(numbered.dictionary):  # a word's sign for its end is also in its text
-            return self._whole(pieces)
-        sizes = np.diff(ends, prepend=0)
-        found = self._gathered(sizes, ids, numbered.indices.to_numpy(), words.offsets.to_numpy())
-        is_plain = plain.to_numpy(zero_copy_only=False)
-        if is_plain.all():
-            return found
-        out: list[bytes] = [b""] * len(pieces)
-        for k, ids_of in zip(np.flatnonzero(is_plain).tolist(), found):
-            out[k] = ids_of
-        rest = np.flatnonzero(~is_plain).tolist()
-        for k, ids_of in zip(rest, self._whole([pieces[k] for k in rest])):
-            out[k] = ids_of
-        return out
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        found = list(map(self.young.get, pieces))
-        missing = []
-        for k in [k for k, known in enumerate(found) if known is None]:
-            known = self.old.get(pieces[k])
-            if known is None:
-                missing.append(k)
-            else:
-                found[k] = self.young[pieces[k]] = known
-        for k, ids in zip(missing, self._new_pieces([pieces[k] for k in missing]) if missing else ()):
-            found[k] = self.young[pieces[k]] = ids
-        if len(self.young) > MAX_CACHED:
-            self.old, self.young = self.young, {}
-        return found
+        return plain if self.has_ends else pc.and_(plain, False)
+
+    def _words(self, pieces: pa.Array) -> pa.Array:
+        """The words of each piece; one that is not plain is a word of its own."""
+        plain = self._is_plain(pieces)
+        pieces = pc.replace_with_mask(pieces, plain, pc.utf8_lower(pieces.filter(plain)))
+        mixed = pc.and_not(plain, pc.utf8_is_alpha(pieces))
+        apart = pc.utf8_rtrim(pc.replace_substring_regex(pieces.filter(mixed), _WORD, r"\0 "), " ")
+        return pc.split_pattern(pc.replace_with_mask(pieces, mixed, apart), " ")
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds words that are not known; returns their places."""
+        is_plain = self._is_plain(words).to_numpy(zero_copy_only=False)
+        texts = words.to_numpy(zero_copy_only=False)  # ten times as fast as to_pylist()
+        # No word is in both groups: what is not plain stays so.
+        rest = self.tokenizer.encode_batch_fast(texts[~is_plain].tolist(), add_special_tokens=False)
+        sizes, ids, number = [], [], attrgetter("id")
+        for text in texts[is_plain].tolist():
+            tokens = self.model.tokenize(text if text.isascii() else text.translate(self.spelling))
+            sizes.append(len(tokens))
+            ids.extend(map(number, tokens))
+        for one in rest:
+            sizes.append(len(one.ids))
+            ids += one.ids
+        order = np.concatenate((np.flatnonzero(is_plain), np.flatnonzero(~is_plain)))
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(self.known), len(self.known) + len(order))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
+        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
+        self.ids = np.concatenate((self.ids, np.array(ids, self.dtype)))
+        self.met = np.concatenate((self.met, np.full(len(words), self.shares)))
+        return places
+
+    def _forget(self) -> None:
+        """Keeps the cache within its limits."""
+        keep = np.flatnonzero(pc.less_equal(pc.binary_length(self.known), LONGEST_CACHED).to_numpy(zero_copy_only=False))
+        if len(keep) > MAX_CACHED:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: MAX_CACHED // 2]])
+        if len(keep) < len(self.known):
+            self.ids, _ = self._gathered(self.sizes, self.ids, keep, np.zeros(1, np.int64))
+            self.known, self.sizes, self.met = self.known.take(pa.array(keep)), self.sizes[keep], self.met[keep]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is an empty one."""
@@ -134,8 +131,17 @@ class WordEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        numbered = split.flatten().dictionary_encode()
-        of_pieces = self._ids(numbered.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, of_pieces), np.int64, len(of_pieces)) // self.dtype.itemsize
-        ids = np.frombuffer(b"".join(of_pieces), self.dtype)
-        return self._gathered(sizes, ids, numbered.indices.to_numpy(), split.offsets.to_numpy())
+        pieces = split.flatten().dictionary_encode()
+        words = self._words(pieces.dictionary)
+        distinct = words.flatten().dictionary_encode()
+        self.shares += 1
+        found = pc.index_in(distinct.dictionary, value_set=self.known)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self._learn(distinct.dictionary.filter(found.is_null()))
+        self.met[at] = self.shares
+        ids, bounds = self._gathered(self.sizes, self.ids, at[distinct.indices.to_numpy()], words.offsets.to_numpy())
+        ids, bounds = self._gathered(np.diff(bounds), ids, pieces.indices.to_numpy(), split.offsets.to_numpy())
+        self._forget()
+        raw, ends = ids.tobytes(), (bounds * self.dtype.itemsize).tolist()
+        return [raw[start:end] for start, end in zip(ends, ends[1:])]

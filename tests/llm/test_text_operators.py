@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +410,40 @@ def test_memory_of_encoding_does_not_grow_with_the_batch():
     assert beside_the_ids(many) < 2 * beside_the_ids(some)
 
 
+def test_pieces_are_put_together_from_kept_words():
+    """Pieces that differ in signs, capitals and the words they hold take no more from the cache than their words."""
+    encoder = WordEncoder(vocabulary())
+    words = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in ("nt", "rsk", "éx", "mbl", "st", "ß")]
+    pieces = [f"{sign}{one}-{two.capitalize()}" for one in words for two in words for sign in ("", "(")]
+
+    def held():
+        return tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+
+    tracemalloc.start()
+    before = held()
+    got = encoder.encode([" ".join(pieces)])
+    expected = np.array(encoder.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, encoder.dtype).tobytes()
+    assert got == [expected]
+    del got, expected
+    kept = held() - before
+    tracemalloc.stop()
+    assert kept < 1_000_000
+
+
+def test_encoding_does_not_depend_on_what_was_met(monkeypatch):
+    monkeypatch.setattr("ledgerline.llm.words.SHARE", 400)
+    rng = random.Random(7)
+    signs = ["", "", ",", "'s", "'LL", "</w>", "<|", "|>", "7", "½", "’", "«", "é", "É", "×", "日本", "x" * 70, "İ", "e\u0301", "<|endoftext|>"]
+    pieces = ["".join(rng.choice(["and", "the", "Über", "foo", "ça", ""]) + rng.choice(signs) for _ in range(rng.randint(1, 3))) for _ in range(600)]
+    texts = [rng.choice([" ", "\n ", "\t", "\u3000"]).join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(150)]
+    for limit in (300_000, 20, 1):
+        monkeypatch.setattr("ledgerline.llm.words.MAX_CACHED", limit)
+        encoder = WordEncoder(vocabulary())
+        got = [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)]
+        assert got == [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+        assert len(encoder.known) <= limit and max(map(len, encoder.known.to_pylist()), default=0) <= 64
+
+
 def test_records_round_trip(spark, tmp_path):
     ids = [5, None, 3, 3, *range(10, 10 + len(ODD) - 4)]
     docs = documents(spark, ODD, ids).repartition(3)
